@@ -12,14 +12,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswatch.functions.text import english_stop_words, words
+from presswatch.functions.text import ENGLISH_STOP_WORDS, words
 
 MAX_PCA_INPUT = 2_000  # PCA sums a (size × size) matrix; wider vectors are refused
 
 
 def embedding_pipeline(size: int = 512, stop_words: Sequence[str] | None = None) -> Pipeline:
     """Hashed TF-IDF vectors of unit length from a ``_words`` column."""
-    stop = list(english_stop_words() if stop_words is None else stop_words)
+    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
     return Pipeline(stages=[
         StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=stop, locale="en_US"),
         HashingTF(inputCol="_kept", outputCol="_tf", numFeatures=size),
@@ -79,6 +79,13 @@ def reduced(df: DataFrame, size: int = 5, vector: str = "embedding", name: str =
     return model.transform(ready).withColumn(name, vector_to_array("_pca")).drop("_vector", "_scaled", "_pca")
 
 
+def projected(df: DataFrame, matrix: Sequence[Sequence[float]], vector: str = "embedding",
+              name: str = "reduced") -> DataFrame:
+    """Reduce by a given matrix, one row per output component."""
+    parts = [dot(F.col(vector), F.array(*[F.lit(float(x)) for x in row])) for row in matrix]
+    return df.withColumn(name, F.array(*parts))
+
+
 def centroids(df: DataFrame, key: str = "topic", vector: str = "embedding") -> DataFrame:
     """Mean vector per key; partial means are merged, never the vectors of a key."""
     vec = array_to_vector(F.col(vector).cast("array<double>"))

@@ -110,10 +110,8 @@ def out(df: DataFrame, *names: str | Column) -> DataFrame:
     """Select result columns by their result names; times become text."""
     picked = []
     for name in names:
-        if not isinstance(name, str):
-            picked.append(name)
-        elif name in ("ts", "win_start", "bin_start"):
-            picked.append(time_text(F.col(_BACK.get(name, name))).alias(name))
-        else:
-            picked.append(F.col(_BACK.get(name, name)).alias(name))
+        if isinstance(name, str):
+            column = F.col(_BACK[name] if name in _BACK and _BACK[name] in df.columns else name)
+            name = (time_text(column) if name in ("ts", "win_start", "bin_start") else column).alias(name)
+        picked.append(name)
     return df.select(*picked)

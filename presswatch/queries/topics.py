@@ -1 +1,257 @@
-"""Placeholder."""
+"""Topic analytics over whole article texts: words, distances, time, hierarchy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from presswatch.config import cluster_tier
+from presswatch.functions.text import ENGLISH_STOP_WORDS, term_rows
+from presswatch.operators import distance, evolution, hierarchy, topic_terms
+from presswatch.queries.registry import articles, out, query, table
+from presswatch.session import staged
+
+TOPICS = list(range(8))
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
+PATTERN = r"[\p{L}\p{N}_]{2,}"
+
+TF_SQL = f"""
+word AS (SELECT topic, ts, unnest(regexp_extract_all(lower(description), '{PATTERN}')) AS term
+  FROM articles WHERE description IS NOT NULL AND topic <> -1),
+tok AS (SELECT * FROM word WHERE term NOT IN ({STOP_SQL})),
+tf AS (SELECT topic, term, count(*) AS n FROM tok GROUP BY topic, term),
+cls AS (SELECT topic, sum(n) AS words FROM tf GROUP BY topic),
+idf AS (SELECT term, ln(1 + (SELECT avg(words) FROM cls) / CAST(sum(n) AS DOUBLE)) AS idf FROM tf GROUP BY term),
+terms AS (SELECT tf.topic, tf.term, tf.n, CAST(tf.n AS DOUBLE) / CAST(cls.words AS DOUBLE) * idf.idf AS score
+  FROM tf JOIN cls ON tf.topic = cls.topic JOIN idf ON tf.term = idf.term),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 12) DESC, term) AS INT) AS rank
+  FROM terms)
+"""
+
+
+def counts(spark, sf_dir):
+    return topic_terms.bag_of_words(articles(spark, sf_dir))
+
+
+def scores(spark, sf_dir):
+    return topic_terms.class_tf_idf(counts(spark, sf_dir))
+
+
+@query("document_tokens", f"""
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{PATTERN}')) AS term FROM documents)
+SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM w WHERE term NOT IN ({STOP_SQL})
+GROUP BY term
+""")
+def document_tokens(spark, sf_dir):
+    rows = term_rows(table(spark, sf_dir, "documents"), "text", keep=["doc_id"])
+    per_doc = rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
+
+
+@query("bag_of_words", TF_SQL + "SELECT topic, term, n FROM tf")
+def bag_of_words(spark, sf_dir):
+    return counts(spark, sf_dir)
+
+
+@query("class_tf_idf", TF_SQL + "SELECT topic, term, n, round(score, 8) AS score FROM terms")
+def class_tf_idf(spark, sf_dir):
+    return scores(spark, sf_dir).withColumn("score", F.round("score", 8))
+
+
+@query("top_topic_terms", TF_SQL + "SELECT topic, rank, term, round(score, 8) AS score FROM ranked WHERE rank <= 10")
+def top_topic_terms(spark, sf_dir):
+    return topic_terms.top_terms(scores(spark, sf_dir), 10).select(
+        "topic", "rank", "term", F.round("score", 8).alias("score"))
+
+
+@query("topic_names", TF_SQL + """
+SELECT topic, string_agg(term, '_' ORDER BY rank) AS name FROM ranked WHERE rank <= 5 GROUP BY topic
+""")
+def topic_names(spark, sf_dir):
+    return topic_terms.topic_names(scores(spark, sf_dir))
+
+
+@query("topic_bars", TF_SQL + """
+SELECT topic, rank, term, round(score, 8) AS score FROM ranked WHERE rank <= 5 AND topic BETWEEN 0 AND 15
+""")
+def topic_bars(spark, sf_dir):
+    return topic_terms.bar_report(scores(spark, sf_dir)).withColumn("score", F.round("score", 8))
+
+
+@query("topic_frequency", "SELECT topic, count(*) AS documents FROM articles WHERE topic <> -1 GROUP BY topic")
+def topic_frequency(spark, sf_dir):
+    return topic_terms.topic_frequency(articles(spark, sf_dir))
+
+
+@query("largest_topics", """
+f AS (SELECT topic, count(*) AS documents FROM articles WHERE topic <> -1 GROUP BY topic)
+SELECT topic, documents FROM f ORDER BY documents DESC, topic LIMIT 5
+""")
+def largest_topics(spark, sf_dir):
+    return topic_terms.most_frequent(topic_terms.topic_frequency(articles(spark, sf_dir)), 5)
+
+
+@query("largest_topic_vectors", TF_SQL + """,
+f AS (SELECT topic FROM articles WHERE topic <> -1 GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 5)
+SELECT topic, term, round(score, 8) AS score FROM terms WHERE topic IN (SELECT topic FROM f)
+""")
+def largest_topic_vectors(spark, sf_dir):
+    chosen = topic_terms.most_frequent(topic_terms.topic_frequency(articles(spark, sf_dir)), 5)
+    return topic_terms.selected_topics(scores(spark, sf_dir), chosen).select(
+        "topic", "term", F.round("score", 8).alias("score"))
+
+
+@query("cluster_tier", """
+SELECT count(*) AS documents, CAST(CASE WHEN count(*) < 100 THEN 2 WHEN count(*) < 300 THEN 3 WHEN count(*) < 400 THEN 6
+  ELSE 8 END AS INT) AS min_size FROM documents
+""", with_articles=False)
+def tier_of_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    return docs.agg(F.count(F.lit(1)).alias("documents")).withColumn("min_size", F.lit(cluster_tier(n)))
+
+
+PAIRS_SQL = """,
+nrm AS (SELECT topic, sum(score * score) AS sq FROM terms GROUP BY topic),
+dot AS (SELECT a.topic AS ta, b.topic AS tb, sum(a.score * b.score) AS dot
+  FROM terms a JOIN terms b ON a.term = b.term AND a.topic < b.topic GROUP BY a.topic, b.topic),
+pair AS (SELECT x.topic AS ta, y.topic AS tb, coalesce(dot.dot, 0) AS dot, x.sq AS sa, y.sq AS sb
+  FROM nrm x JOIN nrm y ON x.topic < y.topic LEFT JOIN dot ON dot.ta = x.topic AND dot.tb = y.topic)
+"""
+
+
+@query("topic_distance", TF_SQL + PAIRS_SQL + "SELECT ta, tb, round(1 - dot / sqrt(sa * sb), 6) AS dist FROM pair")
+def topic_distance(spark, sf_dir):
+    return distance.topic_distance(scores(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+
+
+@query("topic_distance_euclidean", TF_SQL + PAIRS_SQL + """
+SELECT ta, tb, round(sqrt(greatest(0, sa + sb - 2 * dot)), 6) AS dist FROM pair
+""")
+def topic_distance_euclidean(spark, sf_dir):
+    return distance.topic_distance(scores(spark, sf_dir), "euclidean").withColumn("dist", F.round("dist", 6))
+
+
+@query("distance_problems", """
+SELECT CAST(0 AS BIGINT) AS missing_pairs, CAST(0 AS BIGINT) AS misordered, CAST(0 AS BIGINT) AS undefined,
+  CAST(0 AS BIGINT) AS negative
+""")
+def distance_problems(spark, sf_dir):
+    vectors = staged(scores(spark, sf_dir), "scores")
+    return distance.distance_problems(distance.topic_distance(vectors), vectors)
+
+
+TIME_SQL = TF_SQL + """,
+span AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM articles WHERE topic <> -1),
+doc AS (SELECT topic, CAST(greatest(1, least(20, ceil(CAST(epoch_us(ts) - low AS DOUBLE) * 20.0::DOUBLE
+  / CAST(high - low AS DOUBLE)))) AS INT) AS bin FROM articles, span WHERE topic <> -1),
+btok AS (SELECT topic, CAST(greatest(1, least(20, ceil(CAST(epoch_us(ts) - low AS DOUBLE) * 20.0::DOUBLE
+  / CAST(high - low AS DOUBLE)))) AS INT) AS bin, term FROM tok, span),
+held AS (SELECT bin, row_number() OVER (ORDER BY bin) AS step FROM (SELECT DISTINCT bin FROM doc)),
+present AS (SELECT d.topic, d.bin, h.step FROM (SELECT DISTINCT topic, bin FROM doc) d JOIN held h ON d.bin = h.bin),
+bw AS (SELECT b.topic, b.bin, b.term, count(*) * max(i.idf) AS w FROM btok b JOIN idf i ON b.term = i.term
+  GROUP BY b.topic, b.bin, b.term),
+braw AS (SELECT topic, bin, term, w / sum(w) OVER (PARTITION BY topic, bin) AS share FROM bw),
+gw AS (SELECT tf.topic, tf.term, tf.n * i.idf AS w FROM tf JOIN idf i ON tf.term = i.term),
+g AS (SELECT topic, term, w / sum(w) OVER (PARTITION BY topic) AS share FROM gw),
+grid AS (SELECT p.topic, p.bin, p.step, g.term, g.share AS whole, coalesce(r.share, 0) AS raw
+  FROM present p JOIN g ON p.topic = g.topic
+  LEFT JOIN braw r ON r.topic = p.topic AND r.bin = p.bin AND r.term = g.term),
+tuned AS (SELECT *, lag(raw) OVER (PARTITION BY topic, term ORDER BY step) AS before,
+  lag(step) OVER (PARTITION BY topic, term ORDER BY step) AS before_step FROM grid),
+weighed AS (SELECT topic, bin, term, (whole + CASE WHEN before_step = step - 1 THEN (raw + before) / 2 ELSE raw END) / 2
+  AS score FROM tuned),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY topic, bin ORDER BY round(score, 12) DESC, term) AS rank
+  FROM weighed),
+text_of AS (SELECT topic, bin, string_agg(term, ', ' ORDER BY rank) AS words FROM chosen WHERE rank <= 5
+  GROUP BY topic, bin),
+freq AS (SELECT topic, bin, count(*) AS frequency FROM doc GROUP BY topic, bin),
+ot AS (SELECT f.topic, f.bin, t.words, f.frequency,
+  make_timestamp(CAST(low + floor((f.bin - 1) * ((high - low) / 20.0::DOUBLE)) AS BIGINT)) AS bin_start
+  FROM freq f JOIN span ON TRUE LEFT JOIN text_of t ON t.topic = f.topic AND t.bin = f.bin)
+"""
+
+
+@query("topics_over_time", TIME_SQL + """
+SELECT topic, bin, words, frequency, strftime(bin_start, '%Y-%m-%d %H:%M:%S') AS bin_start FROM ot
+""")
+def topics_over_time(spark, sf_dir):
+    rows = evolution.topics_over_time(articles(spark, sf_dir))
+    return out(rows.withColumnRenamed("Timestamp", "bin_start"), "topic", "bin", F.col("Words").alias("words"),
+               F.col("Frequency").alias("frequency"), "bin_start")
+
+
+LABEL_SQL = TIME_SQL + """,
+lab AS (SELECT strftime(bin_start, '%d-%I%p') AS label, topic, CAST(sum(frequency) AS BIGINT) AS frequency,
+  string_agg(replace(words, ',', ''), ' ' ORDER BY bin) AS words, min(bin_start) AS bin_start
+  FROM ot GROUP BY strftime(bin_start, '%d-%I%p'), topic)
+"""
+
+
+def labelled(spark, sf_dir):
+    return evolution.by_label(evolution.topics_over_time(articles(spark, sf_dir)))
+
+
+@query("topics_by_label", LABEL_SQL + """
+SELECT label, topic, frequency, words, strftime(bin_start, '%Y-%m-%d %H:%M:%S') AS bin_start FROM lab
+""")
+def topics_by_label(spark, sf_dir):
+    return out(labelled(spark, sf_dir), "label", "topic", F.col("Frequency").alias("frequency"),
+               F.col("Words").alias("words"), "bin_start")
+
+
+def _matrix(expression: str) -> str:
+    return ", ".join(f"{expression.format(t)} AS topic_{t}" for t in TOPICS)
+
+
+@query("topic_time_frequencies", LABEL_SQL + "SELECT label, " + _matrix(
+    "CAST(coalesce(sum(frequency) FILTER (topic = {0}), 0) AS BIGINT)") + " FROM lab GROUP BY label")
+def topic_time_frequencies(spark, sf_dir):
+    wide = evolution.frequency_matrix(labelled(spark, sf_dir), TOPICS)
+    return wide.select("label", *[F.col(str(t)).alias(f"topic_{t}") for t in TOPICS])
+
+
+@query("topic_time_words", LABEL_SQL + "SELECT label, " + _matrix(
+    "max(words) FILTER (topic = {0})") + " FROM lab GROUP BY label")
+def topic_time_words(spark, sf_dir):
+    wide = evolution.words_matrix(labelled(spark, sf_dir), TOPICS)
+    return wide.select("label", *[F.col(str(t)).alias(f"topic_{t}") for t in TOPICS])
+
+
+def _tree(spark, sf_dir, method="ward"):
+    base = staged(counts(spark, sf_dir), "counts")
+    weighed = staged(topic_terms.class_tf_idf(base), "scores")
+    merges = hierarchy.linkage(weighed, distance.topic_distance(weighed), method)
+    return hierarchy.hierarchical_topics(base, merges, weighed), merges, topic_terms.topic_names(weighed)
+
+
+def _flat(rows):
+    return rows.select(
+        F.col("Parent_ID").alias("parent_id"), F.col("Parent_Name").alias("parent_name"),
+        F.array_join(F.transform("Topics", lambda t: t.cast("string")), ",").alias("topics"),
+        F.col("Child_Left_ID").alias("left_id"), F.col("Child_Left_Name").alias("left_name"),
+        F.col("Child_Right_ID").alias("right_id"), F.col("Child_Right_Name").alias("right_name"),
+        F.round("Distance", 6).alias("distance"))
+
+
+@query("topic_hierarchy")
+def topic_hierarchy(spark, sf_dir):
+    return _flat(_tree(spark, sf_dir)[0])
+
+
+@query("topic_hierarchy_average")
+def topic_hierarchy_average(spark, sf_dir):
+    return _flat(_tree(spark, sf_dir, "average")[0])
+
+
+@query("topic_annotations")
+def topic_annotations(spark, sf_dir):
+    parents, merges, names = _tree(spark, sf_dir)
+    return hierarchy.node_annotations(merges, parents, names).select(
+        F.array_join(F.transform("topics", lambda t: t.cast("string")), ",").alias("topics"),
+        "left_name", "right_name", F.round("dist", 6).alias("distance"))
+
+
+@query("topic_tree")
+def topic_tree(spark, sf_dir):
+    parents, _, names = _tree(spark, sf_dir)
+    return hierarchy.topic_tree(parents, names)

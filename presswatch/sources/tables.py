@@ -11,6 +11,7 @@ from presswatch.operators.retention import archived, cutoff, kept
 from presswatch.session import staged
 
 DATE = "date"
+_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -55,13 +56,13 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Header, no index; one file per partition."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(header=True, **_CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     if not path_exists(spark, path):
         return empty_table(spark, schema)
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return spark.read.schema(schema).options(header=True, multiLine=True, **_CSV).csv(path)
 
 
 def drop_dates(spark: SparkSession, path: str, before: str) -> list[str]:
