@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from presswatch.functions.scalars import hour_label, joined_words
 from presswatch.operators.filters import without_outliers
-from presswatch.operators.skew import checked_join, lookup_join
+from presswatch.operators.skew import lookup_join
 from presswatch.operators.topic_terms import bag_of_words, joined_terms, term_idf, top_terms
+from presswatch.session import staged
 
 
 def time_bin(ts: Column, low: int, high: int, bins: int = 20) -> Column:
@@ -47,41 +48,42 @@ def topics_over_time(df: DataFrame, text: str = "Description", ts: str = "Timest
     docs = without_outliers(df).filter(F.col(ts).isNotNull())
     low, high = time_span(docs, ts) or (0, 0)
     docs = docs.withColumn("bin", time_bin(F.col(ts), low, high, bins))
-    frequency = docs.groupBy("topic", "bin").agg(F.count(F.lit(1)).alias("Frequency"))
+    frequency = staged(docs.groupBy("topic", "bin").agg(F.count(F.lit(1)).alias("Frequency")), "bin-frequency")
+    binned = staged(bag_of_words(docs, text, stop_words=stop_words, by=("topic", "bin")), "bin-words")
 
-    binned = bag_of_words(docs, text, stop_words=stop_words, by=("topic", "bin"))
+    # Overall share of each word in its topic, with its idf.
     overall = binned.groupBy("topic", "term").agg(F.sum("n").alias("n"))
-    idf = term_idf(overall)
-
-    def shares(counts: DataFrame, by: list[str]) -> DataFrame:
-        weighed = counts.join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
-        totals = weighed.groupBy(*by).agg(F.sum("w").alias("total"))
-        return lookup_join(weighed, totals, by, spread=["term"]).select(
-            *by, "term", (F.col("w") / F.col("total")).alias("share"))
-
-    # Bins that hold any row, numbered: at most ``bins`` of them, so are the windows over them.
-    held = docs.select("bin").distinct().withColumn("step", F.row_number().over(Window.orderBy("bin")))
-    present = docs.select("topic", "bin").distinct().join(F.broadcast(held), "bin")
+    weighed = staged(overall.join(term_idf(overall), "term").select(
+        "topic", "term", "idf", (F.col("n") * F.col("idf")).alias("w")), "word-weights")
+    totals = weighed.groupBy("topic").agg(F.sum("w").alias("total"))
+    whole = lookup_join(weighed, totals, ["topic"], spread=["term"]).select(
+        "topic", "term", "idf", (F.col("w") / F.col("total")).alias("whole"))
+
+    # The same per bin, with the topic's neighbouring bins: at most ``bins`` rows per topic.
+    local = staged(binned.join(whole, ["topic", "term"]).select(
+        "topic", "bin", "term", "whole", (F.col("n") * F.col("idf")).alias("w")), "bin-weights")
+    held = frequency.select("bin").distinct().withColumn("step", F.row_number().over(Window.orderBy("bin")))
     around = Window.partitionBy("topic").orderBy("step")
-    present = present.select(
-        "topic", "bin",
-        (F.lag("step").over(around) == F.col("step") - 1).alias("after_previous"),
-        F.when(F.lead("step").over(around) == F.col("step") + 1, F.lead("bin").over(around)).alias("next_bin"),
-    ).withColumn("after_previous", F.coalesce("after_previous", F.lit(False)))
-
-    local = checked_join(shares(binned, ["topic", "bin"]), present, ["topic", "bin"], spread=["term"])
-    whole = shares(overall, ["topic"])
-    own = local.select("topic", "bin", "term",
-                       (F.col("share") * F.when(F.col("after_previous"), 0.25).otherwise(0.5)).alias("part"))
-    carried = local.filter(F.col("next_bin").isNotNull()).select(
-        "topic", F.col("next_bin").alias("bin"), "term", (F.col("share") * F.lit(0.25)).alias("part"))
-    best = top_terms(whole, words, score="share").select("topic", "term")
-    leading = best.join(present.select("topic", "bin"), "topic").select(
-        "topic", "bin", "term", F.lit(0.0).alias("part"))
-    candidates = own.unionByName(carried).unionByName(leading).groupBy("topic", "bin", "term").agg(
-        F.sum("part").alias("part"))
-    scored = candidates.join(whole, ["topic", "term"]).withColumn("score", F.col("part") + F.col("share") / 2)
+    places = (
+        frequency.join(F.broadcast(held), "bin")  # at most ``bins`` rows
+        .select(
+            "topic", "bin",
+            F.coalesce(F.lag("step").over(around) == F.col("step") - 1, F.lit(False)).alias("after_previous"),
+            F.when(F.lead("step").over(around) == F.col("step") + 1, F.lead("bin").over(around)).alias("next_bin"))
+        .join(local.groupBy("topic", "bin").agg(F.sum("w").alias("total")), ["topic", "bin"], "left")
+    )
 
+    share = F.col("w") / F.col("total")
+    own = F.struct(F.col("bin").alias("at"), (share * F.when(F.col("after_previous"), 0.25).otherwise(0.5)).alias("part"))
+    carried = F.when(F.col("next_bin").isNotNull(), F.struct(F.col("next_bin").alias("at"), (share * 0.25).alias("part")))
+    parts = lookup_join(local, places, ["topic", "bin"], spread=["term"]).select(
+        "topic", "term", "whole", F.explode(F.array_compact(F.array(own, carried))).alias("p"))
+    leading = top_terms(whole, words, score="whole").join(frequency.select("topic", "bin"), "topic")
+    scored = (
+        parts.select("topic", F.col("p.at").alias("bin"), "term", "whole", F.col("p.part").alias("part"))
+        .unionByName(leading.select("topic", "bin", "term", "whole", F.lit(0.0).alias("part")))
+        .groupBy("topic", "bin", "term").agg((F.sum("part") + F.max("whole") / 2).alias("score"))
+    )
     text_of = joined_terms(top_terms(scored, words, key=("topic", "bin")), key=("topic", "bin"),
                            separator=", ", name="Words")
     return frequency.join(text_of, ["topic", "bin"], "left").select(

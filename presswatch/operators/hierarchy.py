@@ -50,6 +50,33 @@ def _next_distances(dist: DataFrame, members: DataFrame, method: str) -> DataFra
     return full.select(F.col("u_to").alias("a"), F.col("v_to").alias("b"), "d")
 
 
+def _members(clusters: DataFrame, dist: DataFrame) -> DataFrame:
+    """Clusters with where they go this round: ``to`` and, for a merged one, the distance ``step``.
+
+    A pair merges when it is the closest pair of both its clusters.
+    """
+    best = F.min(F.struct("d", "a", "b")).alias("best")
+    nearest = dist.withColumn("c", F.explode(F.array("a", "b"))).groupBy("c").agg(best)
+    chosen = nearest.groupBy("best").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2")
+    moves = chosen.select(
+        F.explode(F.array("best.a", "best.b")).alias("slot"), F.col("best.a").alias("to"),
+        F.col("best.d").alias("step"))
+    return clusters.join(moves, "slot", "left").select(
+        "slot", "size", "topics", F.coalesce("to", "slot").alias("to"), "step")
+
+
+def _merges(members: DataFrame) -> DataFrame:
+    """The round's merges, left being the cluster with the smaller topic."""
+    node = F.struct("slot", "size", "topics")
+    first, second = F.when(F.col("slot") == F.col("to"), node), F.when(F.col("slot") != F.col("to"), node)
+    pairs = members.filter(F.col("step").isNotNull()).groupBy("to").agg(
+        F.max(first).alias("l"), F.max(second).alias("r"), F.max("step").alias("dist"))
+    return pairs.select(
+        F.col("l.slot").alias("left"), F.col("l.size").alias("left_size"), F.col("l.topics").alias("left_topics"),
+        F.col("r.slot").alias("right"), F.col("r.size").alias("right_size"), F.col("r.topics").alias("right_topics"),
+        "dist")
+
+
 def linkage(topics: DataFrame, distances: DataFrame, method: str = "ward") -> DataFrame:
     """Merges of the tree: ``(left, left_size, left_topics, right, right_size, right_topics, dist)``.
 
@@ -58,45 +85,25 @@ def linkage(topics: DataFrame, distances: DataFrame, method: str = "ward") -> Da
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    clusters = staged(
-        topics.select("topic").distinct().select(
-            F.col("topic").cast("int").alias("slot"), F.lit(1).cast("long").alias("size"),
-            F.array(F.col("topic").cast("int")).alias("topics")), "clusters")
+    clusters = topics.select("topic").distinct().select(
+        F.col("topic").cast("int").alias("slot"), F.lit(1).cast("long").alias("size"),
+        F.array(F.col("topic").cast("int")).alias("topics"))
+    left = clusters.count()
     dist = staged(distances.select(
         F.col("ta").cast("int").alias("a"), F.col("tb").cast("int").alias("b"), F.col("dist").alias("d")), "dist")
-    left = clusters.count()
     log = []
     while left > 1:
-        best = F.min(F.struct("d", "a", "b")).alias("best")
-        nearest = dist.withColumn("c", F.explode(F.array("a", "b"))).groupBy("c").agg(best)
-        chosen = staged(
-            nearest.groupBy("best").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2")
-            .select(F.col("best.a").alias("lo"), F.col("best.b").alias("hi"), F.col("best.d").alias("step")),
-            "chosen")
-        merged = chosen.count()
+        members = staged(_members(clusters, dist), "members")
+        merged = members.filter(F.col("step").isNotNull()).count() // 2
         if not merged:
             raise ValueError("the distance table lacks pairs")
         left -= merged
-
-        moves = chosen.select(F.explode(F.array("lo", "hi")).alias("slot"), F.col("lo").alias("to"), "step")
-        members = staged(
-            clusters.join(moves, "slot", "left").select(
-                "slot", "size", "topics", F.coalesce("to", "slot").alias("to"),
-                F.coalesce("step", F.lit(0.0)).alias("step")), "members")
-        low = members.select(F.col("slot").alias("lo"), F.col("size").alias("left_size"),
-                             F.col("topics").alias("left_topics"))
-        high = members.select(F.col("slot").alias("hi"), F.col("size").alias("right_size"),
-                              F.col("topics").alias("right_topics"))
-        log.append(staged(
-            chosen.join(low, "lo").join(high, "hi").select(
-                F.col("lo").alias("left"), "left_size", "left_topics",
-                F.col("hi").alias("right"), "right_size", "right_topics", F.col("step").alias("dist")), "merges"))
+        log.append(_merges(members))
         if left > 1:
             dist = staged(_next_distances(dist, members, method), "dist")
-            clusters = staged(
-                members.groupBy(F.col("to").alias("slot")).agg(
-                    F.sum("size").alias("size"),
-                    F.array_sort(F.flatten(F.collect_list("topics"))).alias("topics")), "clusters")
+            clusters = members.groupBy(F.col("to").alias("slot")).agg(
+                F.sum("size").alias("size"),
+                F.array_sort(F.flatten(F.collect_list("topics"))).alias("topics"))
     if log:
         return reduce(lambda a, b: a.unionByName(b), log)
     none = "CAST(NULL AS {0}) AS {1}".format

@@ -56,6 +56,7 @@ def term_idf(counts: DataFrame) -> DataFrame:
 def class_tf_idf(counts: DataFrame) -> DataFrame:
     """``(topic, term, n, score)`` with ``score = n / words(topic) · idf(term)``.
 
+    ``counts`` is read three times (words, idf, topic sizes): pass a staged table, not a tokenising plan.
     A term has at most one row per topic, so the term join is even; the topic side is salted because
     one topic may own most of the vocabulary.
     """

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from presswatch.session import use_utc
 
@@ -59,8 +60,15 @@ def query(name: str, sql: str | None = None, with_articles: bool = True) -> Call
     return register
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = use_utc(spark).read.parquet(path).schema
+    return use_utc(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def spread_out(df: DataFrame, key: str) -> DataFrame:

@@ -1 +1,80 @@
-"""Placeholder."""
+"""Structured Streaming forms, run over everything that has landed and then compared as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from presswatch import schemas
+from presswatch.queries.ingest import SOURCES_SQL, landed
+from presswatch.queries.registry import out, query, table
+from presswatch.session import use_utc, work_path
+from presswatch.sources.replies import sequenced, stream_articles
+from presswatch.sources.tables import read_table
+from presswatch.streaming.alerts import hourly_arrivals, sliding_alerts, start_counts
+from presswatch.streaming.ingest import first_arrivals, start_append
+
+
+def _event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return use_utc(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _counted(spark, counts):
+    path = work_path(spark, "counts")
+    start_counts(counts, path, work_path(spark, "offsets")).awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path)
+
+
+@query("stream_landed_articles", SOURCES_SQL + """
+SELECT title, url, md5(description) AS text_hash, is_trending FROM sources WHERE rank = 0
+""")
+def stream_landed_articles(spark, sf_dir):
+    rows = stream_articles(spark, landed(spark, sf_dir).trending[0], trending=True)
+    path = work_path(spark, "landed")
+    rows.writeStream.format("parquet").option("checkpointLocation", work_path(spark, "offsets")).trigger(
+        availableNow=True).start(path).awaitTermination()
+    return out(spark.read.schema(rows.schema).parquet(path), "title", "url",
+               F.md5("Description").alias("text_hash"), "is_trending")
+
+
+@query("stream_first_arrivals", SOURCES_SQL + "SELECT DISTINCT url FROM sources WHERE rank = 1")
+def stream_first_arrivals(spark, sf_dir):
+    rows = first_arrivals(stream_articles(spark, landed(spark, sf_dir).categories[0])).select("URL")
+    path = work_path(spark, "arrivals")
+    rows.writeStream.format("parquet").option("checkpointLocation", work_path(spark, "offsets")).trigger(
+        availableNow=True).start(path).awaitTermination()
+    return out(spark.read.schema(rows.schema).parquet(path), "url")
+
+
+@query("stream_replayed_append", SOURCES_SQL + """,
+f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS rn FROM sources WHERE rank = 1)
+SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM f WHERE rn = 1 AND description IS NOT NULL
+""")
+def stream_replayed_append(spark, sf_dir):
+    """The same landed files processed by two queries with separate offsets: the second adds nothing."""
+    rows = sequenced(stream_articles(spark, landed(spark, sf_dir).categories[0]), 1, 0).select(
+        *schemas.ARTICLES.fieldNames())
+    path = work_path(spark, "appended")
+    for _ in range(2):
+        start_append(rows, path, schemas.ARTICLES, work_path(spark, "offsets")).awaitTermination()
+    return out(read_table(spark, path, schemas.ARTICLES), "url", "ts")
+
+
+@query("stream_sliding_alerts", """
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS win_start, event_type, count(*) AS n
+FROM (SELECT event_type, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 4 HOUR, date_trunc('hour', ts),
+  INTERVAL 1 HOUR)) AS w FROM events)
+GROUP BY w, event_type
+""", with_articles=False)
+def stream_sliding_alerts(spark, sf_dir):
+    counts = sliding_alerts(_event_stream(spark, sf_dir), "event_type", "ts")
+    return out(_counted(spark, counts), "win_start", "event_type", "n")
+
+
+@query("stream_hourly_arrivals", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS win_start, event_type, count(*) AS n
+FROM events GROUP BY date_trunc('hour', ts), event_type
+""", with_articles=False)
+def stream_hourly_arrivals(spark, sf_dir):
+    counts = hourly_arrivals(_event_stream(spark, sf_dir), "event_type", "ts")
+    return out(_counted(spark, counts), "win_start", "event_type", "n")

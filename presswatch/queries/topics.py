@@ -33,7 +33,8 @@ def counts(spark, sf_dir):
 
 
 def scores(spark, sf_dir):
-    return topic_terms.class_tf_idf(counts(spark, sf_dir))
+    """Counts are read three times by the weighting, so the texts are tokenised once and the counts kept."""
+    return topic_terms.class_tf_idf(staged(counts(spark, sf_dir), "counts"))
 
 
 @query("document_tokens", f"""
@@ -121,14 +122,14 @@ pair AS (SELECT x.topic AS ta, y.topic AS tb, coalesce(dot.dot, 0) AS dot, x.sq
 
 @query("topic_distance", TF_SQL + PAIRS_SQL + "SELECT ta, tb, round(1 - dot / sqrt(sa * sb), 6) AS dist FROM pair")
 def topic_distance(spark, sf_dir):
-    return distance.topic_distance(scores(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+    return distance.topic_distance(staged(scores(spark, sf_dir), "scores")).withColumn("dist", F.round("dist", 6))
 
 
 @query("topic_distance_euclidean", TF_SQL + PAIRS_SQL + """
 SELECT ta, tb, round(sqrt(greatest(0, sa + sb - 2 * dot)), 6) AS dist FROM pair
 """)
 def topic_distance_euclidean(spark, sf_dir):
-    return distance.topic_distance(scores(spark, sf_dir), "euclidean").withColumn("dist", F.round("dist", 6))
+    return distance.topic_distance(staged(scores(spark, sf_dir), "scores"), "euclidean").withColumn("dist", F.round("dist", 6))
 
 
 @query("distance_problems", """
