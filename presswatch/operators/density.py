@@ -36,36 +36,35 @@ def cell_of(vector: Column, widths: Sequence[float]) -> Column:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, label)``: the smallest id of each component, for ``edges(u, v)`` given in both directions.
 
-    Each round takes the smallest label among neighbours and then the label of that label; the rounds
-    are written tables, and the loop ends when no label changes. A label shared by a third of all
-    nodes is looked up through the salted join.
+    Each round a node takes the smallest of its label, its neighbours' labels and its label's label,
+    all from the table of the round before. The rounds are written tables; the loop ends when no label
+    changes. A label shared by a third of all nodes is looked up through the salted join.
     """
     edges = staged(edges.select("u", "v"), "edges")
     labels = staged(nodes.select("id", F.col("id").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         near = edges.join(labels, edges["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels["id"] == near["u"], "left").select(
-            "id", F.col("label").alias("before"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        moved = staged(moved, "moved")
-        used = moved.select(F.col("label").alias("root")).distinct()
-        hop = used.join(moved.select(F.col("id").alias("root"), F.col("label").alias("jump")), "root")
-        nodes_next = lookup_join(
-            moved.withColumnRenamed("label", "root"), hop, ["root"], spread=["id"]
-        ).select("id", "before", F.col("jump").alias("label"))
-        nodes_next = staged(nodes_next, "labels")
-        changed = not nodes_next.filter(F.col("label") != F.col("before")).isEmpty()
-        labels = nodes_next.select("id", "label")
-        if not changed:
+        used = labels.select("label").distinct()
+        hop = used.join(
+            labels.select(F.col("id").alias("root"), F.col("label").alias("jump")), F.col("label") == F.col("root")
+        ).select("label", "jump")
+        jumped = lookup_join(labels, hop, ["label"], spread=["id"])
+        moved = staged(
+            jumped.join(near, jumped["id"] == near["u"], "left").select(
+                "id", F.col("label").alias("before"), F.least("jump", F.coalesce("near", "jump")).alias("label")),
+            "labels")
+        labels = moved.select("id", "label")
+        if moved.filter(F.col("label") != F.col("before")).isEmpty():
             return labels
     raise RuntimeError(f"labels still changed after {MAX_ROUNDS} rounds")
 
 
 def _faces(cells: DataFrame, size: int) -> DataFrame:
     """Occupied neighbours: ``(u, v, n_v)`` in both directions, by an equality join on shifted cells."""
-    shifted = [
-        F.transform(F.col("cell"), lambda x, i, axis=axis: x + F.when(i == axis, 1).otherwise(0))
-        for axis in range(size)
-    ]
+    def one_ahead(axis: int) -> Column:
+        return F.transform(F.col("cell"), lambda x, i: x + F.when(i == axis, 1).otherwise(0))
+
+    shifted = [one_ahead(axis) for axis in range(size)]
     ahead = cells.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.explode(F.array(*shifted)).alias("cell"))
     met = ahead.join(cells.select("cell", F.col("id").alias("v"), F.col("n").alias("n_v")), "cell")
     return met.select("u", "v", "n_v").unionByName(

@@ -67,10 +67,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def reduced(df: DataFrame, size: int = 5, vector: str = "embedding", name: str = "reduced") -> DataFrame:
     """Principal components of the unit vectors. The fitted matrix depends on the width, not on the rows."""
-    first = df.select(F.size(vector)).filter(F.col(vector).isNotNull()).first()
-    if first is None:
-        return df.withColumn(name, F.array().cast("array<double>"))
-    width = first[0]
+    widths = df.select(F.size(vector)).filter(F.col(vector).isNotNull()).take(2)
+    if len(widths) < 2:  # no spread to find components in
+        return df.withColumn(name, F.array_repeat(F.lit(0.0), F.lit(size)))
+    width = widths[0][0]
     if width > MAX_PCA_INPUT:
         raise ValueError(f"{width} components; PCA takes at most {MAX_PCA_INPUT}, use a smaller embedding")
     unit = Normalizer(inputCol="_vector", outputCol="_scaled", p=2.0)

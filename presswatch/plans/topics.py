@@ -36,13 +36,18 @@ def fit_topics(df: DataFrame, text: str = "RelevantKeywords", key: str = "ingest
     """
     docs = drop_missing(df.withColumn(text, null_if_blank(F.col(text))), text)
     if vector is None:
-        docs = embedding.with_embedding(docs, embedding.fit_embedding(docs, text, settings.embedding_size), text)
-        vector = "embedding"
-    docs = staged(embedding.reduced(docs, settings.reduced_size, vector, "reduced"), "reduced")
-    tier = cluster_tier(docs.count())
-    sizes = widths or density.scott_widths(docs, "reduced", settings.reduced_size)
-    topics = density.density_topics(docs, key, "reduced", sizes, tier, tier)
-    labelled = staged(docs.join(topics, key), "labelled")
+        texts = staged(docs.select(key, text), "texts")
+        vectors = embedding.with_embedding(
+            texts, embedding.fit_embedding(texts, text, settings.embedding_size), text, "_embedding")
+    else:
+        vectors = docs.select(key, F.col(vector).alias("_embedding"))
+    # Only the few reduced components are kept, not the wide vectors.
+    points = staged(
+        embedding.reduced(vectors, settings.reduced_size, "_embedding", "reduced").select(key, "reduced"), "reduced")
+    tier = cluster_tier(points.count())
+    sizes = widths or density.scott_widths(points, "reduced", settings.reduced_size)
+    topics = density.density_topics(points, key, "reduced", sizes, tier, tier)
+    labelled = staged(docs.join(points.join(topics, key), key), "labelled")
     counts = staged(topic_terms.bag_of_words(labelled, text), "counts")
     scores = staged(topic_terms.class_tf_idf(counts), "scores")
     return TopicModel(labelled, counts, scores, topic_terms.topic_frequency(labelled))
@@ -61,7 +66,7 @@ def topic_reports(model: TopicModel, text: str = "RelevantKeywords", settings: S
         "topic_terms": topic_terms.top_terms(scores, settings.stored_words),
         "topic_freq": model.frequency,
         "topic_bars": topic_terms.bar_report(scores, settings.bar_topics, settings.shown_words),
-        "topic_map": embedding.topic_map(docs),
+        "topic_map": embedding.topic_map(docs, "reduced"),
         "document_map": embedding.document_map(docs, size=settings.embedding_size),
         "topics_over_time": over_time,
         "topics_by_label": evolution.by_label(over_time),
@@ -77,7 +82,7 @@ def run_topics(df: DataFrame, out: str, text: str = "RelevantKeywords", vector:
     """Fit, then write the labelled articles and one table per report under ``out``; returns the paths."""
     model = fit_topics(df, text, vector=vector, settings=settings)
     tables = {
-        "articles_with_topics": model.documents.drop("embedding", "reduced"),
+        "articles_with_topics": model.documents.drop("reduced"),
         "class_tf_idf": model.scores,
         **topic_reports(model, text, settings),
     }

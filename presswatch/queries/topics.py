@@ -218,11 +218,19 @@ def topic_time_words(spark, sf_dir):
     return wide.select("label", *[F.col(str(t)).alias(f"topic_{t}") for t in TOPICS])
 
 
+_TREES: dict[tuple[str, str, str], tuple] = {}
+
+
 def _tree(spark, sf_dir, method="ward"):
-    base = staged(counts(spark, sf_dir), "counts")
-    weighed = staged(topic_terms.class_tf_idf(base), "scores")
-    merges = hierarchy.linkage(weighed, distance.topic_distance(weighed), method)
-    return hierarchy.hierarchical_topics(base, merges, weighed), merges, topic_terms.topic_names(weighed)
+    """Hierarchy, merges and topic names, worked out once per session and read from their tables after that."""
+    key = (spark.sparkContext.applicationId, sf_dir, method)
+    if key not in _TREES:
+        base = staged(counts(spark, sf_dir), "counts")
+        weighed = staged(topic_terms.class_tf_idf(base), "scores")
+        merges = hierarchy.linkage(weighed, distance.topic_distance(weighed), method)
+        parents = staged(hierarchy.hierarchical_topics(base, merges, weighed), "parents")
+        _TREES[key] = parents, merges, topic_terms.topic_names(weighed)
+    return _TREES[key]
 
 
 def _flat(rows):

@@ -16,7 +16,7 @@ from presswatch.session import staged
 WIDTH, REDUCED = 64, 5
 MATRIX = [[math.cos(math.pi * (i + 0.5) * k / WIDTH) * math.sqrt(2.0 / WIDTH) for i in range(WIDTH)]
           for k in range(1, REDUCED + 1)]
-CELL, MIN_SIZE, MIN_SAMPLES = 0.12, 3, 5
+CELL, MIN_SIZE, MIN_SAMPLES = 0.08, 3, 5
 
 
 def _parts_sql() -> str:
