@@ -35,6 +35,25 @@ def time_span(df: DataFrame, ts: str = "Timestamp") -> tuple[int, int] | None:
     return None if low is None else (low, high)
 
 
+def _places(frequency: DataFrame, local: DataFrame) -> DataFrame:
+    """Per (topic, bin): word weight totals and the topic's neighbouring bins, null when the bin before or
+    after that holds any row lacks the topic. At most ``bins`` rows per topic, as in its windows."""
+    held = frequency.select("bin").distinct().withColumn("step", F.row_number().over(Window.orderBy("bin")))
+    totals = local.groupBy("topic", "bin").agg(F.sum("w").alias("total"))
+    around = Window.partitionBy("topic").orderBy("step")
+    follows, leads = F.lag("step").over(around) == F.col("step") - 1, F.lead("step").over(around) == F.col("step") + 1
+    return (
+        frequency.select("topic", "bin").join(F.broadcast(held), "bin")  # at most ``bins`` rows
+        .join(totals, ["topic", "bin"], "left")
+        .select(
+            "topic", "bin", "total",
+            F.sum("total").over(Window.partitionBy("topic")).alias("topic_total"),
+            F.when(follows, F.lag("bin").over(around)).alias("previous_bin"),
+            F.when(follows, F.lag("total").over(around)).alias("previous_total"),
+            F.when(leads, F.lead("bin").over(around)).alias("next_bin"))
+    )
+
+
 def topics_over_time(df: DataFrame, text: str = "Description", ts: str = "Timestamp", bins: int = 20,
                      words: int = 5, stop_words: Sequence[str] | None = None) -> DataFrame:
     """``(topic, bin, Words, Frequency, Timestamp)``.
@@ -51,42 +70,35 @@ def topics_over_time(df: DataFrame, text: str = "Description", ts: str = "Timest
     frequency = staged(docs.groupBy("topic", "bin").agg(F.count(F.lit(1)).alias("Frequency")), "bin-frequency")
     binned = staged(bag_of_words(docs, text, stop_words=stop_words, by=("topic", "bin")), "bin-words")
 
-    # Overall share of each word in its topic, with its idf.
-    overall = binned.groupBy("topic", "term").agg(F.sum("n").alias("n"))
-    weighed = staged(overall.join(term_idf(overall), "term").select(
-        "topic", "term", "idf", (F.col("n") * F.col("idf")).alias("w")), "word-weights")
-    totals = weighed.groupBy("topic").agg(F.sum("w").alias("total"))
-    whole = lookup_join(weighed, totals, ["topic"], spread=["term"]).select(
-        "topic", "term", "idf", (F.col("w") / F.col("total")).alias("whole"))
-
-    # The same per bin, with the topic's neighbouring bins: at most ``bins`` rows per topic.
-    local = staged(binned.join(whole, ["topic", "term"]).select(
-        "topic", "bin", "term", "whole", (F.col("n") * F.col("idf")).alias("w")), "bin-weights")
-    held = frequency.select("bin").distinct().withColumn("step", F.row_number().over(Window.orderBy("bin")))
-    around = Window.partitionBy("topic").orderBy("step")
-    places = (
-        frequency.join(F.broadcast(held), "bin")  # at most ``bins`` rows
-        .select(
-            "topic", "bin",
-            F.coalesce(F.lag("step").over(around) == F.col("step") - 1, F.lit(False)).alias("after_previous"),
-            F.when(F.lead("step").over(around) == F.col("step") + 1, F.lead("bin").over(around)).alias("next_bin"))
-        .join(local.groupBy("topic", "bin").agg(F.sum("w").alias("total")), ["topic", "bin"], "left")
-    )
-
-    share = F.col("w") / F.col("total")
-    own = F.struct(F.col("bin").alias("at"), (share * F.when(F.col("after_previous"), 0.25).otherwise(0.5)).alias("part"))
-    carried = F.when(F.col("next_bin").isNotNull(), F.struct(F.col("next_bin").alias("at"), (share * 0.25).alias("part")))
-    parts = lookup_join(local, places, ["topic", "bin"], spread=["term"]).select(
-        "topic", "term", "whole", F.explode(F.array_compact(F.array(own, carried))).alias("p"))
-    leading = top_terms(whole, words, score="whole").join(frequency.select("topic", "bin"), "topic")
-    scored = (
-        parts.select("topic", F.col("p.at").alias("bin"), "term", "whole", F.col("p.part").alias("part"))
-        .unionByName(leading.select("topic", "bin", "term", "whole", F.lit(0.0).alias("part")))
-        .groupBy("topic", "bin", "term").agg((F.sum("part") + F.max("whole") / 2).alias("score"))
+    # One shuffle by term serves the idf join and the windows; a (topic, term) has at most ``bins`` rows.
+    steps = Window.partitionBy("topic", "term").orderBy("bin")
+    every = Window.partitionBy("topic", "term")
+    weighed = binned.join(term_idf(binned), "term").withColumn("w", F.col("n") * F.col("idf"))
+    local = staged(weighed.select(
+        "topic", "bin", "term", "w", F.sum("w").over(every).alias("w_all"),
+        F.lag("bin").over(steps).alias("before"), F.lag("w").over(steps).alias("w_before"),
+        F.lead("bin").over(steps).alias("after")), "bin-weights")
+    places = _places(frequency, local)
+
+    known = lookup_join(local, places, ["topic", "bin"], spread=["term"])
+    share, whole = F.col("w") / F.col("total"), F.col("w_all") / F.col("topic_total")
+    carried_in = F.when(F.col("before") == F.col("previous_bin"), F.col("w_before") / F.col("previous_total"))
+    blended = F.when(F.col("previous_bin").isNotNull(), (share + F.coalesce(carried_in, F.lit(0.0))) / 2).otherwise(share)
+    own = F.struct(F.col("bin").alias("at"), ((whole + blended) / 2).alias("score"))
+    only_before = F.col("next_bin").isNotNull() & ~F.col("next_bin").eqNullSafe(F.col("after"))
+    carried_on = F.when(only_before, F.struct(F.col("next_bin").alias("at"), ((whole + share / 2) / 2).alias("score")))
+    seen = known.select("topic", "term", F.explode(F.array_compact(F.array(own, carried_on))).alias("p")).select(
+        "topic", F.col("p.at").alias("bin"), "term", F.col("p.score").alias("score"))
+
+    key = ("topic", "bin")
+    overall = top_terms(local.filter(F.col("before").isNull()), words, score="w_all").select("topic", "term", "w_all")
+    leading = overall.join(places, "topic").select("topic", "bin", "term", (whole / 2).alias("score"))
+    best = (
+        top_terms(seen, words, key=key).drop("rank").unionByName(leading)
+        .groupBy("topic", "bin", "term").agg(F.max("score").alias("score"))
     )
-    text_of = joined_terms(top_terms(scored, words, key=("topic", "bin")), key=("topic", "bin"),
-                           separator=", ", name="Words")
-    return frequency.join(text_of, ["topic", "bin"], "left").select(
+    text_of = joined_terms(top_terms(best, words, key=key), key=key, separator=", ", name="Words")
+    return frequency.join(text_of, list(key), "left").select(
         "topic", "bin", "Words", "Frequency", bin_start(F.col("bin"), low, high, bins).alias("Timestamp"))
 
 

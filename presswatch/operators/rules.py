@@ -37,9 +37,9 @@ def keyword_table(df: DataFrame, key: str = "ingest_seq", text: str = "Descripti
 
     A word that is in most articles is one hot join key, so the document-frequency side is salted.
     """
-    tf = term_rows(df.filter(F.col(text).isNotNull()), text, keep=[key]).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
-    spread = tf.groupBy("term").agg(F.count(F.lit(1)).alias("articles"))
+    described = df.filter(F.col(text).isNotNull())
+    tf = term_rows(described, text, keep=[key]).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    spread = term_rows(described, text, keep=[], once=True).groupBy("term").agg(F.count(F.lit(1)).alias("articles"))
     total = df.select(F.count(F.lit(1)).cast("double").alias("total")).scalar()
     scored = lookup_join(tf, spread, ["term"], spread=[key]).withColumn(
         "score", F.round(F.col("tf") * F.ln((total + 1.0) / (F.col("articles") + 1.0)), 10))

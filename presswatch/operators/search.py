@@ -48,11 +48,13 @@ def best_article_per_topic(topics: DataFrame, articles: DataFrame, name: str = "
                            text: str = "Description") -> DataFrame:
     """One article per topic: most shared terms, then newest, then first ingested.
 
-    Terms join on equality; the topic side is broadcast only when it is small. Matches are counted
-    per (topic, article) before anything is ranked.
+    Terms join on equality. With a topic list that a row check finds small, articles are spread by
+    their number once, so matches are counted where the article is and each task passes on only its
+    best article per topic. A longer list takes the salted join.
     """
     wanted = term_rows(topics.select(name), name, keep=[name]).distinct()
-    have = term_rows(articles, text, keep=["ingest_seq", "Timestamp"], once=True)
+    spread = articles.select("ingest_seq", "Timestamp", text).repartition("ingest_seq")
+    have = term_rows(spread, text, keep=["ingest_seq", "Timestamp"], once=True)
     score = (
         checked_join(have, wanted, ["term"], spread=["ingest_seq"])
         .groupBy(name, "ingest_seq", "Timestamp").agg(F.count(F.lit(1)).alias("score"))
