@@ -30,7 +30,7 @@ def first_topics(df: DataFrame, n: int = 16) -> DataFrame:
 
 
 def selected_topics(vectors: DataFrame, topics: DataFrame) -> DataFrame:
-    """Vector rows of the chosen topics, each with its place in the selection order (topic order)."""
+    """Vector rows of the chosen topics."""
     return lookup_join(vectors, topics.select("topic").distinct(), ["topic"], spread=["term"])
 
 

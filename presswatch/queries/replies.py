@@ -11,7 +11,11 @@ from presswatch.functions.replies import (contract_violations, error_counts, wit
 from presswatch.functions.text import ENGLISH_STOP_WORDS
 from presswatch.operators.enrich import with_enrichment, with_prompt, with_replies
 from presswatch.operators.rules import Rules, keyword_table, with_rule_replies
+from presswatch.plans.enrichment import enrich_delta
 from presswatch.queries.registry import articles, as_of, out, query
+from presswatch.schemas import ARTICLES
+from presswatch.session import work_path
+from presswatch.sources.tables import append_table
 
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 
@@ -204,3 +208,20 @@ def rule_enrichment(spark, sf_dir):
                F.col("RelevanceReason").alias("relevance_reason"), "alert_flag",
                F.col("AlertReason").alias("alert_reason"), "news_category",
                F.col("PromptTokens").alias("prompt_tokens"))
+
+
+@query("enriched_table", f"""
+s AS (SELECT doc_id, coalesce(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}_]{{2,}}'), []) AS seen FROM articles)
+SELECT doc_id, CASE WHEN len({_hits(PROSE_RULES.relevant)}) > 0 THEN 'Yes' ELSE 'No' END AS relevance,
+  CAST(len(seen) AS INT) AS prompt_tokens FROM s
+""")
+def enriched_table(spark, sf_dir):
+    """The enrichment job run twice over a stored article table: the second run finds nothing to enrich."""
+    rows = articles(spark, sf_dir)
+    moment = rows.select(F.max("Timestamp").cast("string")).first()[0]
+    source, target = work_path(spark, "articles"), work_path(spark, "enriched")
+    append_table(rows.select(*[
+        F.col(c).cast(ARTICLES[c].dataType).alias(c) for c in ARTICLES.fieldNames()]), source)
+    for _ in range(2):
+        done = enrich_delta(spark, source, target, moment, rules=PROSE_RULES)
+    return out(done, "doc_id", "relevance", F.col("PromptTokens").alias("prompt_tokens"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presswatch.config import cluster_tier
 from presswatch.functions.text import ENGLISH_STOP_WORDS, term_rows
-from presswatch.operators import distance, evolution, hierarchy, topic_terms
+from presswatch.operators import distance, evolution, filters, hierarchy, topic_terms
 from presswatch.queries.registry import articles, out, query, table
 from presswatch.session import staged
 
@@ -218,6 +218,45 @@ def topic_time_words(spark, sf_dir):
     return wide.select("label", *[F.col(str(t)).alias(f"topic_{t}") for t in TOPICS])
 
 
+# One closest pair at a time, as list operations on one state row per step. ``{merged}`` is the distance of
+# cluster v to the merged pair, from dx, dy (distances to its parts), nx, ny, nv (sizes) and b.d (pair distance).
+TREE_SQL = "RECURSIVE " + (TF_SQL.strip() + PAIRS_SQL).replace("{", "{{").replace("}", "}}") + """,
+st AS (
+  SELECT 0 AS step, (SELECT list({{'d': 1 - dot / sqrt(sa * sb), 'a': ta, 'b': tb}}) FROM pair) AS dist,
+    (SELECT list({{'slot': topic, 'm': [topic]}} ORDER BY topic) FROM nrm) AS nodes,
+    CAST(NULL AS DOUBLE) AS d, CAST(NULL AS INT[]) AS lm, CAST(NULL AS INT[]) AS rm
+  UNION ALL
+  SELECT step + 1,
+    list_concat(list_filter(dist, lambda e: e.a NOT IN (b.a, b.b) AND e.b NOT IN (b.a, b.b)),
+      list_transform(parts, lambda p: {{'d': {merged}, 'a': least(p.v, b.a), 'b': greatest(p.v, b.a)}})),
+    list_concat(others, [{{'slot': b.a, 'm': list_sort(list_concat(l, r))}}]), b.d, l, r
+  FROM (SELECT *, list_transform(others, lambda o: {{
+      'v': o.slot, 'nv': CAST(len(o.m) AS DOUBLE), 'nx': CAST(len(l) AS DOUBLE), 'ny': CAST(len(r) AS DOUBLE),
+      'dx': list_filter(dist, lambda e: e.a = least(o.slot, b.a) AND e.b = greatest(o.slot, b.a))[1].d,
+      'dy': list_filter(dist, lambda e: e.a = least(o.slot, b.b) AND e.b = greatest(o.slot, b.b))[1].d}}) AS parts
+    FROM (SELECT *, list_filter(nodes, lambda o: o.slot NOT IN (b.a, b.b)) AS others,
+        list_filter(nodes, lambda o: o.slot = b.a)[1].m AS l, list_filter(nodes, lambda o: o.slot = b.b)[1].m AS r
+      FROM (SELECT *, list_sort(dist)[1] AS b FROM st WHERE len(nodes) > 1)))),
+par AS (SELECT CAST((SELECT max(topic) FROM nrm) + step AS INT) AS id, d, lm, rm, list_sort(list_concat(lm, rm)) AS m
+  FROM st WHERE step > 0),
+psum AS (SELECT p.id, tf.term, sum(tf.n) * max(i.idf) AS score
+  FROM (SELECT id, unnest(m) AS topic FROM par) p JOIN tf ON tf.topic = p.topic JOIN idf i ON i.term = tf.term
+  GROUP BY p.id, tf.term),
+prank AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, term) AS rank FROM psum),
+node AS (
+  SELECT p.id, p.m, n.name FROM par p
+  JOIN (SELECT id, string_agg(term, '_' ORDER BY rank) AS name FROM prank WHERE rank <= 5 GROUP BY id) n ON n.id = p.id
+  UNION ALL
+  SELECT topic, [topic], string_agg(term, '_' ORDER BY rank) FROM ranked WHERE rank <= 5 GROUP BY topic)
+"""
+WARD_SQL = TREE_SQL.format(merged="sqrt(((p.nv + p.nx) * p.dx * p.dx + (p.nv + p.ny) * p.dy * p.dy"
+                                  " - p.nv * b.d * b.d) / (p.nv + p.nx + p.ny))")
+AVERAGE_SQL = TREE_SQL.format(merged="(p.nx * p.dx + p.ny * p.dy) / (p.nx + p.ny)")
+PARENTS_SQL = """
+SELECT p.id AS parent_id, n.name AS parent_name, array_to_string(p.m, ',') AS topics, l.id AS left_id,
+  l.name AS left_name, r.id AS right_id, r.name AS right_name, round(p.d, 6) AS distance
+FROM par p JOIN node n ON n.id = p.id JOIN node l ON l.m = p.lm JOIN node r ON r.m = p.rm
+"""
 _TREES: dict[tuple[str, str, str], tuple] = {}
 
 
@@ -242,17 +281,28 @@ def _flat(rows):
         F.round("Distance", 6).alias("distance"))
 
 
-@query("topic_hierarchy")
+@query("topic_hierarchy", WARD_SQL + PARENTS_SQL)
 def topic_hierarchy(spark, sf_dir):
     return _flat(_tree(spark, sf_dir)[0])
 
 
-@query("topic_hierarchy_average")
+@query("hierarchy_below_root", WARD_SQL + """
+SELECT p.id AS parent_id, n.name AS parent_name FROM par p JOIN node n ON n.id = p.id WHERE n.name <> 'Top'
+""")
+def hierarchy_below_root(spark, sf_dir):
+    return filters.below_root(_tree(spark, sf_dir)[0]).select(
+        F.col("Parent_ID").alias("parent_id"), F.col("Parent_Name").alias("parent_name"))
+
+
+@query("topic_hierarchy_average", AVERAGE_SQL + PARENTS_SQL)
 def topic_hierarchy_average(spark, sf_dir):
     return _flat(_tree(spark, sf_dir, "average")[0])
 
 
-@query("topic_annotations")
+@query("topic_annotations", WARD_SQL + """
+SELECT array_to_string(p.m, ',') AS topics, l.name AS left_name, r.name AS right_name, round(p.d, 6) AS distance
+FROM par p JOIN node l ON l.m = p.lm JOIN node r ON r.m = p.rm
+""")
 def topic_annotations(spark, sf_dir):
     parents, merges, names = _tree(spark, sf_dir)
     return hierarchy.node_annotations(merges, parents, names).select(
@@ -260,7 +310,14 @@ def topic_annotations(spark, sf_dir):
         "left_name", "right_name", F.round("dist", 6).alias("distance"))
 
 
-@query("topic_tree")
+@query("topic_tree", WARD_SQL + """,
+up AS (SELECT c.id, p.name, len(p.m) AS size FROM node c JOIN node p
+  ON len(p.m) > len(c.m) AND list_contains(p.m, c.m[1])),
+way AS (SELECT id, count(*) AS depth, string_agg(name, ' > ' ORDER BY size DESC) AS path FROM up GROUP BY id)
+SELECT CAST(coalesce(w.depth, 0) AS INT) AS depth, concat_ws(' > ', w.path, n.name) AS path, n.name,
+  CASE WHEN len(n.m) = 1 THEN n.id END AS topic
+FROM node n LEFT JOIN way w ON w.id = n.id
+""")
 def topic_tree(spark, sf_dir):
     parents, _, names = _tree(spark, sf_dir)
     return hierarchy.topic_tree(parents, names)

@@ -10,6 +10,7 @@ from presswatch.operators import density, embedding
 from presswatch.operators.rules import keyword_table
 from presswatch.plans.topics import fit_topics
 from presswatch.queries.registry import articles, out, query, table
+from presswatch.queries.topics import PATTERN, STOP_SQL
 from presswatch.session import staged
 
 # A fixed reduction to five components, the first cosine basis vectors, so that SQL can follow it.
@@ -84,7 +85,10 @@ def reduced_vectors(spark, sf_dir):
     return rows.select("vec_id", *[F.round(F.get("reduced", F.lit(k)), 6).alias(f"x{k}") for k in range(REDUCED)])
 
 
-@query("document_vectors")
+@query("document_vectors", f"""
+SELECT doc_id, 256 AS width, CAST(CASE WHEN len(list_filter(regexp_extract_all(lower(text), '{PATTERN}'),
+  lambda w: w NOT IN ({STOP_SQL}))) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS length FROM documents
+""", with_articles=False)
 def document_vectors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = embedding.with_embedding(docs, embedding.fit_embedding(docs, "text", 256), "text")
@@ -116,7 +120,7 @@ def keyworded(spark, sf_dir):
 
 @query("fitted_topics")
 def fitted_topics(spark, sf_dir):
-    return out(fit_topics(keyworded(spark, sf_dir)).documents, "doc_id", "topic", "keywords")
+    return out(fit_topics(staged(keyworded(spark, sf_dir), "keyworded")).documents, "doc_id", "topic", "keywords")
 
 
 @query("topic_map")

@@ -41,13 +41,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def append_table(df: DataFrame, path: str, ts: str = "Timestamp") -> None:
-    """Append rows, partitioned by day."""
-    df.withColumn(DATE, F.to_date(ts)).write.mode("append").partitionBy(DATE).parquet(path)
+    """Append rows, partitioned by day. The rebalance gives few files per day and splits a heavy day."""
+    dated = df.withColumn(DATE, F.to_date(ts)).hint("rebalance", DATE)
+    dated.write.mode("append").partitionBy(DATE).parquet(path)
 
 
 def replace_dates(df: DataFrame, path: str) -> None:
     """Overwrite only the days that ``df`` holds (``df`` carries ``date``)."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
+    df.hint("rebalance", DATE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        DATE).parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
