@@ -12,8 +12,7 @@ from presswatch.schemas import REPLY_FIELDS
 
 def parsed_reply(text: Column) -> Column:
     """Reply text as VARIANT; null when it is not JSON or not a JSON object."""
-    value = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    return F.when(F.regexp_like(text, F.lit(r"^\s*\{")), F.try_parse_json(text))
 
 
 def _field(reply: Column, name: str) -> Column:
@@ -32,10 +31,15 @@ def _keywords(reply: Column) -> Column:
 
 def with_reply_fields(df: DataFrame, response: str = "LLM_Response") -> DataFrame:
     """Add the seven reply columns; all null on a failed row."""
-    reply = F.col("_reply")
+    return df.withColumn("_reply", parsed_reply(F.col(response))).withColumns(field_columns(F.col("_reply"))).drop(
+        "_reply")
+
+
+def field_columns(reply: Column) -> dict[str, Column]:
+    """The seven reply columns of a parsed reply."""
     fields = {name: _field(reply, name) for name in REPLY_FIELDS}
     fields["RelevantKeywords"] = _keywords(reply)
-    return df.withColumn("_reply", parsed_reply(F.col(response))).withColumns(fields).drop("_reply")
+    return fields
 
 
 def with_token_columns(df: DataFrame, usage: str = "LLM_Token_Usage") -> DataFrame:
@@ -52,10 +56,6 @@ def with_price(df: DataFrame, model: str | Column) -> DataFrame:
     return df.withColumn("LLM_Price", token_price(F.col("PromptTokens"), F.col("CompletionTokens"), model))
 
 
-def failed(df: DataFrame, response: str = "LLM_Response") -> Column:
-    return parsed_reply(df[response]).isNull()
-
-
 def with_contract_checks(df: DataFrame) -> DataFrame:
     """One boolean per rule of the reply format; true means broken."""
     words = F.filter(F.transform(F.split("RelevantKeywords", ","), lambda w: F.trim(w)), lambda w: w != "")

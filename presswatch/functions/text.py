@@ -34,12 +34,16 @@ def term_rows(df: DataFrame, text: str, keep: Sequence[str], stop_words: Sequenc
               once: bool = False) -> DataFrame:
     """One row per word occurrence (per distinct word with ``once``) with the ``keep`` columns, stop words out.
 
-    The stop-word test runs after ``explode`` so that it is a hashed set lookup in generated code.
+    The stop-word test runs after ``explode`` so that it is a hashed set lookup in generated code. It is
+    passed as one expression text, not as one literal per word.
     """
     stop = ENGLISH_STOP_WORDS if stop_words is None else stop_words
     found = F.array_distinct(words(F.col(text))) if once else words(F.col(text))
     rows = df.select(*keep, F.explode(found).alias("term"))
-    return rows.filter(~F.col("term").isin(*stop)) if stop else rows
+    if not stop:
+        return rows
+    listed = ", ".join("'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'" for word in stop)
+    return rows.filter(F.expr(f"term NOT IN ({listed})"))
 
 
 def sentences(text: Column, count: int = 2) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswatch.functions.replies import failed, with_price, with_reply_fields, with_token_columns
+from presswatch.functions.replies import field_columns, parsed_reply, with_price, with_token_columns
 from presswatch.functions.scalars import article_text, fill_template
 from presswatch.schemas import RAW_REPLY, REPLY_FIELDS
 
@@ -75,11 +75,12 @@ def with_replies(df: DataFrame, make_extractor: Callable[[], Extractor], max_att
 
 def with_enrichment(df: DataFrame, model: str, as_of: Column) -> DataFrame:
     """Raw replies to the stored columns; a reply that is not a JSON object fails its row to all nulls."""
-    bad = failed(df)
-    df = df.withColumns({
-        "LLM_Response": F.when(~bad, F.col("LLM_Response")),
-        "LLM_Token_Usage": F.when(~bad, F.col("LLM_Token_Usage")),
-    })
-    df = with_price(with_token_columns(with_reply_fields(df)), model)
+    reply = F.col("_reply")
+    df = df.withColumn("_reply", parsed_reply(F.col("LLM_Response"))).withColumns({
+        "LLM_Response": F.when(reply.isNotNull(), F.col("LLM_Response")),
+        "LLM_Token_Usage": F.when(reply.isNotNull(), F.col("LLM_Token_Usage")),
+        **field_columns(reply),
+    }).drop("_reply")
+    df = with_price(with_token_columns(df), model)
     stamp = F.when(F.col("LLM_Response").isNotNull(), F.date_trunc("second", as_of))
     return df.withColumn("API_Timestamp", stamp).drop("prompt", "attempts", "error")
