@@ -52,7 +52,6 @@ def with_token_columns(df: DataFrame, usage: str = "LLM_Token_Usage") -> DataFra
 
 
 def with_price(df: DataFrame, model: str | Column) -> DataFrame:
-    model = F.lit(model) if isinstance(model, str) else model
     return df.withColumn("LLM_Price", token_price(F.col("PromptTokens"), F.col("CompletionTokens"), model))
 
 

@@ -33,12 +33,18 @@ def fill_template(template: str, **values: Column) -> Column:
     return filled
 
 
-def token_price(prompt_tokens: Column, completion_tokens: Column, model: Column) -> Column:
-    """USD for one call; null for a model without a rate."""
+def token_price(prompt_tokens: Column, completion_tokens: Column, model: Column | str) -> Column:
+    """USD for one call; null for a model without a rate. ``model`` is one name or a column of names."""
+
+    def cost(name: str) -> Column:
+        rate_in, rate_out = TOKEN_RATES[name]
+        return (prompt_tokens * F.lit(rate_in) + completion_tokens * F.lit(rate_out)) / F.lit(1000.0)
+
+    if isinstance(model, str):
+        return cost(model) if model in TOKEN_RATES else F.lit(None).cast("double")
     price = F.lit(None).cast("double")
-    for name, (rate_in, rate_out) in TOKEN_RATES.items():
-        cost = (prompt_tokens * F.lit(rate_in) + completion_tokens * F.lit(rate_out)) / F.lit(1000.0)
-        price = F.when(model == name, cost).otherwise(price)
+    for name in TOKEN_RATES:
+        price = F.when(model == name, cost(name)).otherwise(price)
     return price
 
 

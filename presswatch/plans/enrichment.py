@@ -36,7 +36,7 @@ def enrich_delta(spark: SparkSession, articles: str, table: str, as_of: str,
     """Enrich only URLs without a stored result and append them; replies are written once, before use."""
     stored = read_table(spark, table, schemas.ENRICHED)
     fresh = read_table(spark, articles, schemas.ARTICLES).drop("date")
-    todo = not_processed(fresh, stored, retry_failed=retry_failed)
-    added = staged(enriched(todo, as_of, make_extractor, rules, settings), "enriched")
-    append_table(added, table)
+    todo = staged(not_processed(fresh, stored, retry_failed=retry_failed), "todo")
+    if not todo.isEmpty():
+        append_table(staged(enriched(todo, as_of, make_extractor, rules, settings), "enriched"), table)
     return read_table(spark, table, schemas.ENRICHED)
