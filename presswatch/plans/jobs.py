@@ -15,6 +15,7 @@ from presswatch.operators.rules import Rules
 from presswatch.plans.enrichment import enrich_delta
 from presswatch.plans.ingest import LandedReplies, ingest_regular, ingest_trending
 from presswatch.plans.topics import run_topics
+from presswatch.session import work_tables
 from presswatch.sources.tables import read_table, retire_all
 
 TABLES = {"articles": schemas.ARTICLES, "enriched": schemas.ENRICHED}
@@ -63,16 +64,19 @@ def process_news(spark: SparkSession, store: Store, as_of: str,
 def hourly_job(spark: SparkSession, store: Store, landed: LandedReplies, batch_id: int, as_of: str,
                make_extractor: Callable[[], Extractor] | None = None, rules: Rules | None = None,
                settings: Settings = DEFAULTS) -> dict[str, str]:
-    ingest_regular(spark, landed, batch_id, store.articles)
-    clean_old_data(spark, store, as_of, settings)
-    return process_news(spark, store, as_of, make_extractor, rules, settings)
+    """Ingest, retention, enrichment of what is new, topics; returns the report paths."""
+    with work_tables(spark):
+        ingest_regular(spark, landed, batch_id, store.articles)
+        clean_old_data(spark, store, as_of, settings)
+        return process_news(spark, store, as_of, make_extractor, rules, settings)
 
 
 def daily_job(spark: SparkSession, store: Store, landed: LandedReplies, batch_id: int, as_of: str,
               make_extractor: Callable[[], Extractor] | None = None, rules: Rules | None = None,
               settings: Settings = DEFAULTS) -> dict[str, str]:
     """Trending articles first, so that they win over regular copies, then the hourly job."""
-    ingest_trending(spark, landed, batch_id, store.articles)
+    with work_tables(spark):
+        ingest_trending(spark, landed, batch_id, store.articles)
     return hourly_job(spark, store, landed, batch_id + 1, as_of, make_extractor, rules, settings)
 
 

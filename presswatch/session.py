@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def build_session(app_name: str = "presswatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,4 +62,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path with its file system, whatever storage it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables staged inside the block at its end: a periodic job leaves only its results."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        for path in _STAGED[before:]:
+            target, fs = hadoop_path(spark, path)
+            fs.delete(target, True)
+        del _STAGED[before:]

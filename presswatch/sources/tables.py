@@ -8,24 +8,19 @@ from pyspark.sql import types as T
 
 from presswatch.operators.dedup import union_distinct
 from presswatch.operators.retention import archived, cutoff, kept
-from presswatch.session import staged
+from presswatch.session import hadoop_path, staged
 
 DATE = "date"
 _CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
-    target, fs = _hadoop_path(spark, path)
+    target, fs = hadoop_path(spark, path)
     return fs.exists(target)
 
 
 def child_names(spark: SparkSession, path: str) -> list[str]:
-    target, fs = _hadoop_path(spark, path)
+    target, fs = hadoop_path(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
 
@@ -71,7 +66,7 @@ def drop_dates(spark: SparkSession, path: str, before: str) -> list[str]:
     """Remove whole day partitions older than ``before`` (ISO date)."""
     old = [n for n in child_names(spark, path) if n.startswith(f"{DATE}=2") and n.split("=", 1)[1] < before]
     for name in old:
-        target, fs = _hadoop_path(spark, f"{path}/{name}")
+        target, fs = hadoop_path(spark, f"{path}/{name}")
         fs.delete(target, True)
     return old
 
@@ -96,7 +91,7 @@ def retire(spark: SparkSession, path: str, backup_path: str, schema: T.StructTyp
         rest = staged(kept(stored, moment, days, ts), "kept")
         drop_dates(spark, path, limit)
         if rest.isEmpty():
-            target, fs = _hadoop_path(spark, f"{path}/{DATE}={limit}")
+            target, fs = hadoop_path(spark, f"{path}/{DATE}={limit}")
             fs.delete(target, True)
         else:
             replace_dates(rest, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF_DIR
-from presswatch import schemas
+from presswatch import schemas, session
 from presswatch.config import Settings, cluster_tier
 from presswatch.operators.rules import Rules
 from presswatch.plans.ingest import LandedReplies
@@ -40,6 +40,7 @@ def test_daily_and_hourly_jobs(spark, tmp_path):
     rules = Rules()
     day1 = LandedReplies(trending=(land(tmp_path / "t1", 0, 1),), categories=(land(tmp_path / "c1", 3, 1),))
     paths = daily_job(spark, store, day1, 1, "2024-03-01 23:00:00", rules=rules, settings=SMALL)
+    assert not session._STAGED or all(os.path.exists(p.removeprefix("file:")) for p in session._STAGED)
     stored = read_table(spark, store.enriched, schemas.ENRICHED)
     assert stored.count() == 27 and stored.select("URL").distinct().count() == 27
     assert stored.filter("IsTrending = 'yes'").count() == 18
