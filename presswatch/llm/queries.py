@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from presswatch.llm import q04_decontaminate  # noqa: F401
+from presswatch.llm import q04_decontaminate, q10_bpe  # noqa: F401
 from presswatch.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
