@@ -95,3 +95,11 @@ def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     for j in range(k):
         total = total * np.uint64(_BASE) + words[j:j + n]
     return mix(total ^ np.uint64(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
+
+def sum_spans(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``low:high`` of word hashes."""
+    forth, back = _powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * forth[:len(words)], out=sums[1:])
+    return mix((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64))
