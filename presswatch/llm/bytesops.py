@@ -103,3 +103,36 @@ def sum_spans(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * forth[:len(words)], out=sums[1:])
     return mix((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64))
+
+
+class Tally:
+    """Counts of 64-bit keys, added up in a task; ``full`` says when to hand them on."""
+
+    def __init__(self, limit: int = 1 << 22):
+        self.limit, self.held, self.size = limit, [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.held.append((keys, counts))
+        self.size += len(keys)
+        if self.size > self.limit:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys = np.concatenate([k for k, _ in self.held])
+        counts = np.concatenate([c for _, c in self.held])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+    def take(self, end: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """All counts so far, once they are many or at the end."""
+        if not self.held or not (end or self.size > self.limit // 2):
+            return None
+        out, self.held, self.size = self.merged(), [], 0
+        return out

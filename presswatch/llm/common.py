@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from presswatch.session import use_utc
 
@@ -18,3 +20,13 @@ def fresh(base: str, *frames: DataFrame) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def bitmap_of(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of the low bits of 64-bit keys; 2^bits / 64 numbers at most reach the driver, whatever the input."""
+    cells = (keys.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("bit")).distinct()
+             .groupBy(F.shiftright("bit", 6).alias("cell"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[cells.column("cell").to_numpy()] = cells.column("set").to_numpy().view(np.uint64)
+    return out

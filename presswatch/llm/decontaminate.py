@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from presswatch.llm.bytesops import LOWER, WORD_BYTES, gram_hashes, slices, span_hashes, split_words
-from presswatch.llm.common import fresh
+from presswatch.llm.common import bitmap_of, fresh
 from presswatch.session import staged
 
 SPAN = 10
@@ -99,15 +99,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, span: int) -> DataFr
 
 def bitmap(windows: DataFrame, length: int, bits: int = BITMAP_BITS) -> np.ndarray:
     """The fingerprints of the items of one length as a bitmap: at most 2^bits / 64 numbers reach the driver."""
-    h = F.col("h")
-    cells = (windows.filter(F.col("length") == length).select(F.explode("fingerprints").alias("h"))
-             .groupBy(h.bitwiseAND(F.lit((1 << bits) - 1)).cast("long").alias("bit")).agg(F.lit(1).alias("one"))
-             .groupBy(F.shiftright("bit", 6).alias("cell"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).collect())
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    for cell, value in cells:
-        out[cell] = value & (1 << 64) - 1
-    return out
+    return bitmap_of(windows.filter(F.col("length") == length).select(F.explode("fingerprints").alias("h")), "h", bits)
 
 
 def candidate_windows(docs: DataFrame, text: str, keep: Sequence[str], bitmaps: dict[int, np.ndarray],

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from presswatch.llm import q01_tokens, q04_decontaminate, q06_repeats, q08_near, q10_bpe  # noqa: F401
+from presswatch.llm import (  # noqa: F401
+    q01_tokens,
+    q03_lines,
+    q04_decontaminate,
+    q06_repeats,
+    q08_near,
+    q10_bpe,
+)
 from presswatch.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

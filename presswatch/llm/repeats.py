@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from presswatch.llm.bytesops import LOWER, WORD_BYTES, mix, slices, span_hashes, split_words, sum_spans
-from presswatch.llm.common import fresh
+from presswatch.llm.common import bitmap_of, fresh
 from presswatch.session import staged
 
 MIN_WORDS = 6
@@ -89,16 +89,6 @@ def _unit_rows(docs: DataFrame, cells: np.ndarray | None, min_words: int, bits:
     return docs.mapInArrow(run, schema)
 
 
-def _bitmap(digests: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the digests: 2^bits / 64 numbers at most reach the driver."""
-    cells = (digests.select(F.col("h1").bitwiseAND(F.lit((1 << bits) - 1)).alias("bit")).distinct()
-             .groupBy(F.shiftright("bit", 6).alias("cell"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))).toArrow()
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[cells.column("cell").to_numpy()] = cells.column("set").to_numpy().view(np.uint64)
-    return out
-
-
 def later_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                 bits: int = BITMAP_BITS) -> DataFrame:
     """(doc_id, text_key, drop): for each text with repeats, the units to remove and where the first stands."""
@@ -106,7 +96,7 @@ def later_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                          F.col(text).alias("text"))
     counted = _unit_rows(picked, None, min_words, bits).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
     seen = staged(counted.filter("n > 1").select("h1"), "repeated-halves")
-    found = staged(_unit_rows(picked, _bitmap(seen, bits), min_words, bits).distinct(), "repeated-units")
+    found = staged(_unit_rows(picked, bitmap_of(seen, "h1", bits), min_words, bits).distinct(), "repeated-units")
     place = F.struct("doc_id", "text_key", "unit")
     firsts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).filter("n > 1")
     later = found.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("kept")))
