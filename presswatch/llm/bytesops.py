@@ -136,3 +136,40 @@ class Tally:
             return None
         out, self.held, self.size = self.merged(), [], 0
         return out
+
+
+class HashTable:
+    """A number for each of many distinct 64-bit keys, looked up for whole arrays (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.row = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.append(values, values.dtype.type(0))
+        at, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.row[at[open_]] < 0]
+            self.row[at[free]] = free
+            open_ = open_[self.row[at[open_]] != open_]
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+        self.keys[at] = keys
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key (0 where it has none), and whether it has one."""
+        at = self._slot(keys)
+        row = self.row[at]
+        open_ = np.flatnonzero((row >= 0) & (self.keys[at] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            row[open_] = self.row[at[open_]]
+            open_ = open_[(row[open_] >= 0) & (self.keys[at[open_]] != keys[open_])]
+        return self.values[row], row >= 0
+
+
+def sum_by(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values[first[i]:first[i + 1]]``."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[first[1:]] - sums[first[:-1]]

@@ -8,6 +8,7 @@ from presswatch.llm import (  # noqa: F401
     q04_decontaminate,
     q06_repeats,
     q08_near,
+    q09_ppm,
     q10_bpe,
 )
 from presswatch.llm.registry import ORACLES, QUERIES
