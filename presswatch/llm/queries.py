@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from presswatch.llm import (  # noqa: F401
     q01_tokens,
+    q02_quality,
     q03_lines,
     q04_decontaminate,
     q06_repeats,
