@@ -8,6 +8,7 @@ from presswatch.llm import (  # noqa: F401
     q03_lines,
     q04_decontaminate,
     q06_repeats,
+    q07_outliers,
     q08_near,
     q09_ppm,
     q10_bpe,
