@@ -7,6 +7,7 @@ from presswatch.llm import (  # noqa: F401
     q02_quality,
     q03_lines,
     q04_decontaminate,
+    q05_secrets,
     q06_repeats,
     q07_outliers,
     q08_near,
