@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from presswatch.config import ALERT_BADGES, ALERT_FLAGS, TOKEN_RATES
 
 
 def iso_timestamp(text: Column) -> Column:
-    """ISO-8601 text to a UTC timestamp; no zone means UTC, unparsable means null."""
-    return text.try_cast("timestamp")
+    """ISO-8601 text to a UTC timestamp; no zone means UTC, unparsable means null.
+
+    A text without a date is unparsable: the cast alone would take the day from the clock.
+    """
+    return F.when(text.rlike(r"^\s*[+-]?\d{4,6}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
 
 
 def epoch_since(as_of: Column, days: int = 0, hours: int = 0) -> Column:
@@ -26,11 +30,16 @@ def article_text(title: Column, description: Column) -> Column:
 
 
 def fill_template(template: str, **values: Column) -> Column:
-    """Replace ``{name}`` placeholders of ``template`` by column values."""
-    filled = F.lit(template)
-    for name, value in values.items():
-        filled = F.replace(filled, F.lit("{" + name + "}"), value)
-    return filled
+    """Replace ``{name}`` placeholders of ``template`` by column values, in one pass.
+
+    Doubled braces stand for one; a placeholder without a value is an error; a null value gives null.
+    """
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(values[name])
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def token_price(prompt_tokens: Column, completion_tokens: Column, model: Column | str) -> Column:

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from presswatch.operators.skew import checked_join, lookup_join, number_rows
 from presswatch.session import staged
 
-MAX_ROUNDS = 200
-
 
 def scott_widths(df: DataFrame, vector: str, size: int) -> list[float]:
     """Cell width per dimension by Scott's rule, ``3.5 · σ · n^(-1 / (2 + d))``, from one aggregation."""
@@ -37,12 +35,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, label)``: the smallest id of each component, for ``edges(u, v)`` given in both directions.
 
     Each round a node takes the smallest of its label, its neighbours' labels and its label's label,
-    all from the table of the round before. The rounds are written tables; the loop ends when no label
-    changes. A label shared by a third of all nodes is looked up through the salted join.
+    all from the table of the round before. The rounds are written tables; labels only fall, so the loop ends,
+    when no label changes. A label shared by a third of all nodes is looked up through the salted join.
     """
     edges = staged(edges.select("u", "v"), "edges")
     labels = staged(nodes.select("id", F.col("id").alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = edges.join(labels, edges["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("near"))
         used = labels.select("label").distinct()
         hop = used.join(
@@ -56,7 +54,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.select("id", "label")
         if moved.filter(F.col("label") != F.col("before")).isEmpty():
             return labels
-    raise RuntimeError(f"labels still changed after {MAX_ROUNDS} rounds")
 
 
 def _faces(cells: DataFrame, size: int) -> DataFrame:
@@ -76,8 +73,9 @@ def density_topics(df: DataFrame, key: str, vector: str, widths: Sequence[float]
     """``(key, topic)``: topics numbered by size from 0, equal sizes by their smallest key; -1 = outlier."""
     size = len(widths)
     placed = df.select(F.col(key), cell_of(F.col(vector), widths).alias("cell"))
-    cells = staged(
-        placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("id")), "cells")
+    # A cell has a number of its own, in the order of its first key: keys may repeat.
+    counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_key"))
+    cells = staged(number_rows(counted, [F.col("first_key").asc(), F.col("cell").asc()], "id"), "cells")
     faces = staged(_faces(cells, size), "faces")
     around = faces.groupBy("u").agg(F.sum("n_v").alias("around"))
     core = staged(
@@ -95,7 +93,8 @@ def density_topics(df: DataFrame, key: str, vector: str, widths: Sequence[float]
     labelled = labels.unionByName(border).join(cells, "id").select("id", "cell", "n", "label")
     clusters = labelled.groupBy("label").agg(
         F.sum("n").alias("rows"), F.min("id").alias("first")).filter(F.col("rows") >= min_size)
-    numbered = number_rows(clusters, [F.col("rows").desc(), F.col("first").asc()], "topic").select("label", "topic")
+    numbered = number_rows(clusters, [F.col("rows").desc(), F.col("first").asc()], "topic").select(
+        "label", F.col("topic").cast("int").alias("topic"))
     cell_topics = staged(
         lookup_join(labelled, numbered, ["label"], spread=["id"]).select("cell", "topic"), "cell-topics")
     return checked_join(placed, cell_topics, ["cell"], spread=[key], how="left").select(

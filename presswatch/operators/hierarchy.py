@@ -130,7 +130,8 @@ def hierarchical_topics(counts: DataFrame, merges: DataFrame, scores: DataFrame,
         "size": F.col("left_size") + F.col("right_size"),
     })
     order = [F.round("dist", ORDER_DIGITS).asc(), F.col("size").asc(), F.col("left").asc()]
-    nodes = staged(number_rows(tree, order, "Parent_ID", start=(top or 0) + 1), "nodes")
+    numbered = number_rows(tree, order, "Parent_ID", start=(top or 0) + 1)
+    nodes = staged(numbered.withColumn("Parent_ID", F.col("Parent_ID").cast("int")), "nodes")
     names = staged(_node_names(nodes, counts, words), "names")
     leaves = topic_names(scores, words).select(
         F.col("topic").alias("slot"), F.lit(1).cast("long").alias("size"),

@@ -50,7 +50,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int =
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
         ranged.join(F.broadcast(offsets), "_part")  # one row per shuffle partition
-        .withColumn(name, (F.col("_before") + inside - 1 + F.lit(start)).cast("int"))
+        .withColumn(name, (F.col("_before") + inside - 1 + F.lit(start)).cast("long"))
         .drop("_part", "_before")
     )
 

@@ -12,6 +12,7 @@ from presswatch.functions.scalars import null_if_blank
 from presswatch.operators import density, embedding, evolution, hierarchy, rollup, topic_terms
 from presswatch.operators.dedup import drop_missing
 from presswatch.operators.distance import topic_distance
+from presswatch.operators.skew import number_rows
 from presswatch.session import staged
 from presswatch.sources.tables import write_report
 
@@ -35,6 +36,8 @@ def fit_topics(df: DataFrame, text: str = "RelevantKeywords", key: str = "ingest
     Minimum cluster size and samples follow the document count.
     """
     docs = drop_missing(df.withColumn(text, null_if_blank(F.col(text))), text)
+    # Rows are told apart by a number of their own, in key order: a key may repeat.
+    docs, key = staged(number_rows(docs, [F.col(key).asc()], "_row"), "numbered"), "_row"
     if vector is None:
         texts = staged(docs.select(key, text), "texts")
         vectors = embedding.with_embedding(
@@ -47,7 +50,7 @@ def fit_topics(df: DataFrame, text: str = "RelevantKeywords", key: str = "ingest
     tier = cluster_tier(points.count())
     sizes = widths or density.scott_widths(points, "reduced", settings.reduced_size)
     topics = density.density_topics(points, key, "reduced", sizes, tier, tier)
-    labelled = staged(docs.join(points.join(topics, key), key), "labelled")
+    labelled = staged(docs.join(points.join(topics, key), key).drop(key), "labelled")
     counts = staged(topic_terms.bag_of_words(labelled, text), "counts")
     scores = staged(topic_terms.class_tf_idf(counts), "scores")
     return TopicModel(labelled, counts, scores, topic_terms.topic_frequency(labelled))

@@ -108,7 +108,8 @@ FROM articles
 def sorted_by_flag(spark, sf_dir):
     rows = articles(spark, sf_dir).select("ingest_seq", "AlertFlag", "Timestamp")
     order = [flag_rank(F.col("AlertFlag")).asc_nulls_last(), F.col("Timestamp").desc(), F.col("ingest_seq").asc()]
-    return out(number_rows(rows, order, "position", start=1), "doc_id", "alert_flag", "position")
+    return out(number_rows(rows, order, "position", start=1), "doc_id", "alert_flag",
+               F.col("position").cast("int").alias("position"))
 
 
 @query("sorted_newest_first", f"""
@@ -117,7 +118,7 @@ SELECT doc_id, {TS}, CAST(row_number() OVER (ORDER BY ts DESC, doc_id) AS INT) A
 def sorted_newest_first(spark, sf_dir):
     rows = articles(spark, sf_dir).select("ingest_seq", "Timestamp")
     order = [F.col("Timestamp").desc(), F.col("ingest_seq").asc()]
-    return out(number_rows(rows, order, "position", start=1), "doc_id", "ts", "position")
+    return out(number_rows(rows, order, "position", start=1), "doc_id", "ts", F.col("position").cast("int").alias("position"))
 
 
 @query("first_per_url", """

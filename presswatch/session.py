@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
-_STAGED: list[str] = []
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def build_session(app_name: str = "presswatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,7 +63,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    _STAGED.append(path)
+    if (of_job := _STAGED.get()) is not None:
+        of_job.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,12 +76,16 @@ def hadoop_path(spark: SparkSession, path: str):
 
 @contextmanager
 def work_tables(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables staged inside the block at its end: a periodic job leaves only its results."""
-    before = len(_STAGED)
+    """Remove the tables staged inside the block at its end: a periodic job leaves only its results.
+
+    Each block (and thread) has a list of its own, so jobs of one driver do not touch each other's tables.
+    """
+    own: list[str] = []
+    token = _STAGED.set(own)
     try:
         yield
     finally:
-        for path in _STAGED[before:]:
+        _STAGED.reset(token)
+        for path in own:
             target, fs = hadoop_path(spark, path)
             fs.delete(target, True)
-        del _STAGED[before:]

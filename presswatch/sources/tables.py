@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from presswatch.operators.retention import archived, cutoff, kept
 from presswatch.session import hadoop_path, staged
 
 DATE = "date"
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 _CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -63,8 +66,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def drop_dates(spark: SparkSession, path: str, before: str) -> list[str]:
-    """Remove whole day partitions older than ``before`` (ISO date)."""
-    old = [n for n in child_names(spark, path) if n.startswith(f"{DATE}=2") and n.split("=", 1)[1] < before]
+    """Remove whole day partitions older than ``before`` (ISO date); the null partition holds no day."""
+    days = [n for n in child_names(spark, path) if n.startswith(f"{DATE}=") and n != f"{DATE}={NO_DATE}"]
+    old = [n for n in days if date.fromisoformat(n.split("=", 1)[1]) < date.fromisoformat(before)]
     for name in old:
         target, fs = hadoop_path(spark, f"{path}/{name}")
         fs.delete(target, True)

@@ -25,10 +25,10 @@ def fields(rows, *texts):
 
 def test_reply_fields(rows):
     whole, text, missing, null, empty, broken, array, none = fields(
-        rows, '{"RelevantKeywords": ["test", "news"], "Relevance": "Yes", "AlertFlag": "Red"}',
+        rows, '{"RelevantKeywords": ["river", "dam"], "Relevance": "Yes", "AlertFlag": "Red"}',
         '{"RelevantKeywords": "as is"}', "{}", '{"RelevantKeywords": null, "Relevance": null}',
         '{"RelevantKeywords": []}', "{oops", "[1]", None)
-    assert (whole.RelevantKeywords, whole.Relevance, whole.AlertFlag) == ("test, news", "Yes", "Red")
+    assert (whole.RelevantKeywords, whole.Relevance, whole.AlertFlag) == ("river, dam", "Yes", "Red")
     assert whole.ShortSummary == ""
     assert text.RelevantKeywords == "as is"
     assert (missing.RelevantKeywords, missing.NewsCategory) == ("", "")
@@ -44,6 +44,7 @@ def test_tokens_and_price(rows):
     assert df.select("PromptTokens", "CompletionTokens", "TotalTokens").first() == (10, 20, 30)
     df = with_token_columns(rows([((1000, 500, 1500),)], f"LLM_Token_Usage {usage}"))
     prices = {m: with_price(df, m).first().LLM_Price for m in ("openai_chat", "gpt4", "gpt4o", "other")}
+    # Prices of 1,000 and 500 tokens.
     assert prices["openai_chat"] == pytest.approx(0.0032)
     assert prices["gpt4"] == pytest.approx(0.096)
     assert prices["gpt4o"] == pytest.approx(0.00995)
@@ -51,8 +52,14 @@ def test_tokens_and_price(rows):
 
 
 def test_template_and_text(rows):
-    df = rows([("World", None)], "a string, b string")
-    assert df.select(scalars.fill_template("Hello, {name}!", name=F.col("a"))).first()[0] == "Hello, World!"
+    df = rows([("{b}", None)], "a string, b string")
+    filled = scalars.fill_template("{{x}} {a}-{b}", a=F.col("a"), b=F.lit("B"))
+    assert df.select(filled).first()[0] == "{x} {b}-B"
+    with pytest.raises(KeyError):
+        scalars.fill_template("{c}", a=F.col("a"))
+    times = rows([("12:30",), ("2024-05-01T12:30:00Z",), ("x",)], "t string").select(
+        scalars.iso_timestamp(F.col("t")).isNull())
+    assert [r[0] for r in times.collect()] == [True, False, True]
     assert df.select(scalars.article_text(F.col("b"), F.col("b"))).first()[0] == ". "
 
 

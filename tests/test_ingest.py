@@ -23,13 +23,13 @@ def land(path, articles):
 
 def test_topic_reply_columns(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"value": [{
-        "name": "Sample Trending Topic", "webSearchUrl": "http://example.com/search",
-        "newsSearchUrl": "http://example.com/news", "isBreakingNews": False}]}))
+        "name": "Flood gates", "webSearchUrl": "http://web.test/flood",
+        "newsSearchUrl": "http://news.test/flood", "isBreakingNews": True}]}))
     df = read_topics(spark, str(tmp_path))
     assert df.columns == ["Name", "WebSearchURL", "NewsSearchURL", "IsBreakingNews"]
     assert df.collect()[0].asDict() == {
-        "Name": "Sample Trending Topic", "WebSearchURL": "http://example.com/search",
-        "NewsSearchURL": "http://example.com/news", "IsBreakingNews": False}
+        "Name": "Flood gates", "WebSearchURL": "http://web.test/flood",
+        "NewsSearchURL": "http://news.test/flood", "IsBreakingNews": True}
 
 
 def test_article_reply_without_time_is_kept(spark, tmp_path):

@@ -84,6 +84,16 @@ def test_retire_moves_rows_once(spark, rows, tmp_path):
     assert tables.read_table(spark, f"{backup}/articles", schemas.ARTICLES).count() == 5
 
 
+def test_retire_moves_days_of_any_century(spark, rows, tmp_path):
+    df = rows([("a", "u1", "x", datetime(1999, 5, 1), "no", 1), ("b", "u2", "x", datetime(2024, 1, 6), "no", 2),
+               ("c", "u3", "x", None, "no", 3)], schemas.ARTICLES)
+    root, backup = str(tmp_path / "data"), str(tmp_path / "backup")
+    tables.append_table(df, f"{root}/articles")
+    args = (spark, root, backup, {"articles": schemas.ARTICLES}, "2024-01-06 12:00:00", 3)
+    assert [tables.retire_all(*args)["total"] for _ in range(2)] == [1, 0]
+    assert sorted(r.URL for r in tables.read_table(spark, f"{root}/articles", schemas.ARTICLES).collect()) == ["u2", "u3"]
+
+
 def test_tree_map_parents_are_sums(spark, rows):
     df = rows([("Red", "nuclear", 1, "k", "u1", "a"), ("Red", "nuclear industry", 1, "k", "u1", "a"),
                ("Red", None, 1, None, "u2", "b"), ("Green", "health", 2, "k", "u3", "c"),

@@ -272,6 +272,11 @@ def test_components_of_a_long_chain(spark):
     assert got == {0: 200, 200: 200}
 
 
+def test_repeated_keys_end_and_stay_single_rows(rows):
+    df = rows([(i % 30, [float(i % 5), 0.0]) for i in range(40)], "id long, v array<double>")
+    assert density.density_topics(df, "id", "v", [1.0, 1.0], 2, 2).count() == 40
+
+
 def test_all_outliers(rows):
     df = rows([(i, [float(10 * i), 0.0]) for i in range(5)], "id long, v array<double>")
     assert {r.topic for r in density.density_topics(df, "id", "v", [1.0, 1.0], 2, 2).collect()} == {-1}
