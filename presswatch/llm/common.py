@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 from presswatch.session import use_utc
 
 
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound an Arrow batch by bytes, not rows alone: texts and sets of shingles may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return use_utc(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh(base: str, *frames: DataFrame) -> str:
