@@ -11,11 +11,11 @@ with equal weights it is the Jaccard of the two sets.
    place with probability J_P.
 2. Banding: ``bands`` bands of ``rows`` places; documents that agree in a band share a bucket. With 25
    bands of 5 a pair of similarity 0.8 shares one with probability 0.99995.
-3. Links: rounds of stars. In a round each bucket that still holds several classes compares its
-   members with one pivot (another in each round), exactly. A bucket whose members are one class is done,
-   so a group of copies costs one comparison per member, never all pairs. When a round links nothing
-   more, what is left in the buckets are pairs of different classes; those are all compared, so no
-   candidate link between different classes is lost. Comparisons are joins on a member's own id.
+3. Links: a bucket compares its members with one pivot, the first in one of ``PIVOTS`` random orders,
+   exactly. Members linked so far are one class, so a group of n copies costs a few n comparisons, never all
+   pairs. In buckets that still hold several classes, members of different classes are then compared with
+   each other, so no candidate link between different classes is lost. Comparisons are joins on a member's
+   own id.
 4. Classes are the connected components of the links.
 
 Equal texts are one node. Defined cases: a text without words (null, empty) is a class of its own, per
@@ -40,6 +40,7 @@ from presswatch.session import staged
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
+PIVOTS = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,36 +168,21 @@ def node_classes(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], k
     members = staged(members.join(shared, "bucket"), "bucket-members")
     wanted = members.select("node").distinct()
     sets = staged(shingle_sets(texts_of(wanted), k), "shingle-sets")
-    links, labels, turn = None, None, 0
-    while True:
-        if labels is not None:
-            named = members.join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("comp", "node").alias("comp"))
-            open_ = (named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-                     .filter("low < high").select("bucket"))
-            named = staged(named.join(open_, "bucket"), "open-buckets")
-            if named.isEmpty():
-                return labels
-            members = named.select("bucket", "node")
-        else:
-            named = members.select("bucket", "node", F.col("node").alias("comp"))
-        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node"), F.col("comp"))
-        pivots = named.groupBy("bucket").agg(F.min(rank).alias("pivot"))
-        pairs = (named.join(pivots, "bucket").filter("comp <> pivot.comp")
-                 .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-                 .distinct())
-        new = staged(linked(pairs, sets, similarity), "star-links")
-        if new.isEmpty():
-            break
-        links = new if links is None else staged(links.union(new), "all-links")
-        labels, turn = components(links), turn + 1
+    rank = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(PIVOTS))).alias("draw"), F.col("node"))
+    pivots = members.groupBy("bucket").agg(F.min(rank).alias("pivot"))
+    stars = (members.join(pivots, "bucket").filter("node <> pivot.node")
+             .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
+    links = staged(linked(stars, sets, similarity), "star-links")
+    labels = components(links)
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = (named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+             .filter("low < high").select("bucket"))
+    named = staged(named.join(open_, "bucket"), "open-buckets")
     other = named.select("bucket", F.col("node").alias("b"), F.col("comp").alias("other"))
-    pairs = (named.select("bucket", F.col("node").alias("a"), "comp").join(other, "bucket")
+    cross = (named.select("bucket", F.col("node").alias("a"), "comp").join(other, "bucket")
              .filter("a < b AND comp <> other").select("a", "b").distinct())
-    new = staged(linked(pairs, sets, similarity), "cross-links")
-    if links is not None:
-        new = links.union(new)
-    return components(new)
+    more = staged(linked(cross, sets, similarity), "cross-links")
+    return labels if more.isEmpty() else components(links.union(more))
 
 
 def classified(docs: DataFrame, doc_id: str, text: str, k: int, similarity: float, bands: int,
