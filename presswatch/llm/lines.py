@@ -2,17 +2,20 @@
 
 A line is the set of its words (runs of letters, digits and non-ASCII characters, A-Z lower-cased); lines
 of fewer than ``min_words`` different words are left alone. A line goes if an earlier line - by (document
-id, text digest, line number) - has a Jaccard similarity of ``similarity`` or more, whether that one stays
+id, hash of the text, line number) - has a Jaccard similarity of ``similarity`` or more, whether that one stays
 or not. Equal sets are one set, placed where it first stands.
 
 1. Rarity: every word's number of lines is counted over the whole corpus. The ``FREQUENT`` commonest words
    rank by it, all others before them by hash: one order for all tasks, and the result does not depend on it.
-2. Prefix filter: two similar sets share a word among their first n - ceil(t n) + 1. A word that
-   stands in one line alone is left out of the prefix (a bitmap of fixed size knows the others).
-3. Join on the prefix words with the length filter (m >= t n), the positional filter and a parity filter:
-   each word flips one of 64 bits, and two sets whose maps differ in more bits than similar sets may differ in words are no match.
-   First each set meets only the earliest set of each of its words; what that removes needs no other match,
-   so a group of n near copies costs n comparisons. Then the sets still left meet all earlier ones.
+2. Prefix filter on neighbours: in that order, a word that only one of two sets has breaks at most two pairs
+   of neighbours in it and one in the other. So two similar sets share a pair of neighbours among the first
+   2 (1 - t) n + 1 of each; the pair is far rarer than one word of it. Pairs with a word of one line alone,
+   then pairs (and digests of whole lines) that occur once in the corpus, are left out in the tasks: bitmaps of
+   fixed size let wrong ones through and never lose one. Most lines of a corpus end here.
+3. Join on the pairs with the length filter (m >= t n), the positional filter and a parity filter: each word
+   flips one of 64 bits, and two sets whose maps differ in more bits than similar sets may differ in words
+   are no match. First each set meets only the earliest set of each of its pairs; what that removes needs no
+   other match, so a group of n near copies costs n comparisons. Then the sets still left meet all earlier ones.
 4. Candidates are verified on the whole word sets.
 
 Defined cases: null, empty and wordless texts and lines stay; a null id comes first; rows with equal id and
@@ -87,54 +90,81 @@ def _xor_runs(bits: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return sums[high] ^ sums[low]
 
 
-def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, similarity: float, min_words: int,
-              bits: int = BITMAP_BITS) -> DataFrame:
-    """One row per line of enough words: place, set digest, size, parity map, and prefix words with positions.
+def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, repeated: np.ndarray | None,
+              similarity: float, min_words: int, bits: int = BITMAP_BITS) -> DataFrame:
+    """One row per line of enough words: place, set digest, size, parity map, and prefix pairs with positions.
 
     ``frequent`` are the commonest words, from the least common on; ``shared`` is the bitmap of the words
-    of two lines or more. A set of so few words that none but itself is similar has an empty prefix.
+    of two lines or more, ``repeated`` that of digests and pairs seen twice: lines with neither are left out.
+    Without ``repeated`` the result is (key, n): how often each digest and pair stands in a task's lines. A set
+    of so few words that none but itself is similar has no pairs.
     """
-    schema = StructType([docs.schema["doc_id"], docs.schema["text_key"], *StructType.fromDDL(
-        "line int, h1 long, h2 long, n int, parity long, prefix array<struct<word: long, at: int>>").fields])
+    full = StructType([docs.schema["doc_id"], docs.schema["draw"], *StructType.fromDDL(
+        "line int, h1 long, h2 long, n int, parity long, prefix array<struct<pair: long, at: int>>").fields])
     order = np.argsort(frequent, kind="stable")
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64) + 1, shared))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64) + 1, shared, repeated))
 
-    def rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-        known, ranks, cells = sent.value
+    def held(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        bit = keys & np.uint64((1 << bits) - 1)
+        return (cells[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1
+
+    def parts(data: np.ndarray, offsets: np.ndarray):
+        """Lines of enough words with digest and bounds, and the pairs: line, key, position."""
+        known, ranks, cells, _ = sent.value
         starts, first, line, words = line_sets(data, offsets)
         begin = np.searchsorted(line, np.arange(len(starts) + 1))
         n = np.diff(begin)
         take = np.flatnonzero(n >= min_words)
-        low, high = begin[take], begin[take + 1]
-        parity = _xor_runs(np.uint64(1) << (words >> np.uint64(58)), low, high)
-        h1, h2 = sum_spans(words, low, high), sum_spans(mix(words), low, high)
         rank = np.zeros(len(words), dtype=np.int64)
         if len(known) and len(words):
             near = np.minimum(np.searchsorted(known, words), len(known) - 1)
             rank = np.where(known[near] == words, ranks[near], 0)
-        rarest_first = np.lexsort((words, rank, line))
-        words = words[rarest_first]
-        size, at = n[line], np.arange(len(words)) - begin[line] + 1
-        cell = words & np.uint64((1 << bits) - 1)
-        twice = (cells[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)) == 1
-        kept = twice & (at <= size - needed(size, similarity) + 1) & (size >= min_words)
+        rarest_first = words[np.lexsort((words, rank, line))]
+        at = np.arange(len(words)) - begin[line] + 1
+        size, twice = n[line], held(cells, rarest_first)
+        pair = mix(rarest_first[:-1] * np.uint64(0x9E3779B97F4A7C15) + rarest_first[1:])
+        kept = twice[:-1] & twice[1:] & (line[:-1] == line[1:]) if len(words) else np.zeros(0, bool)
+        size, at, of = size[:-1], at[:-1], line[:-1]
+        kept &= (at <= np.floor(2 * (1 - similarity) * size + 1e-9) + 1) & (size >= min_words)
         kept &= size / (size + 1) >= similarity - 1e-9
-        ends = np.searchsorted(line[kept], np.arange(len(starts) + 1)).astype(np.int32)
-        prefix = pa.StructArray.from_arrays(
-            [pa.array(words[kept].view(np.int64)), pa.array(at[kept].astype(np.int32))], names=["word", "at"])
-        doc = np.searchsorted(first, take, "right") - 1
-        return doc, [pa.array((take - first[doc]).astype(np.int32)), pa.array(h1.view(np.int64)),
-                     pa.array(h2.view(np.int64)), pa.array(n[take].astype(np.int32)), pa.array(parity.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), prefix).take(pa.array(take))]
+        return first, words, begin, n, take, of[kept], pair[kept], at[kept]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(2)):
+                _, words, begin, _, take, _, pair, _ = parts(data, offsets)
+                tally.add(np.concatenate([sum_spans(words, begin[take], begin[take + 1]), pair]))
+                if (some := tally.take()) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(some[0].view(np.int64)), pa.array(some[1])], names=["key", "n"])
+        if (some := tally.take(end=True)) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(some[0].view(np.int64)), pa.array(some[1])], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again = sent.value[3]
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(2)):
-                doc, columns = rows(data, offsets)
-                own = [c.slice(low, high - low).take(pa.array(doc)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*own, *columns], names=schema.names)
-
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
+                first, words, begin, n, take, of, pair, at = parts(data, offsets)
+                found = held(again, pair)
+                of, pair, at = of[found], pair[found], at[found]
+                h1 = sum_spans(words, begin[take], begin[take + 1])
+                ends = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
+                wanted = held(again, h1) | (np.diff(ends)[take] > 0)
+                take, h1 = take[wanted], h1[wanted]
+                left, right = begin[take], begin[take + 1]
+                parity = _xor_runs(np.uint64(1) << (words >> np.uint64(58)), left, right)
+                prefix = pa.StructArray.from_arrays(
+                    [pa.array(pair.view(np.int64)), pa.array(at.astype(np.int32))], names=["pair", "at"])
+                doc = np.searchsorted(first, take, "right") - 1
+                yield pa.RecordBatch.from_arrays([
+                    *(c.slice(low, high - low).take(pa.array(doc)) for c in batch.columns[:2]),
+                    pa.array((take - first[doc]).astype(np.int32)), pa.array(h1.view(np.int64)),
+                    pa.array(sum_spans(mix(words), left, right).view(np.int64)), pa.array(n[take].astype(np.int32)),
+                    pa.array(parity.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends), prefix).take(pa.array(take))], names=full.names)
+
+    picked = docs.select("doc_id", "draw", "text")
+    return picked.mapInArrow(count, "key long, n long") if repeated is None else picked.mapInArrow(run, full)
 
 
 def word_sets(texts: DataFrame, wanted: np.ndarray, min_words: int, bits: int = BITMAP_BITS) -> DataFrame:
@@ -186,48 +216,53 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: fl
 def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """(x): the sets with a similar set of lower id; ids follow the order of the places."""
     postings = sets.select("id", "n", "parity", F.explode("prefix").alias("p")).select(
-        "id", "n", "parity", "p.word", "p.at")
+        "id", "n", "parity", "p.pair", "p.at")
     size_class = F.floor(F.log("n") / (1.001 * float(-np.log(similarity)))).cast("int")
-    x = postings.select("word", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "parity")])
-    y = postings.select("word", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "parity")])
+    x = postings.select("pair", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "parity")])
+    y = postings.select("pair", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "parity")])
     overlap = F.ceil((F.col("x_n") + F.col("y_n")) * (similarity / (1 + similarity)) - 1e-9)
     close = ((F.col("y_id") < F.col("x_id"))
              & (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * similarity - 1e-9)
              & (F.least("x_at", "y_at") + F.least(F.expr("x_n - x_at"), F.expr("y_n - y_at")) >= overlap)
              & (F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
                 <= F.col("x_n") + F.col("y_n") - 2 * overlap))
-    earliest = (postings.groupBy("word", size_class.alias("y_class"))
+    earliest = (postings.groupBy("pair", size_class.alias("y_class"))
                 .agg(F.min(F.struct("id", "n", "at", "parity")).alias("y"))
-                .select("word", "y_class", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("id", "n", "at", "parity")]))
+                .select("pair", "y_class", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("id", "n", "at", "parity")]))
     x_class = F.floor(F.log("x_n") / (1.001 * float(-np.log(similarity)))).cast("int")
-    stars = (x.join(earliest, "word").filter((F.abs(F.col("y_class") - x_class) <= 1) & close)
+    stars = (x.join(earliest, "pair").filter((F.abs(F.col("y_class") - x_class) <= 1) & close)
              .select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct())
     gone = verified(stars, sets, texts, similarity, min_words)
     left = x.join(gone.select(F.col("x").alias("x_id")), "x_id", "left_anti")
-    rest = left.join(y, "word").filter(close).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
+    rest = left.join(y, "pair").filter(close).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
     return gone.union(verified(rest, sets, texts, similarity, min_words))
 
 
 def later_lines(docs: DataFrame, doc_id: str, text: str, similarity: float, min_words: int) -> DataFrame:
-    """(doc_id, text_key, lines): the numbers of the lines to remove from each text that has some."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    """(doc_id, draw, lines): the numbers of the lines to remove from each text that has some."""
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("the prefix of neighbours needs a similarity of 0.5 or more")
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("draw"), F.col(text).alias("text"))
     counts = staged(word_counts(base).filter("n > 1"), "line-word-counts")
     common = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()
     frequent = common.column("word").to_numpy().view(np.uint64)[::-1]
-    lines = staged(described(base, frequent, bitmap_of(counts, "word", BITMAP_BITS), similarity, min_words), "lines")
-    place = F.struct("doc_id", "text_key", "line")
+    shared = bitmap_of(counts, "word", BITMAP_BITS)
+    keys = described(base, frequent, shared, None, similarity, min_words).groupBy("key").agg(F.sum("n").alias("n"))
+    repeated = bitmap_of(staged(keys.filter("n > 1").select("key"), "line-keys"), "key", BITMAP_BITS)
+    lines = staged(described(base, frequent, shared, repeated, similarity, min_words), "lines")
+    place = F.struct("doc_id", "draw", "line")
     grouped = lines.groupBy("h1", "h2").agg(
         F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    order = [F.col("place.doc_id").asc_nulls_first(), F.col("place.text_key"), F.col("place.line")]
+    order = [F.col("place.doc_id").asc_nulls_first(), F.col("place.draw"), F.col("place.line")]
     sets = staged(grouped.repartitionByRange(*order).sortWithinPartitions(*order)
                   .withColumn("id", F.monotonically_increasing_id()), "line-sets")
     similar = similar_sets(sets, base, similarity, min_words).select(F.col("x").alias("id"), F.lit(True).alias("similar"))
     touched = sets.select("id", "h1", "h2", F.col("place").alias("kept"), "copies").join(similar, "id", "left").filter(
         "similar OR copies > 1")
-    out = (lines.select("h1", "h2", "doc_id", "text_key", "line").join(touched, ["h1", "h2"])
+    out = (lines.select("h1", "h2", "doc_id", "draw", "line").join(touched, ["h1", "h2"])
            .filter(F.col("similar").isNotNull() | ~place.eqNullSafe(F.col("kept"))))
-    return out.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return out.groupBy("doc_id", "draw").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def without_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None,
@@ -236,11 +271,11 @@ def without_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     With ``removed``, a column of that name holds the numbers (from 0) of the lines cut.
     """
-    key, other, cut = fresh("text_key", docs), fresh("other_id", docs), removed or fresh("removed_lines", docs)
+    key, other, cut = fresh("draw", docs), fresh("other_id", docs), removed or fresh("removed_lines", docs)
     found = later_lines(docs, doc_id, text, similarity, min_words).select(
-        F.col("doc_id").alias(other), F.col("text_key").alias(key), F.col("lines").alias(cut))
+        F.col("doc_id").alias(other), F.col("draw").alias(key), F.col("lines").alias(cut))
     names = [c for c in docs.columns if c != cut]
-    base = docs.select(*names).withColumn(key, F.md5(F.col(text)))
+    base = docs.select(*names).withColumn(key, F.xxhash64(F.col(text)))
     joined = base.join(found, (base[key] == found[key]) & base[doc_id].eqNullSafe(found[other]), "left").select(
         *[base[c] for c in names], F.coalesce(found[cut], F.array().cast("array<int>")).alias(cut))
     parts = F.split(F.col(text), "\n", -1)
