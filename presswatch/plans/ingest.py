@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswatch import schemas
@@ -24,15 +24,19 @@ class LandedReplies:
     queries: tuple[str, ...] = ()
 
 
-def batch_articles(spark: SparkSession, landed: LandedReplies, batch_id: int) -> DataFrame:
-    """All sources of a batch in one table: trending, then categories, then queries."""
+def batch_articles(spark: SparkSession, landed: LandedReplies, batch_id: int, since: Column | None = None) -> DataFrame:
+    """All sources of a batch in one table: trending, then categories, then queries.
+
+    With ``since``, older articles are left out; those without a time stay.
+    """
     parts = [read_trending(spark, p) for p in landed.trending]
     parts += [read_category(spark, p) for p in landed.categories]
     parts += [read_query(spark, p) for p in landed.queries]
     if not parts:
         return spark.createDataFrame([], schemas.ARTICLES)
     ranked = [sequenced(df, batch_id, rank) for rank, df in enumerate(parts)]
-    return union_all(*ranked).select(*schemas.ARTICLES.fieldNames())
+    rows = union_all(*ranked).select(*schemas.ARTICLES.fieldNames())
+    return rows if since is None else rows.filter(F.col("Timestamp").isNull() | (F.col("Timestamp") >= since))
 
 
 def merged_articles(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -46,8 +50,9 @@ def new_articles(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return not_processed(distinct_articles(fresh), stored)
 
 
-def _ingest(spark: SparkSession, landed: LandedReplies, batch_id: int, table: str | None) -> DataFrame:
-    fresh = batch_articles(spark, landed, batch_id)
+def _ingest(spark: SparkSession, landed: LandedReplies, batch_id: int, table: str | None,
+            since: Column | None) -> DataFrame:
+    fresh = batch_articles(spark, landed, batch_id, since)
     if table is None:
         return distinct_articles(fresh)
     added = staged(new_articles(read_table(spark, table, schemas.ARTICLES), fresh), "ingest")
@@ -55,23 +60,25 @@ def _ingest(spark: SparkSession, landed: LandedReplies, batch_id: int, table: st
     return read_table(spark, table, schemas.ARTICLES)
 
 
-def ingest_trending(spark: SparkSession, landed: LandedReplies, batch_id: int, table: str | None = None) -> DataFrame:
+def ingest_trending(spark: SparkSession, landed: LandedReplies, batch_id: int, table: str | None = None,
+                    since: Column | None = None) -> DataFrame:
     """Trending replies only."""
-    return _ingest(spark, LandedReplies(trending=landed.trending), batch_id, table)
+    return _ingest(spark, LandedReplies(trending=landed.trending), batch_id, table, since)
 
 
-def ingest_regular(spark: SparkSession, landed: LandedReplies, batch_id: int, table: str | None = None) -> DataFrame:
+def ingest_regular(spark: SparkSession, landed: LandedReplies, batch_id: int, table: str | None = None,
+                   since: Column | None = None) -> DataFrame:
     """Category and query replies."""
     return _ingest(
-        spark, LandedReplies(categories=landed.categories, queries=landed.queries), batch_id, table)
+        spark, LandedReplies(categories=landed.categories, queries=landed.queries), batch_id, table, since)
 
 
 def full_refresh(spark: SparkSession, landed: LandedReplies, with_trending: bool = True,
-                 drop_null_description: bool = False) -> DataFrame:
+                 drop_null_description: bool = False, since: Column | None = None) -> DataFrame:
     """All sources from scratch, stored rows ignored; null descriptions go only on request."""
     if not with_trending:
         landed = LandedReplies(categories=landed.categories, queries=landed.queries)
-    rows = first_per_url(batch_articles(spark, landed, 0))
+    rows = first_per_url(batch_articles(spark, landed, 0, since))
     return drop_missing(rows, "Description") if drop_null_description else rows
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from presswatch import schemas
 from presswatch.config import DEFAULTS, Settings
@@ -13,7 +14,7 @@ from presswatch.operators.enrich import Extractor
 from presswatch.operators.report import alert_board, category_panels, nuclear_panel
 from presswatch.operators.rules import Rules
 from presswatch.plans.enrichment import enrich_delta
-from presswatch.plans.ingest import LandedReplies, ingest_regular, ingest_trending
+from presswatch.plans.ingest import LandedReplies, as_of_literal, ingest_regular, ingest_trending
 from presswatch.plans.topics import run_topics
 from presswatch.session import work_tables
 from presswatch.sources.tables import read_table, retire_all
@@ -66,7 +67,8 @@ def hourly_job(spark: SparkSession, store: Store, landed: LandedReplies, batch_i
                settings: Settings = DEFAULTS) -> dict[str, str]:
     """Ingest, retention, enrichment of what is new, topics; returns the report paths."""
     with work_tables(spark):
-        ingest_regular(spark, landed, batch_id, store.articles)
+        since = as_of_literal(as_of) - F.expr(f"INTERVAL {settings.regular_hours} HOURS")
+        ingest_regular(spark, landed, batch_id, store.articles, since)
         clean_old_data(spark, store, as_of, settings)
         return process_news(spark, store, as_of, make_extractor, rules, settings)
 
@@ -76,7 +78,8 @@ def daily_job(spark: SparkSession, store: Store, landed: LandedReplies, batch_id
               settings: Settings = DEFAULTS) -> dict[str, str]:
     """Trending articles first, so that they win over regular copies, then the hourly job."""
     with work_tables(spark):
-        ingest_trending(spark, landed, batch_id, store.articles)
+        since = as_of_literal(as_of) - F.expr(f"INTERVAL {settings.trending_days} DAYS")
+        ingest_trending(spark, landed, batch_id, store.articles, since)
     return hourly_job(spark, store, landed, batch_id + 1, as_of, make_extractor, rules, settings)
 
 

@@ -43,7 +43,7 @@ def stored_replies(spark, sf_dir):
         F.when(kind == 0, as_text).when(kind == 1, as_null).when(kind == 2, F.lit("{broken"))
         .when(kind == 3, F.lit("[1]")).when(kind == 4, F.lit(None).cast("string")).otherwise(reply)
     )
-    sent = F.length("Title").cast("int")
+    sent = F.length(F.coalesce("Description", F.lit(""))).cast("int")
     usage = F.struct(sent.alias("prompt_tokens"), F.lit(7).alias("completion_tokens"),
                      (sent + 7).alias("total_tokens"))
     rows = articles(spark, sf_dir)
@@ -55,7 +55,7 @@ def stored_replies(spark, sf_dir):
 FIELDS_SQL = """
 k AS (SELECT *, doc_id % 7 AS kind, doc_id % 7 IN (2, 3, 4) AS bad FROM articles),
 fields AS (
-  SELECT doc_id, topic, length(title) AS sent, bad,
+  SELECT doc_id, topic, length(coalesce(description, '')) AS sent, bad,
     CASE WHEN bad THEN NULL WHEN kind = 0 THEN keywords WHEN kind = 1 THEN NULL
       WHEN doc_id % 3 <> 0 THEN keywords ELSE '' END AS keywords,
     CASE WHEN bad THEN NULL WHEN kind IN (0, 1) THEN '' ELSE title END AS summary,
@@ -78,9 +78,9 @@ def reply_fields(spark, sf_dir):
 
 
 @query("reply_tokens_and_price", """
-SELECT doc_id, CAST(length(title) AS INT) AS prompt_tokens, 7 AS completion_tokens,
-  CAST(length(title) + 7 AS INT) AS total_tokens,
-  round((length(title) * 0.004::DOUBLE + 7 * 0.0119::DOUBLE) / 1000, 9) AS price FROM articles
+SELECT doc_id, CAST(length(coalesce(description, '')) AS INT) AS prompt_tokens, 7 AS completion_tokens,
+  CAST(length(coalesce(description, '')) + 7 AS INT) AS total_tokens,
+  round((length(coalesce(description, '')) * 0.004::DOUBLE + 7 * 0.0119::DOUBLE) / 1000, 9) AS price FROM articles
 """)
 def reply_tokens_and_price(spark, sf_dir):
     rows = with_price(with_token_columns(stored_replies(spark, sf_dir)), "gpt4o")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presswatch.config import TOKEN_RATES
 from presswatch.functions import scalars as S
 from presswatch.operators.embedding import cosine
 from presswatch.operators.enrich import DEFAULT_TEMPLATE, with_prompt
@@ -53,21 +54,23 @@ def prompts(spark, sf_dir):
     return out(with_prompt(articles(spark, sf_dir)), "doc_id", F.md5("prompt").alias("prompt_hash"))
 
 
-@query("token_prices", """
-t AS (SELECT doc_id, CAST(length(title) AS INT) AS prompt_tokens, CAST(length(keywords) AS INT) AS completion_tokens,
+RATES_SQL = " ".join(
+    f"WHEN '{name}' THEN prompt_tokens * {a}::DOUBLE + completion_tokens * {b}::DOUBLE" for name, (a, b) in TOKEN_RATES.items())
+
+
+@query("token_prices", f"""
+t AS (SELECT doc_id, CAST(length(coalesce(description, '')) AS INT) AS prompt_tokens, CAST(length(keywords) AS INT) AS completion_tokens,
   CASE doc_id % 4 WHEN 0 THEN 'openai_chat' WHEN 1 THEN 'gpt4' WHEN 2 THEN 'gpt4o' ELSE 'other' END AS model
   FROM articles)
 SELECT doc_id, model, round(CAST(CASE model
-    WHEN 'openai_chat' THEN prompt_tokens * 0.003::DOUBLE + completion_tokens * 0.0004::DOUBLE
-    WHEN 'gpt4' THEN prompt_tokens * 0.048::DOUBLE + completion_tokens * 0.096::DOUBLE
-    WHEN 'gpt4o' THEN prompt_tokens * 0.004::DOUBLE + completion_tokens * 0.0119::DOUBLE END AS DOUBLE) / 1000, 9)
+    {RATES_SQL} END AS DOUBLE) / 1000, 9)
   AS price
 FROM t
 """)
 def token_prices(spark, sf_dir):
     kind = F.col("ingest_seq") % 4
     model = F.when(kind == 0, "openai_chat").when(kind == 1, "gpt4").when(kind == 2, "gpt4o").otherwise("other")
-    price = S.token_price(F.length("Title"), F.length("RelevantKeywords"), model)
+    price = S.token_price(F.length(F.coalesce("Description", F.lit(""))), F.length("RelevantKeywords"), model)
     return out(articles(spark, sf_dir), "doc_id", model.alias("model"), F.round(price, 9).alias("price"))
 
 
