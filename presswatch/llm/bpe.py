@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 # The pattern that splits text into pieces before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 700_000
+CACHE = 400_000
 LONG = 64
 NONE = np.int64(1 << 62)
 
