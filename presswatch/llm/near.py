@@ -14,7 +14,8 @@ with equal weights it is the Jaccard of the two sets.
 3. Links: a bucket compares its members with one pivot, the first in one of ``PIVOTS`` random orders,
    exactly. Members linked so far are one class, so a group of n copies costs a few n comparisons, never all
    pairs. In buckets that still hold several classes, members of different classes are then compared with
-   each other, so no candidate link between different classes is lost. Comparisons are joins on a member's
+   each other, so no candidate link between different classes is lost; a parity map in the join's condition
+   keeps out pairs that cannot be similar. Comparisons are joins on a member's
    own id.
 4. Classes are the connected components of the links.
 
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,6 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 PIVOTS = 4
+PARITY = 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +131,8 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(node, grams, weights): the shingles of a text as packed numbers."""
+    """(node, grams, weights, n, total, parity): the shingles of a text as packed numbers, how many there are,
+    their weight, and a map of ``PARITY`` bits in which each shingle flips one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,12 +140,33 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
                 doc, value, weight = shingles(data, offsets, k)
                 ends = np.searchsorted(doc, np.arange(high - low + 1)).tolist()
                 raw, own = value.tobytes(), weight.astype(np.uint32).tobytes()
+                flips = np.bincount(doc * PARITY + (value & np.uint64(PARITY - 1)).astype(np.int64),
+                                    minlength=(high - low) * PARITY) & 1
+                maps = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+                size = np.arange(0, len(maps) + 1, PARITY // 64, dtype=np.int32)
                 pairs = list(zip(ends, ends[1:], strict=False))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(low, high - low), pa.array([raw[8 * a:8 * b] for a, b in pairs], pa.binary()),
-                    pa.array([own[4 * a:4 * b] for a, b in pairs], pa.binary())], names=["node", "grams", "weights"])
+                    pa.array([own[4 * a:4 * b] for a, b in pairs], pa.binary()), pa.array(np.diff(ends)),
+                    pa.array([int(weight[a:b].sum()) for a, b in pairs], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(size), pa.array(maps))],
+                    names=["node", "grams", "weights", "n", "total", "parity"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, grams binary, weights binary")
+    return texts.select("node", "text").mapInArrow(
+        run, "node long, grams binary, weights binary, n long, total long, parity array<long>")
+
+
+def may_be_near(similarity: float) -> Column:
+    """Whether the parity maps of two sets allow the similarity; it never fails for a pair that has it.
+
+    The maps differ in no more bits than the sets in shingles. With weights of one these are at most
+    (1 - s) / (1 + s) of both sizes; else what is not shared has at most 1 - s of each weight.
+    """
+    differ = sum((F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i))))
+                  for i in range(PARITY // 64)), F.lit(0))
+    single = (F.col("n_a") == F.col("total_a")) & (F.col("n_b") == F.col("total_b"))
+    share = F.when(single, (1 - similarity) / (1 + similarity)).otherwise(1 - similarity)
+    return differ <= share * (F.col("total_a") + F.col("total_b")) + 1e-9
 
 
 def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -177,10 +201,12 @@ def node_classes(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], k
     named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     open_ = (named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
              .filter("low < high").select("bucket"))
-    named = staged(named.join(open_, "bucket"), "open-buckets")
-    other = named.select("bucket", F.col("node").alias("b"), F.col("comp").alias("other"))
-    cross = (named.select("bucket", F.col("node").alias("a"), "comp").join(other, "bucket")
-             .filter("a < b AND comp <> other").select("a", "b").distinct())
+    maps = sets.select("node", "n", "total", "parity")
+    named = staged(named.join(open_, "bucket").join(maps, "node"), "open-buckets")
+    one, other = ([F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "total", "parity")] for side in "ab")
+    cross = (named.select("bucket", *one).join(named.select("bucket", *other), "bucket")
+             .filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & may_be_near(similarity))
+             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     more = staged(linked(cross, sets, similarity), "cross-links")
     return labels if more.isEmpty() else components(links.union(more))
 
