@@ -11,7 +11,8 @@ or not. Equal sets are one set, placed where it first stands.
    of neighbours in it and one in the other. So two similar sets share a pair of neighbours among the first
    2 (1 - t) n + 1 of each; the pair is far rarer than one word of it. Pairs with a word of one line alone,
    then pairs (and digests of whole lines) that occur once in the corpus, are left out in the tasks: bitmaps of
-   fixed size let wrong ones through and never lose one. Most lines of a corpus end here.
+   fixed size (two bits a pair) let wrong ones through and never lose one. Lines with more words of their own than a
+   similar line may have are left out, too. Most lines of a corpus end here.
 3. Join on the pairs with the length filter (m >= t n), the positional filter and a parity filter: each word
    flips one of 64 bits, and two sets whose maps differ in more bits than similar sets may differ in words
    are no match. First each set meets only the earliest set of each of its pairs; what that removes needs no
@@ -32,7 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from presswatch.llm.bytesops import LOWER, WORD_BYTES, Tally, mix, slices, span_hashes, split_words, sum_spans
+from presswatch.llm.bytesops import (
+    LOWER,
+    WORD_BYTES,
+    Tally,
+    mix,
+    slices,
+    span_hashes,
+    split_words,
+    sum_by,
+    sum_spans,
+)
 from presswatch.llm.common import bitmap_of, fresh
 from presswatch.session import staged
 
@@ -40,6 +51,7 @@ SIMILARITY = 0.8
 MIN_WORDS = 3
 FREQUENT = 1 << 16
 BITMAP_BITS = 26
+KEY_BITS = 27
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +116,7 @@ def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, repeate
     order = np.argsort(frequent, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64) + 1, shared, repeated))
 
-    def held(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def held(cells: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
         bit = keys & np.uint64((1 << bits) - 1)
         return (cells[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1
 
@@ -121,9 +133,12 @@ def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, repeate
             rank = np.where(known[near] == words, ranks[near], 0)
         rarest_first = words[np.lexsort((words, rank, line))]
         at = np.arange(len(words)) - begin[line] + 1
-        size, twice = n[line], held(cells, rarest_first)
+        size, twice = n[line], held(cells, rarest_first, bits)
+        # A similar set has all but (1 - t) n of the words, so no more than these may stand in one line alone.
+        alone = sum_by(begin, (~twice).astype(np.int64))
+        possible = (alone <= np.floor((1 - similarity) * n + 1e-9))[line]
         pair = mix(rarest_first[:-1] * np.uint64(0x9E3779B97F4A7C15) + rarest_first[1:])
-        kept = twice[:-1] & twice[1:] & (line[:-1] == line[1:]) if len(words) else np.zeros(0, bool)
+        kept = possible[:-1] & twice[:-1] & twice[1:] & (line[:-1] == line[1:]) if len(words) else np.zeros(0, bool)
         size, at, of = size[:-1], at[:-1], line[:-1]
         kept &= (at <= np.floor(2 * (1 - similarity) * size + 1e-9) + 1) & (size >= min_words)
         kept &= size / (size + 1) >= similarity - 1e-9
@@ -141,15 +156,19 @@ def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, repeate
             yield pa.RecordBatch.from_arrays([pa.array(some[0].view(np.int64)), pa.array(some[1])], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again = sent.value[3]
+        cells = sent.value[3]
+
+        def again(keys: np.ndarray) -> np.ndarray:
+            return held(cells, keys, KEY_BITS) & held(cells, keys >> np.uint64(64 - KEY_BITS), KEY_BITS)
+
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(2)):
                 first, words, begin, n, take, of, pair, at = parts(data, offsets)
-                found = held(again, pair)
+                found = again(pair)
                 of, pair, at = of[found], pair[found], at[found]
                 h1 = sum_spans(words, begin[take], begin[take + 1])
                 ends = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
-                wanted = held(again, h1) | (np.diff(ends)[take] > 0)
+                wanted = again(h1) | (np.diff(ends)[take] > 0)
                 take, h1 = take[wanted], h1[wanted]
                 left, right = begin[take], begin[take + 1]
                 parity = _xor_runs(np.uint64(1) << (words >> np.uint64(58)), left, right)
@@ -248,7 +267,9 @@ def later_lines(docs: DataFrame, doc_id: str, text: str, similarity: float, min_
     frequent = common.column("word").to_numpy().view(np.uint64)[::-1]
     shared = bitmap_of(counts, "word", BITMAP_BITS)
     keys = described(base, frequent, shared, None, similarity, min_words).groupBy("key").agg(F.sum("n").alias("n"))
-    repeated = bitmap_of(staged(keys.filter("n > 1").select("key"), "line-keys"), "key", BITMAP_BITS)
+    keys = staged(keys.filter("n > 1").select("key"), "line-keys")
+    both = keys.select(F.explode(F.array("key", F.shiftrightunsigned("key", 64 - KEY_BITS))).alias("key"))
+    repeated = bitmap_of(both, "key", KEY_BITS)
     lines = staged(described(base, frequent, shared, repeated, similarity, min_words), "lines")
     place = F.struct("doc_id", "draw", "line")
     grouped = lines.groupBy("h1", "h2").agg(
