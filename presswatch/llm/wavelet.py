@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import builtins
 import os
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from presswatch.llm.bpe import byte_names
+
 BLOCK_TOKENS = 1 << 19
 CACHE = 1_000_000
 STEP = 512
+_BYTE_NAMES = dict(enumerate(byte_names()))
 BLOCK_SCHEMA = (
     "part int, block int, n_tokens long, doc_ids array<long>, lengths array<int>, zeros array<long>, "
     "planes array<binary>, ranks array<binary>")
@@ -139,20 +144,42 @@ def _tokenizer(path: str):
     return kept[path]
 
 
+def _pieces(cut: str) -> list[str]:
+    """What a cut falls into for certain: letters, and a full stop or comma after them; ASCII in lower case."""
+    tail = cut[-1:] if cut[-1:] in (".", ",") else ""
+    word = cut[:-1] if tail else cut
+    if word.isascii() and word.isalpha():
+        word = word.lower()
+    elif not unicodedata.normalize("NFC", word).lower().isalpha():  # some letters fall into a letter and a mark
+        return [cut]
+    return [word, tail] if tail else [word]
+
+
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """The ids of whole texts, 32 bits each.
 
     The splitting pattern of the vocabulary drops white space and no piece crosses it, so a text is cut at
-    spaces and line ends, and the library encodes each distinct cut once.
+    spaces and line ends, and the library encodes each distinct piece of a cut once.
     """
     tokenizer, known = _tokenizer(path)
     if len(known) > CACHE:
         known.clear()
     cuts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*cuts).difference(known)
-    new = list(new)
-    for cut, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[cut] = np.array(found.ids, dtype="<u4").tobytes()
+    new = {c: _pieces(c) for c in set().union(*cuts).difference(known)}
+    pieces = set().union(*new.values()).difference(known)
+    # Letters alone are one piece for the model after the normal form; anything else takes the whole library path.
+    model, normal = tokenizer.model.tokenize, tokenizer.normalizer.normalize_str
+    words = {p: p if p.isascii() else normal(p) for p in pieces if p.isalpha()}
+    words = {p: w for p, w in words.items() if w.isalpha()}
+    for piece, word in words.items():
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        known[piece] = array("I", [t.id for t in model(word)]).tobytes()
+    others = [p for p in pieces if p not in words]
+    for piece, found in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+        known[piece] = array("I", found.ids).tobytes()
+    for cut, own in new.items():
+        known[cut] = b"".join(map(known.__getitem__, own))
     return [b"".join(map(known.__getitem__, c)) for c in cuts]
 
 
