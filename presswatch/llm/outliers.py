@@ -3,7 +3,8 @@
 Statistics of a text: words (runs without ASCII white space), code points in words, symbols, lines equal to
 an earlier line, words in repeated three-word windows. A text of fewer than 50 words, or with more than half
 of them repeated, fails at once. The others are vectors of ``FEATURES`` transformed rates, compared within
-their language and source:
+their language and source. Where these have fewer than ``LEAST_ROWS`` vectors, they are compared with the fit
+of their language over all sources, and where that has too few as well, with the fit of all rows:
 
 1. Start: medians and median deviations give each vector a distance.
 2. Minimum covariance determinant by C-steps: the half of a group (``SUBSET`` = 0.75 of it) with the
@@ -17,8 +18,9 @@ bounded by the grid, a group that holds a third of all rows is combined in each
 not depend on the order of rows. A variance is never below ``FLOOR`` squared: a rate that is equal in most
 of a group does not make every other value an outlier.
 
-Defined cases: a null text has no words and fails; null languages and sources are groups like others; a
-group of fewer than ``LEAST_ROWS`` vectors rejects none; repeated rows count each; other columns are kept.
+Defined cases: a null text has no words and fails; null languages and sources are groups like others; the
+fit of all rows has no least number, so every vector has a distance; repeated rows count each; other columns
+are kept.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ SUBSET = 0.75
 GRID = 100
 FLOOR = 0.35
 LEAST_ROWS = 40
+ALL = "*"
 CHI_975, CUTOFF = 11.143, 100.0
 MAX_STEPS = 50
 
@@ -145,23 +148,33 @@ def robust_fit(vectors: DataFrame) -> DataFrame:
     return staged(_scatter(inside, consistency(0.975, CHI_975)), "mcd-fit")
 
 
+def fit_groups(stats: DataFrame) -> DataFrame:
+    """(g0, g): the group whose fit judges language and source ``g0``: itself, its language ``g1`` or all rows."""
+    sizes = stats.groupBy("g0", "g1").agg(F.count_if(~F.col("base_failed")).alias("n0"))
+    langs = sizes.groupBy("g1").agg(F.sum("n0").alias("n1"))
+    group = F.when(F.col("n0") >= LEAST_ROWS, F.col("g0")).when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise(ALL)
+    return staged(sizes.join(langs, "g1").select("g0", group.alias("g")), "fit-groups")
+
+
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
            keep: list[str] | None = None) -> DataFrame:
     """``keep`` (by default all) columns of ``docs`` with the statistics, base_failed, distance and kept."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
     names = [c for c in (keep or docs.columns) if c not in new]
-    group = fresh("g", docs)
-    marked = docs.withColumn(group, F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s"))))
-    inner = {c: f"_k{i}" for i, c in enumerate([*names, group])}
+    levels = by_source, by_lang = fresh("g0", docs), fresh("g1", docs)
+    marked = docs.withColumn(by_source, F.concat(F.lit("s"), F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s")))))
+    marked = marked.withColumn(by_lang, F.concat(F.lit("l"), F.to_json(F.struct(F.col(lang).alias("l")))))
+    inner = {c: f"_k{i}" for i, c in enumerate([*names, *levels])}
     stats = text_statistics(marked.select(*[F.col(c).alias(k) for c, k in inner.items()], F.col(text).alias("_text")),
                             "_text", list(inner.values()))
-    stats = staged(stats.withColumnRenamed(inner[group], "g").withColumn(
+    stats = stats.withColumnRenamed(inner[by_source], "g0").withColumnRenamed(inner[by_lang], "g1")
+    stats = staged(stats.withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "text-statistics")
-    vectors = staged(stats.filter("NOT base_failed").select("g", *_vectors()), "vectors")
-    large = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS).select("g")
-    fit = robust_fit(staged(vectors.join(large, "g", "left_semi"), "vectors"))
+    chosen = fit_groups(stats)
+    vectors = stats.filter("NOT base_failed").select(F.explode(F.array("g0", "g1", F.lit(ALL))).alias("g"), *_vectors())
+    fit = robust_fit(staged(vectors.join(chosen.select("g").distinct(), "g", "left_semi"), "vectors"))
     p = range(len(FEATURES))
-    rows = stats.select("*", *_vectors())
+    rows = stats.select("*", *_vectors()).join(chosen, "g0", "left")
     df = rows.join(fit, "g", "left")
     for i in p:
         done = sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))

@@ -311,6 +311,20 @@ def test_outliers(spark, docs, empty):
     assert judged(docs).count() == docs.count() and judged(empty).count() == 0
 
 
+def test_outliers_of_small_groups(spark):
+    draw = random.Random(4)
+    text = lambda tail="": " ".join(draw.choice(VOCABULARY) + str(draw.randrange(999)) + tail for _ in range(80))
+    rows = [(i, text(), "en", "large") for i in range(60)] + [(100 + i, text(), "en", "rare") for i in range(4)]
+    rows += [(104, text("###"), "en", "rare"), (200, text(), "xx", None), (201, text("###"), "xx", None), (300, text("##"), None, "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in judged(table).collect()}
+    # Five rows of a rare source meet the fit of their language, two of a rare language that of all rows.
+    assert {i for i in out if not out[i].kept} == {104, 201, 300}
+    assert all(r.distance is not None for r in out.values())
+    few = {r.doc_id: r.kept for r in judged(table.filter("source = 'rare'")).collect()}
+    assert few == {100: True, 101: True, 102: True, 103: True, 104: False}
+
+
 # 8: near duplicates.
 
 
