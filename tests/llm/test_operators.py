@@ -17,7 +17,7 @@ from presswatch.llm import ppm
 from presswatch.llm.bpe import Vocabulary, decoded, encoded
 from presswatch.llm.components import components
 from presswatch.llm.decontaminate import contamination, without_contaminated
-from presswatch.llm.kneser_ney import quality
+from presswatch.llm.kneser_ney import quality, trusted_sample
 from presswatch.llm.lines import without_similar_lines
 from presswatch.llm.near import near_classes, probability_jaccard, without_near_copies
 from presswatch.llm.outliers import judged
@@ -179,6 +179,22 @@ def test_quality(spark, docs, labels, empty):
     assert quality(docs, labels, F.expr("quality = 1 AND toxic = 0"), only_kept=True).columns == docs.columns
 
 
+def test_quality_of_small_languages(spark):
+    junk = " ".join(f"{w.upper()}!!{w}" for w in VOCABULARY)
+    sizes = {"en": 60, "de": 30, "fr": 6, "es": 2, "it": 1}
+    good = [(1000 * k + i, prose(1000 * k + i, 120), lang) for k, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    long = (4, prose(77, 30_000), "en")  # more than the bound on characters, early or late in the order
+    rows = [r for r in good if r[0] != 4] + [long] + [(9000 + k, junk, lang) for k, lang in enumerate(sizes)]
+    marks = spark.createDataFrame([(r[0], 1) for r in good], "doc_id long, quality int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality(table, marks, F.expr("quality = 1"), chars=120_000).collect()
+    assert all(r.threshold is not None for r in out) and len(out) == len(rows)
+    assert not any(r.kept for r in out if 9000 <= r.doc_id < 9004)
+    assert sum(r.kept for r in out if r.doc_id < 9000) >= 95
+    sample = trusted_sample(table, marks, "doc_id", "text", "lang", F.expr("quality = 1"), 500, 120_000)
+    assert {r.doc_id for r in sample.collect()} == {r[0] for r in good} - {4}
+
+
 # 3: line deduplication.
 
 
