@@ -11,12 +11,14 @@ of their language over all sources, and where that has too few as well, with the
    smallest distances gives mean and covariance, these give new distances; a step cannot raise the
    determinant, and the steps end when no group's falls further.
 3. The covariance is scaled to be consistent at the normal distribution, estimated once more from all
-   vectors within the 0.975 quantile of chi-square, and a vector beyond ``CUTOFF`` is rejected.
+   vectors within the 0.975 quantile of chi-square, and a vector beyond the 0.999 quantile is rejected.
 
 Quantiles are exact on a grid (``GRID`` of a unit, distances on a log scale), so an aggregation buffer is
 bounded by the grid, a group that holds a third of all rows is combined in each task first, and results do
-not depend on the order of rows. A variance is never below ``FLOOR`` squared: a rate that is equal in most
-of a group does not make every other value an outlier.
+not depend on the order of rows. Each variance has the square of its feature's ``FLOORS`` added, the
+resolution of its rate: a character in 50 words; a symbol in 2,400 characters, a repeated line in 48 or a
+repeated window in 143 words, which are 0.35 on their scales. So a rate that is equal in most of a group does
+not make every other value an outlier.
 
 Defined cases: a null text has no words and fails; null languages and sources are groups like others; the
 fit of all rows has no least number, so every vector has a distance; repeated rows count each; other columns
@@ -38,10 +40,10 @@ SYMBOLS = r"[#*$%&|<>]"
 FEATURES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
 SUBSET = 0.75
 GRID = 100
-FLOOR = 0.35
+FLOORS = (0.02, 0.35, 0.35, 0.35)
 LEAST_ROWS = 40
 ALL = "*"
-CHI_975, CUTOFF = 11.143, 100.0
+CHI_975, CHI_999 = 11.143, 18.467
 MAX_STEPS = 50
 
 
@@ -89,7 +91,7 @@ def _scatter(members: DataFrame, scale: float) -> DataFrame:
     for i in p:
         for j in range(i + 1):
             c = (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
-            sums = sums.withColumn(f"c{i}{j}", F.greatest(c, F.lit(0.0)) + FLOOR ** 2 if i == j else c)
+            sums = sums.withColumn(f"c{i}{j}", F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else c)
     for j in p:
         done = sum((F.col(f"l{j}{k}") ** 2 * F.col(f"d{k}") for k in range(j)), F.lit(0.0))
         sums = sums.withColumn(f"d{j}", F.greatest(F.col(f"c{j}{j}") - done, F.lit(1e-9)))
@@ -133,7 +135,7 @@ def robust_fit(vectors: DataFrame) -> DataFrame:
         (F.percentile(_grid(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))), F.lit(0.5)) / GRID * 1.4826).alias(f"e{i}")
         for i in p])
     start = near.join(spread, "g").withColumn("dist", sum(
-        (((F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(F.col(f"e{i}"), F.lit(FLOOR))) ** 2 for i in p), F.lit(0.0)))
+        (((F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(F.col(f"e{i}"), F.lit(FLOORS[i]))) ** 2 for i in p), F.lit(0.0)))
     chi_75 = 5.385
     fit = staged(_scatter(_nearest(start.select(*vectors.columns, "dist")), 1.0), "mcd-fit")
     for _ in range(MAX_STEPS):
@@ -183,4 +185,4 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     return df.select(
         *[F.col(inner[c]).alias(c) for c in names], "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", distance.alias("distance"),
-        (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= CUTOFF)).alias("kept"))
+        (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= CHI_999)).alias("kept"))

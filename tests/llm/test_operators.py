@@ -341,6 +341,18 @@ def test_outliers_of_small_groups(spark):
     assert few == {100: True, 101: True, 102: True, 103: True, 104: False}
 
 
+def test_outliers_at_the_quantile(spark):
+    draw = random.Random(6)
+    line = lambda: " ".join(draw.choice(VOCABULARY) + str(draw.randrange(9999)) for _ in range(8))
+    rows = [(i, "\n".join(line() for _ in range(12)), "en", "a") for i in range(60)]
+    own = [line() for _ in range(9)]
+    rows += [(100, "\n".join([*own, *own[:3]]), "en", "a"), (101, rows[0][1] + " #", "en", "a")]
+    out = {r.doc_id: r for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    # A quarter of the lines twice is beyond the 0.999 quantile, far below a distance of 100 times the spread; one symbol is within.
+    assert not out[100].kept and not out[100].base_failed
+    assert sum(out[i].kept for i in range(60)) >= 59
+
+
 # 8: near duplicates.
 
 
