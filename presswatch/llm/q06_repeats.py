@@ -14,7 +14,7 @@ from presswatch.llm.repeats import without_repeats
 def op6_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines and sentences that an earlier place holds, and what was cut where."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = without_repeats(docs, spans="cuts")
+    out = without_repeats(docs, spans="cuts", lines=True)
     return out.select(
         "doc_id", "text", F.size("cuts").cast("long").alias("n_cut"),
         F.array_join(F.transform("cuts", lambda c: F.concat_ws(":", c["start"], c["end"])), ",").alias("cut_spans"),

@@ -304,6 +304,21 @@ def test_repeats(docs, empty):
     assert without_repeats(docs).columns == docs.columns and without_repeats(empty).count() == 0
 
 
+def test_repeated_lines(spark):
+    short = "One two. Three four! Five."
+    long = "alpha beta gamma delta epsilon zeta eta. "
+    rows = [(1, f"{short}\nown words here\n\n{long}theta iota."), (2, f"before\n{short.upper()}\nafter"),
+            (3, f"{long}other end.\nbefore"), (4, f"Five.\n{short}"), (5, "p q r s t u. v w x y z a b."),
+            (6, "p q r s t u v w x y z a b"), (7, "P q r s t u. Something else."), (8, "--\n--")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in without_repeats(table, spans="cuts", lines=True).collect()}
+    assert {d: r.text for d, r in out.items()} == {
+        1: rows[0][1], 2: "before\nafter", 3: "other end.\n", 4: "Five.\n", 5: rows[4][1], 6: "", 7: "Something else.",
+        8: "--\n--"}
+    assert [tuple(c) for c in out[3].cuts] == [(0, len(long), 1), (len(long) + 11, len(rows[2][1]), 2)]
+    assert [tuple(c) for c in out[7].cuts] == [(0, 13, 5)]
+
+
 # 7: quality rules.
 
 
