@@ -125,9 +125,10 @@ def fitted_topics(spark, sf_dir):
 
 @query("topic_map")
 def topic_map(spark, sf_dir):
-    rows = articles(spark, sf_dir).select("topic", "ingest_seq")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ingest_seq"), "embedding")
-    return embedding.topic_map(rows.join(vectors, "ingest_seq")).select(
+    """Vectors are made from the texts of all articles, so that ``documents`` is the size of the topic."""
+    rows = staged(articles(spark, sf_dir).select("topic", "Description"), "descriptions")
+    vectors = embedding.with_embedding(rows, embedding.fit_embedding(rows, "Description", 256), "Description")
+    return embedding.topic_map(vectors).select(
         "topic", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "documents")
 
 

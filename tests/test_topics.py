@@ -292,3 +292,12 @@ def test_vectors(rows):
     assert all(len(r.reduced) == 2 for r in reduced)
     flat = embedding.topic_map(df)
     assert {(r.topic, r.documents) for r in flat.collect()} == {(1, 2), (2, 1)}
+
+
+def test_topic_map_query_counts_every_article(spark):
+    from presswatch.queries.registry import articles
+    from presswatch.queries.vectors import topic_map
+
+    sf_dir = "/root/testdata/sf0.01"
+    sizes = articles(spark, sf_dir).filter("topic != -1").groupBy("topic").count().collect()
+    assert {r.topic: r.documents for r in topic_map(spark, sf_dir).collect()} == {r.topic: r["count"] for r in sizes}
