@@ -110,6 +110,7 @@ def _later(found: DataFrame) -> DataFrame:
     """The rows of ``found`` that have an earlier one of the same digest, with ``kept``: the first."""
     place = F.struct("doc_id", "text_key", "line", "unit")
     firsts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).filter("n > 1")
+    firsts = staged(firsts, "first-units")  # a join apart from the grouping may split a digest with many copies
     return found.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("kept")))
 
 
