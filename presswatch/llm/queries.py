@@ -13,6 +13,7 @@ from presswatch.llm import (  # noqa: F401
     q08_near,
     q09_ppm,
     q10_bpe,
+    q11_licences,
     q13_repair,
 )
 from presswatch.llm.registry import ORACLES, QUERIES

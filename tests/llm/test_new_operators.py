@@ -1,5 +1,6 @@
 """Operators 11 to 13 on small fixtures: brute force and defined cases."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -8,6 +9,7 @@ import zlib
 
 import pytest
 
+from presswatch.llm.licences import ANCHORS, BASE_PHRASES, MIN_COVERAGE, RESULT, TEMPLATES, licences
 from presswatch.llm.repair import lightest_repair, repaired_conversations
 
 # 13: conversation repair.
@@ -140,3 +142,59 @@ def test_repair_of_dropped_conversations(spark):
     table = spark.createDataFrame([(conv, 0, "user", "hello.")], "conv_id long, turn long, role string, text string")
     (row,) = repaired_conversations(table).collect()
     assert tuple(row) == (conv, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+# 11: licence scans.
+
+def licence_words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def python_licences(texts):
+    """The method in plain Python over all texts: document frequencies, anchors, votes, keys, coverage."""
+    all_words = [licence_words(t) for t in texts]
+    vocab = {w for _, n, _ in TEMPLATES for w in n.split()} | {w for p, _ in BASE_PHRASES for w in p.split()}
+    df = {w: sum(w in set(ws) for ws in all_words) for w in vocab}
+    out = []
+    for ws in all_words:
+        base = [(i, label) for phrase, label in BASE_PHRASES for i in range(len(ws))
+                if ws[i:i + len(phrase.split())] == phrase.split()]
+        places = [i for i, _ in base]
+        base_labels = sorted({label for _, label in base})
+        named, best = set(), None
+        for label, notice, keys in TEMPLATES:
+            nw = notice.split()
+            anchors = sorted({w for w in ws if w in nw}, key=lambda w: (df[w], w))[:ANCHORS]
+            votes = sorted(i - s for i, w in enumerate(ws) if w in anchors for s, x in enumerate(nw) if x == w)
+            cands = set(votes) if len(anchors) <= 1 else {v for v, n in collections.Counter(votes).items() if n >= 2}
+            for o in cands:
+                at = lambda k: ws[o + k] if 0 <= o + k < len(ws) else None
+                starts = [next(i for i in range(len(nw)) if nw[i:i + len(k.split())] == k.split()) for k in keys]
+                if not all(at(s + j) == x for s, k in zip(starts, keys) for j, x in enumerate(k.split())):
+                    continue
+                cover = sum(at(k) == x for k, x in enumerate(nw)) / len(nw)
+                best = cover if best is None else max(best, cover)
+                if cover >= MIN_COVERAGE:
+                    named.add(label)
+        out.append((len(ws), len(base), min(places, default=None), max(places, default=None), ",".join(base_labels),
+                    ",".join(sorted(set(base_labels) | named)), best or 0.0))
+    return out
+
+
+
+def test_licences_are_python(spark):
+    notices = [n for _, n, _ in TEMPLATES]
+    texts = [None, "", "  \n", "All Rights Reserved. CC BY 4.0 and cc by-nc 4.0", "Licensed under the Apache License, "
+             "Version 2.0.", "Released under the MIT License. " * 3, "licensed under the GNU general public license "
+             "version 3; version 2", "x " * 20000 + "general public license", "mit license under released the",
+             "Permission is hereby granted, free of charge, to any person obtaining", "apache license apache license",
+             "Redistribution and use in source and binary forms are permitted.", "licensed under cc by sa", "é日本 ½"]
+    texts += [" ".join(random.Random(i).sample(" ".join(notices).split(), 12)) for i in range(30)]
+    texts += texts[3:6]
+    rows = [(i, t, "x", 1.5, 7) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, labels string, Score double, words int")
+    got = licences(table).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in RESULT) for r in got] == python_licences(texts)
+    assert set(got[0].asDict()) == {"doc_id", "text", "words", *RESULT}
+    assert licences(spark.createDataFrame([], table.schema)).count() == 0
