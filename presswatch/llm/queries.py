@@ -14,6 +14,7 @@ from presswatch.llm import (  # noqa: F401
     q09_ppm,
     q10_bpe,
     q11_licences,
+    q12_runs,
     q13_repair,
 )
 from presswatch.llm.registry import ORACLES, QUERIES

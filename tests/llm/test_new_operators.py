@@ -198,3 +198,76 @@ def test_licences_are_python(spark):
     assert [tuple(r[c] for c in RESULT) for r in got] == python_licences(texts)
     assert set(got[0].asDict()) == {"doc_id", "text", "words", *RESULT}
     assert licences(spark.createDataFrame([], table.schema)).count() == 0
+
+
+# 12: periodic runs.
+
+
+def brute_runs(w, min_length=12):
+    """Every maximal stretch of each period q whose smallest period is q, by start, then period."""
+    n, out = len(w), []
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i < n - q:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j < n - q and w[j] == w[j + q]:
+                j += 1
+            length = j - i + q
+            smaller = any(all(w[x] == w[x + p] for x in range(i, i + length - p)) for p in range(1, q))
+            if length >= max(min_length, 2 * q) and not smaller:
+                out.append((i, length, q))
+            i = j
+    return sorted(out)
+
+
+def python_runs_query(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    if doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    runs = brute_runs(words)
+    gone = {x for s, length, q in runs for x in range(s + q, s + length)}
+    top = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    digest = hashlib.sha256("".join(f"{s},{length},{q}\n" for s, length, q in runs).encode()).hexdigest()
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (len(runs), *(top or (None,) * 3), None if top is None else top[1] * 1000 // top[2], digest,
+            hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_runs_query_is_brute_force(spark, monkeypatch):
+    from presswatch.llm import q12_runs
+
+    draw = random.Random(12)
+    texts = [None, "", " \t\n", "a " * 30, "a b " * 9 + "c", "x\ty\nx\ty\nx\ty\nx\ty\nx\ty\nx\ty\nx z", "é 日本 🙂 " * 8]
+    texts += [" ".join(draw.choice("ab") for _ in range(draw.randint(10, 70))) for _ in range(25)]
+    texts += [" ".join(draw.choice(["the", "cat", "sat", "on", "mat", "a"]) for _ in range(draw.randint(0, 120)))
+              for _ in range(25)]
+    texts += ["w " * 700 + "tail", texts[8]]
+    ids = [None] + list(range(len(texts) - 2)) + [10, 10]
+    rows = [(d, t, 1, "c") for d, t in zip(ids, texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, runs int, collapsed string")
+    monkeypatch.setattr(q12_runs, "read", lambda spark, sf_dir, name: table)
+    got = sorted((tuple(r) for r in q12_runs.op12_periodic_runs(spark, "unused").collect()),
+                 key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+    want = sorted(((d, *python_runs_query(d, t)) for d, t in zip(ids, texts)),
+                  key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+    assert got == want
+    assert sum(r[1] > 0 for r in got) > 10
+
+
+def test_runs_table_keeps_columns(spark):
+    from presswatch.llm.runs import periodic_runs
+
+    table = spark.createDataFrame([(1, "a b a b a b a b a b a b a b", "x")], "id long, body string, RUNS string")
+    (row,) = periodic_runs(table, text_col="body").collect()
+    assert row.asDict() == {"id": 1, "body": "a b a b a b a b a b a b a b",
+                            "runs": [(0, 14, 2)], "collapsed": "a b"}
+    assert periodic_runs(spark.createDataFrame([], table.schema), text_col="body").count() == 0
