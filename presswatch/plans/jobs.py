@@ -48,6 +48,10 @@ class Store:
     def topics(self) -> str:
         return f"{self.root}/topics"
 
+    @property
+    def topic_model(self) -> str:
+        return f"{self.root}/topic_model"
+
 
 def clean_old_data(spark: SparkSession, store: Store, as_of: str, settings: Settings = DEFAULTS) -> dict[str, int]:
     """Retention over all stored tables; returns removed rows per table and in total."""
@@ -56,21 +60,26 @@ def clean_old_data(spark: SparkSession, store: Store, as_of: str, settings: Sett
 
 def process_news(spark: SparkSession, store: Store, as_of: str,
                  make_extractor: Callable[[], Extractor] | None = None, rules: Rules | None = None,
-                 settings: Settings = DEFAULTS) -> dict[str, str]:
-    """Enrich what is new, then refit topics over the enriched table."""
+                 settings: Settings = DEFAULTS, refit: bool = True) -> dict[str, str]:
+    """Enrich what is new, then topics over the enriched table: refitted and saved, or, without ``refit``,
+    assigned by the saved model when there is one."""
     table = enrich_delta(spark, store.articles, store.enriched, as_of, make_extractor, rules, settings)
-    return run_topics(table.drop("date"), store.topics, settings=settings)
+    return run_topics(table.drop("date"), store.topics, settings=settings, model_path=store.topic_model,
+                      refit=refit)
 
 
 def hourly_job(spark: SparkSession, store: Store, landed: LandedReplies, batch_id: int, as_of: str,
                make_extractor: Callable[[], Extractor] | None = None, rules: Rules | None = None,
-               settings: Settings = DEFAULTS) -> dict[str, str]:
-    """Ingest, retention, enrichment of what is new, topics; returns the report paths."""
+               settings: Settings = DEFAULTS, refit: bool = False) -> dict[str, str]:
+    """Ingest, retention, enrichment of what is new, topics; returns the report paths.
+
+    Topics come from the saved model unless ``refit`` is on or none is saved yet (the daily job refits).
+    """
     with work_tables(spark):
         since = as_of_literal(as_of) - F.expr(f"INTERVAL {settings.regular_hours} HOURS")
         ingest_regular(spark, landed, batch_id, store.articles, since)
         clean_old_data(spark, store, as_of, settings)
-        return process_news(spark, store, as_of, make_extractor, rules, settings)
+        return process_news(spark, store, as_of, make_extractor, rules, settings, refit)
 
 
 def daily_job(spark: SparkSession, store: Store, landed: LandedReplies, batch_id: int, as_of: str,
@@ -80,7 +89,7 @@ def daily_job(spark: SparkSession, store: Store, landed: LandedReplies, batch_id
     with work_tables(spark):
         since = as_of_literal(as_of) - F.expr(f"INTERVAL {settings.trending_days} DAYS")
         ingest_trending(spark, landed, batch_id, store.articles, since)
-    return hourly_job(spark, store, landed, batch_id + 1, as_of, make_extractor, rules, settings)
+    return hourly_job(spark, store, landed, batch_id + 1, as_of, make_extractor, rules, settings, refit=True)
 
 
 def report_tables(enriched: DataFrame, as_of: Column, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:

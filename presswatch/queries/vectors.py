@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from presswatch.operators import density, embedding
 from presswatch.operators.rules import keyword_table
+from presswatch.plans.topic_model import assign_topics, fit_topic_model, load_topic_model
 from presswatch.plans.topics import fit_topics
 from presswatch.queries.registry import articles, out, query, table
 from presswatch.queries.topics import PATTERN, STOP_SQL
-from presswatch.session import staged
+from presswatch.session import staged, work_path
 
 # A fixed reduction to five components, the first cosine basis vectors, so that SQL can follow it.
 WIDTH, REDUCED = 64, 5
@@ -137,3 +138,52 @@ def document_map(spark, sf_dir):
     rows = staged(articles(spark, sf_dir).select("ingest_seq", "Title", "topic"), "titles")
     return out(embedding.document_map(rows, size=128), "doc_id", "title", "topic",
                F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_DENSITY_CTES = f"""
+cell AS (SELECT {_KEYS}, count(*) AS n, min(vec_id) AS id FROM p GROUP BY {_KEYS}),
+ahead AS ({_FACES}),
+face AS (SELECT u, v, n_v FROM ahead UNION ALL SELECT v, u, n_u FROM ahead),
+core AS (SELECT c.id FROM cell c LEFT JOIN face f ON f.u = c.id GROUP BY c.id, c.n
+  HAVING c.n + coalesce(sum(f.n_v), 0) >= {MIN_SAMPLES}),
+reach AS (SELECT id, id AS label FROM core
+  UNION SELECT f.v, r.label FROM reach r JOIN face f ON f.u = r.id WHERE f.v IN (SELECT id FROM core)),
+inner_label AS (SELECT id, min(label) AS label FROM reach GROUP BY id),
+border AS (SELECT f.u AS id, min(l.label) AS label FROM face f JOIN inner_label l ON f.v = l.id
+  WHERE f.u NOT IN (SELECT id FROM core) GROUP BY f.u),
+labelled AS (SELECT * FROM inner_label UNION ALL SELECT * FROM border),
+size AS (SELECT label, sum(c.n) AS n_rows, min(c.id) AS first FROM labelled l JOIN cell c ON l.id = c.id GROUP BY label
+  HAVING sum(c.n) >= {MIN_SIZE}),
+numbered AS (SELECT label, CAST(row_number() OVER (ORDER BY n_rows DESC, first) - 1 AS INT) AS topic FROM size)
+"""
+_OFFSETS = ", ".join(f"range(-1, 2) r{k}(o{k})" for k in range(REDUCED))
+_SHIFTED = " AND ".join(f"f.c{k} = u.c{k} + o.o{k}" for k in range(REDUCED))
+
+
+@query("assigned_topics", f"""
+WITH RECURSIVE pa AS (SELECT vec_id, {_CELLS} FROM (SELECT vec_id, {_parts_sql()} FROM embeddings)),
+p AS (SELECT * FROM pa WHERE vec_id % 2 = 0),
+{_DENSITY_CTES.strip()},
+fit AS (SELECT {", ".join(f"c.c{k}" for k in range(REDUCED))}, coalesce(n.topic, -1) AS topic
+  FROM cell c LEFT JOIN labelled l ON l.id = c.id LEFT JOIN numbered n ON n.label = l.label),
+unseen AS (SELECT DISTINCT {_KEYS} FROM pa EXCEPT SELECT {_KEYS} FROM fit),
+off AS (SELECT * FROM {_OFFSETS} WHERE {" OR ".join(f"o{k} <> 0" for k in range(REDUCED))}),
+near AS (SELECT {", ".join(f"u.c{k}" for k in range(REDUCED))}, f.topic,
+  {" + ".join(f"o.o{k} * o.o{k}" for k in range(REDUCED))} AS d2
+  FROM unseen u CROSS JOIN off o JOIN fit f ON {_SHIFTED} WHERE f.topic >= 0),
+ring AS (SELECT {_KEYS}, topic FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY d2, topic) AS rn
+  FROM near) WHERE rn = 1),
+look AS (SELECT * FROM fit UNION ALL SELECT * FROM ring)
+SELECT pa.vec_id, coalesce(l.topic, -1) AS topic FROM pa LEFT JOIN look l USING ({_KEYS})
+""", with_articles=False)
+def assigned_topics(spark, sf_dir):
+    """Topics of all vectors from a model fitted and saved on the even half, then loaded: the odd half is new.
+
+    Rows of the other half whose cell the fit never saw take the topic of the nearest cell in the ring around
+    it. The split is the feature shown here (assignment without refitting); every row is assigned.
+    """
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = work_path(spark, "topic-model")
+    fit_topic_model(rows.filter(F.col("vec_id") % 2 == 0), "vec_id", path, vector="embedding", matrix=MATRIX,
+                    widths=[CELL] * REDUCED, min_size=MIN_SIZE, min_samples=MIN_SAMPLES, rings=1)
+    return assign_topics(load_topic_model(spark, path), rows).select("vec_id", "topic")

@@ -301,3 +301,56 @@ def test_topic_map_query_counts_every_article(spark):
     sf_dir = "/root/testdata/sf0.01"
     sizes = articles(spark, sf_dir).filter("topic != -1").groupBy("topic").count().collect()
     assert {r.topic: r.documents for r in topic_map(spark, sf_dir).collect()} == {r.topic: r["count"] for r in sizes}
+
+
+def test_saved_model_assigns_without_refitting(spark, tmp_path, monkeypatch):
+    """A fit saves its model; assigning reads it back, and a row of the fit keeps its topic."""
+    from presswatch.config import Settings
+    from presswatch.plans import topic_model
+    from presswatch.plans.topics import assigned_topic_model, fit_topics
+
+    themes = ["nuclear reactor leak coastal plant", "shipping port shortage supply chain", "ransomware breach regulator"]
+    rows = [(i, f"{themes[i % 3]} {'extra' if i % 4 else ''}", f"t{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "ingest_seq long, RelevantKeywords string, Title string")
+    path = str(tmp_path / "model")
+    fitted = fit_topics(df, settings=Settings(embedding_size=64), model_path=path)
+    before = {r.ingest_seq: r.topic for r in fitted.documents.collect()}
+    assert set(before.values()) - {-1}
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("fitted again")
+
+    monkeypatch.setattr(topic_model.embedding, "fit_embedding", refuse)
+    monkeypatch.setattr(topic_model, "fit_reducer", refuse)
+    again = assigned_topic_model(df, path)
+    after = {r.ingest_seq: r.topic for r in again.documents.collect()}
+    assert after == before
+    assert "reduced" in again.documents.columns
+    # Unseen texts: a known theme finds its cell or a ring around it; nonsense stays an outlier or near.
+    new = spark.createDataFrame([(100, themes[0], "n"), (101, None, "m")], df.schema)
+    got = {r.ingest_seq: r.topic for r in assigned_topic_model(new, path).documents.collect()}
+    assert got == {100: before[0]}
+
+
+def test_ring_offsets():
+    from presswatch.plans.topic_model import ring_offsets
+
+    assert len(ring_offsets(5, 1)) == 3 ** 5 - 1
+    assert len(ring_offsets(2, 2)) == 5 ** 2 - 1
+    assert min(ring_offsets(3, 1))[:2] == (1, 1)
+
+
+def test_ring_search_of_unseen_cells(spark, tmp_path):
+    """Vectors by a fixed matrix: unseen cells next to a topic take it, by ring, offset, then topic; far: -1."""
+    from presswatch.plans.topic_model import assign_topics, fit_topic_model
+
+    identity = [[1.0, 0.0], [0.0, 1.0]]
+    points = [(i, [0.05 + 0.01 * (i % 5), 0.05]) for i in range(10)] + [(20 + i, [3.05, 3.05]) for i in range(10)]
+    df = spark.createDataFrame(points, "id long, v array<double>")
+    fitted, saved = fit_topic_model(df, "id", str(tmp_path / "m"), vector="v", matrix=identity, widths=[1.0, 1.0],
+                                    min_size=3, min_samples=3, rings=2)
+    topic = {r.id: r.topic for r in fitted.collect()}
+    new = spark.createDataFrame([(1, [1.5, 0.5]), (2, [2.5, 2.5]), (3, [9.5, 9.5]), (4, [0.5, 0.5]), (5, None)],
+                                df.schema)
+    got = {r.id: r.topic for r in assign_topics(saved, new).collect()}
+    assert got == {1: topic[0], 2: topic[20], 3: -1, 4: topic[0], 5: -1}
