@@ -35,10 +35,8 @@ def _block_products(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ta": topics[i], "tb": topics[j], "dot": (matrix @ matrix.T)[i, j]})
 
 
-def topic_distance(vectors: DataFrame, metric: str = "cosine", block_topics: int = BLOCK_TOPICS) -> DataFrame:
-    """``(ta, tb, dist)`` for all ``ta < tb`` of a long vector table ``(topic, term, score)``."""
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
+def pair_dots(vectors: DataFrame, block_topics: int = BLOCK_TOPICS) -> tuple[DataFrame, DataFrame]:
+    """``(ta, tb, dot)`` for all ``ta < tb`` and ``(topic, sq)`` of a long vector table ``(topic, term, score)``."""
     rows_of = vectors.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
     n_topics, n_rows, largest = rows_of.agg(
         F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -59,7 +57,14 @@ def topic_distance(vectors: DataFrame, metric: str = "cosine", block_topics: int
         F.least("block", "_other").alias("first"), F.greatest("block", "_other").alias("second"))
     products = keyed.groupBy("first", "second", "shard").applyInPandas(
         _block_products, "ta int, tb int, dot double")
-    dots = products.groupBy("ta", "tb").agg(F.sum("dot").alias("dot"))
+    return products.groupBy("ta", "tb").agg(F.sum("dot").alias("dot")), norms
+
+
+def topic_distance(vectors: DataFrame, metric: str = "cosine", block_topics: int = BLOCK_TOPICS) -> DataFrame:
+    """``(ta, tb, dist)`` for all ``ta < tb`` of a long vector table ``(topic, term, score)``."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    dots, norms = pair_dots(vectors, block_topics)
     pairs = (
         dots.join(norms.select(F.col("topic").alias("ta"), F.col("sq").alias("sa")), "ta")
         .join(norms.select(F.col("topic").alias("tb"), F.col("sq").alias("sb")), "tb")

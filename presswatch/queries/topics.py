@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presswatch.config import cluster_tier
 from presswatch.functions.text import ENGLISH_STOP_WORDS, term_rows
-from presswatch.operators import distance, evolution, filters, hierarchy, topic_terms
+from presswatch.operators import distance, evolution, filters, hierarchy, nearest, topic_terms
 from presswatch.queries.registry import articles, out, query, table
 from presswatch.session import staged
 
@@ -132,6 +132,18 @@ def topic_distance_euclidean(spark, sf_dir):
     return distance.topic_distance(staged(scores(spark, sf_dir), "scores"), "euclidean").withColumn("dist", F.round("dist", 6))
 
 
+@query("nearest_topics", TF_SQL + PAIRS_SQL + """,
+ends AS (SELECT ta AS topic, tb AS other, greatest(1 - dot / sqrt(sa * sb), 0) AS d FROM pair
+  UNION ALL SELECT tb, ta, greatest(1 - dot / sqrt(sa * sb), 0) FROM pair),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic
+  ORDER BY round(d, 9), least(topic, other), greatest(topic, other)) AS rn FROM ends)
+SELECT topic, other AS nearest, round(d, 6) AS dist FROM r WHERE rn = 1
+""")
+def nearest_topics(spark, sf_dir):
+    """Each topic's nearest topic by cosine distance: K rows from a blocked product, no table of pairs kept."""
+    return nearest.nearest_topics(staged(scores(spark, sf_dir), "scores")).withColumn("dist", F.round("dist", 6))
+
+
 @query("distance_problems", """
 SELECT CAST(0 AS BIGINT) AS missing_pairs, CAST(0 AS BIGINT) AS misordered, CAST(0 AS BIGINT) AS undefined,
   CAST(0 AS BIGINT) AS negative
@@ -266,7 +278,10 @@ def _tree(spark, sf_dir, method="ward"):
     if key not in _TREES:
         base = staged(counts(spark, sf_dir), "counts")
         weighed = staged(topic_terms.class_tf_idf(base), "scores")
-        merges = hierarchy.linkage(weighed, distance.topic_distance(weighed), method)
+        if method == "average":  # from cluster sums, no table of pairs (Ward has no such form)
+            merges = nearest.average_linkage(weighed)
+        else:
+            merges = hierarchy.linkage(weighed, distance.topic_distance(weighed), method)
         parents = staged(hierarchy.hierarchical_topics(base, merges, weighed), "parents")
         _TREES[key] = parents, merges, topic_terms.topic_names(weighed)
     return _TREES[key]

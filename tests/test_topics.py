@@ -354,3 +354,27 @@ def test_ring_search_of_unseen_cells(spark, tmp_path):
                                 df.schema)
     got = {r.id: r.topic for r in assign_topics(saved, new).collect()}
     assert got == {1: topic[0], 2: topic[20], 3: -1, 4: topic[0], 5: -1}
+
+
+def test_linkage_from_sums_equals_pair_table(spark):
+    """Average linkage from cluster sums gives the tree of the pair table; nearest topics equal numpy's."""
+    from presswatch.operators import nearest
+
+    draw = np.random.default_rng(4)
+    rows = [(t, f"w{w}", float(draw.integers(1, 9))) for t in range(30) for w in draw.choice(40, 6, replace=False)]
+    scores = spark.createDataFrame(rows, "topic int, term string, score double")
+    by_pairs = hierarchy.linkage(scores, distance.topic_distance(scores), "average")
+    by_sums = nearest.average_linkage(scores)
+
+    def tree(df):
+        return sorted((tuple(r.left_topics), tuple(r.right_topics), round(r.dist, 9)) for r in df.collect())
+
+    assert tree(by_sums) == tree(by_pairs)
+    dense = np.zeros((30, 40))
+    for t, w, s in rows:
+        dense[t, int(w[1:])] += s
+    unit = dense / np.linalg.norm(dense, axis=1, keepdims=True)
+    d = 1 - unit @ unit.T
+    np.fill_diagonal(d, np.inf)
+    got = {r.topic: (r.nearest, round(r.dist, 9)) for r in nearest.nearest_topics(scores).collect()}
+    assert got == {t: (int(np.argmin(np.round(d[t], 9))), round(float(d[t].min()), 9)) for t in range(30)}
