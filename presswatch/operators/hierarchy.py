@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswatch.operators.dedup import union_all
 from presswatch.operators.skew import lookup_join, number_rows
 from presswatch.operators.topic_terms import joined_terms, term_idf, top_terms, topic_names
 from presswatch.session import staged
@@ -154,40 +153,36 @@ def hierarchical_topics(counts: DataFrame, merges: DataFrame, scores: DataFrame,
 
 
 def node_annotations(merges: DataFrame, hierarchy: DataFrame, names: DataFrame) -> DataFrame:
-    """Names of both children of every merge: a topic's own words, or the name of the parent that has
-    exactly the same set of topics."""
-    leaves = names.select(F.array("topic").alias("_topics"), F.col("name").alias("_name"))
-    parents = hierarchy.select(F.array_sort("Topics").alias("_topics"), F.col("Parent_Name").alias("_name"))
-    known = union_all(leaves, parents)
-
-    def side(title: str) -> DataFrame:
-        return known.select(F.col("_topics").alias(f"{title}_topics"), F.col("_name").alias(f"{title}_name"))
-
-    sorted_merges = merges.withColumns({
-        f"{s}_topics": F.array_sort(f"{s}_topics") for s in ("left", "right")})
-    return sorted_merges.join(side("left"), "left_topics", "left").join(side("right"), "right_topics", "left").select(
-        F.array_sort(F.concat("left_topics", "right_topics")).alias("topics"), "left_name", "right_name", "dist")
+    """Names of both children of every merge, read from the parent's own child columns: no join on sets of
+    topics. ``merges`` and ``names`` are the tables the hierarchy was built from (kept for callers)."""
+    return hierarchy.select(F.col("Topics").alias("topics"), F.col("Child_Left_Name").alias("left_name"),
+                            F.col("Child_Right_Name").alias("right_name"), F.col("Distance").alias("dist"))
 
 
 def topic_tree(hierarchy: DataFrame, names: DataFrame) -> DataFrame:
-    """``(depth, path, name, topic)``: every node below the root chain, ``topic`` only on leaves.
+    """``(depth, path, name, topic)``: every node with the names from the root down to it; ``topic`` on leaves.
 
-    A node's ancestors are the parents that hold its smallest topic and are larger, so one equality
-    join gives all paths.
+    Pointer doubling over parent ids: each node holds a pointer up and the path of names it covers; a round
+    puts the path of the node it points to in front and points to that node's pointer, so a chain of depth h
+    takes log2(h) rounds of one join each, written between rounds. No set of topics is joined on.
     """
-    inner = hierarchy.select(F.col("Parent_ID").alias("node"), F.col("Parent_Name").alias("name"),
-                             F.array_min("Topics").alias("slot"), F.size("Topics").alias("size"),
-                             F.lit(None).cast("int").alias("topic"))
-    leaves = names.select(F.col("topic").alias("node"), "name", F.col("topic").alias("slot"),
-                          F.lit(1).alias("size"), F.col("topic").cast("int").alias("topic"))
-    above = hierarchy.select(F.explode("Topics").alias("slot"), F.size("Topics").alias("above_size"),
-                             F.col("Parent_Name").alias("above_name"))
-    nodes = inner.unionByName(leaves)
-    met = nodes.join(above, "slot", "left").withColumn(
-        "step", F.when(F.col("above_size") > F.col("size"), F.struct((-F.col("above_size")).alias("k"), "above_name")))
-    steps = F.array_sort(F.collect_list("step"))
-    grouped = met.groupBy("node", "name", "topic", "size").agg(steps.alias("steps"))
-    return grouped.select(
-        F.size("steps").alias("depth"),
-        F.array_join(F.concat(F.transform("steps", lambda s: s["above_name"]), F.array("name")), " > ").alias("path"),
-        "name", "topic")
+    links = hierarchy.select(F.col("Child_Left_ID").alias("node"), F.col("Parent_ID").alias("up")).unionByName(
+        hierarchy.select(F.col("Child_Right_ID").alias("node"), F.col("Parent_ID").alias("up")))
+    labels = names.select(F.col("topic").cast("int").alias("node"), "name",
+                          F.col("topic").cast("int").alias("topic")).unionByName(
+        hierarchy.select(F.col("Parent_ID").cast("int").alias("node"), F.col("Parent_Name").alias("name"),
+                         F.lit(None).cast("int").alias("topic")))
+    above = labels.select(F.col("node").alias("up"), F.col("name").alias("path"))
+    state = staged(labels.join(links, "node", "left").join(above, "up", "left").select(
+        "node", "name", "topic", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"), "path"),
+        "tree")
+    while not state.filter(F.col("up").isNotNull()).isEmpty():
+        jump = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"),
+                            F.col("path").alias("before"))
+        state = staged(state.join(jump, "up", "left").select(
+            "node", "name", "topic", F.col("next").alias("up"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.nullif(F.concat_ws(" > ", "before", "path"), F.lit("")).alias("path")), "tree")
+    return state.select(F.col("depth").cast("int").alias("depth"),
+                        F.concat_ws(" > ", "path", "name").alias("path"),
+                        "name", "topic")

@@ -378,3 +378,34 @@ def test_linkage_from_sums_equals_pair_table(spark):
     np.fill_diagonal(d, np.inf)
     got = {r.topic: (r.nearest, round(r.dist, 9)) for r in nearest.nearest_topics(scores).collect()}
     assert got == {t: (int(np.argmin(np.round(d[t], 9))), round(float(d[t].min()), 9)) for t in range(30)}
+
+
+def test_tree_of_a_deep_chain(spark):
+    """A caterpillar of 40 topics: depth and path of every node by pointer doubling equal a walk up the parents."""
+    k = 40
+    rows, left, left_name = [], 0, "t0"
+    for i in range(1, k):
+        parent = k - 1 + i
+        rows.append((parent, f"p{parent}", list(range(i + 1)), left, left_name, i, f"t{i}", float(i)))
+        left, left_name = parent, f"p{parent}"
+    hier = spark.createDataFrame(rows, "Parent_ID int, Parent_Name string, Topics array<int>, Child_Left_ID int, "
+                                       "Child_Left_Name string, Child_Right_ID int, Child_Right_Name string, "
+                                       "Distance double")
+    names = spark.createDataFrame([(t, f"t{t}") for t in range(k)], "topic int, name string")
+    up = {c: p for p, _, _, a, _, b, _, _ in rows for c in (a, b)}
+    label = {t: f"t{t}" for t in range(k)} | {p: n for p, n, *_ in rows}
+
+    def walk(node):
+        chain = []
+        while node in up:
+            node = up[node]
+            chain.append(label[node])
+        return len(chain), " > ".join(reversed(chain))
+
+    got = {r.name: (r.depth, r.path) for r in hierarchy.topic_tree(hier, names).collect()}
+    want = {}
+    for node, name in label.items():
+        depth, above = walk(node)
+        want[name] = (depth, f"{above} > {name}" if above else name)
+    assert got == want
+    assert got["t0"][0] == k - 1
