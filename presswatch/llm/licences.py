@@ -68,7 +68,7 @@ def vocabulary() -> list[str]:
 def rarity(docs: DataFrame, text: str = "text") -> list[str]:
     """Template words from the rarest to the commonest: by document frequency over all documents, then word."""
     vocab = F.array(*[F.lit(w) for w in vocabulary()])
-    present = F.array_distinct(F.filter(words_of(F.col(text)), lambda w: F.array_contains(vocab, w)))
+    present = F.array_intersect(words_of(F.col(text)), vocab)  # distinct, by a hash set: no lambda per word
     counts = dict(docs.select(F.explode(present).alias("word")).groupBy("word").count().collect())
     return sorted(vocabulary(), key=lambda w: (counts.get(w, 0), w))
 
@@ -147,9 +147,19 @@ def licences(docs: DataFrame, text: str = "text") -> DataFrame:
     order = rarity(docs, text)
     vocab = F.array(*[F.lit(w) for w in vocabulary()])
     words, places = fresh("words", docs), fresh("places", docs)
-    staged = docs.withColumn(words, words_of(F.col(text))).withColumn(places, F.filter(
-        F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_contains(vocab, F.get(F.col(words), i))))
+    # Places are needed only where every word of some key phrase or base phrase occurs: elsewhere no template
+    # can be verified and no base place exists. The test is a hash set per text, not a lambda per word.
+    needed = {w for _, _, keys in TEMPLATES for w in " ".join(keys).split()}
+    needed |= {w for phrase, _ in BASE_PHRASES for w in phrase.split()}
+    have = F.array_intersect(F.col(words), F.array(*[F.lit(w) for w in sorted(needed)]))
+    gates = [F.size(F.array_intersect(have, F.array(*[F.lit(w) for w in sorted(set(p.split()))]))) == len(set(p.split()))
+             for p in sorted({k for _, _, keys in TEMPLATES for k in keys} | {ph for ph, _ in BASE_PHRASES})]
+    any_gate = gates[0]
+    for gate in gates[1:]:
+        any_gate = any_gate | gate
+    staged = docs.withColumn(words, words_of(F.col(text))).withColumn(places, F.when(any_gate, F.filter(
+        F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(vocab, F.get(F.col(words), i))))
+        .otherwise(F.array().cast("array<int>")))
     w, p = F.col(words), F.col(places)
     base_places = [(label, F.filter(p, _starts(w, phrase))) for phrase, label in BASE_PHRASES]
     every = F.array_sort(F.flatten(F.array(*[pl for _, pl in base_places])))
