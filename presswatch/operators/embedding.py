@@ -6,16 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, StopWordsRemover
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswatch.functions.text import ENGLISH_STOP_WORDS, words
-
-MAX_PCA_INPUT = 2_000  # PCA sums a (size × size) matrix; wider vectors are refused
-
+from presswatch.operators.svd import principal_components
 
 def embedding_pipeline(size: int = 512, stop_words: Sequence[str] | None = None) -> Pipeline:
     """Hashed TF-IDF vectors of unit length from a ``_words`` column."""
@@ -66,17 +64,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def reduced(df: DataFrame, size: int = 5, vector: str = "embedding", name: str = "reduced") -> DataFrame:
-    """Principal components of the unit vectors. The fitted matrix depends on the width, not on the rows."""
-    widths = df.select(F.size(vector)).filter(F.col(vector).isNotNull()).take(2)
-    if len(widths) < 2:  # no spread to find components in
+    """Principal components of the unit vectors, of any width (``svd.principal_components``); rows are
+    projected after unit scaling, without centring. A null vector gives a null projection; with fewer than
+    two vectors, all projections are zero."""
+    components = principal_components(df, vector, size)
+    if components.size == 0:
         return df.withColumn(name, F.array_repeat(F.lit(0.0), F.lit(size)))
-    width = widths[0][0]
-    if width > MAX_PCA_INPUT:
-        raise ValueError(f"{width} components; PCA takes at most {MAX_PCA_INPUT}, use a smaller embedding")
-    unit = Normalizer(inputCol="_vector", outputCol="_scaled", p=2.0)
-    ready = unit.transform(df.withColumn("_vector", array_to_vector(F.col(vector).cast("array<double>"))))
-    model = PCA(k=min(size, width), inputCol="_scaled", outputCol="_pca").fit(ready)
-    return model.transform(ready).withColumn(name, vector_to_array("_pca")).drop("_vector", "_scaled", "_pca")
+    v = F.col(vector)
+    norm = F.sqrt(dot(v, v))
+    parts = [F.when(norm > 0, dot(v, F.array(*[F.lit(float(x)) for x in row])) / norm).otherwise(F.lit(0.0))
+             for row in components]
+    return df.withColumn(name, F.when(v.isNotNull(), F.array(*parts)))
 
 
 def projected(df: DataFrame, matrix: Sequence[Sequence[float]], vector: str = "embedding",

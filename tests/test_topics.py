@@ -409,3 +409,23 @@ def test_tree_of_a_deep_chain(spark):
         want[name] = (depth, f"{above} > {name}" if above else name)
     assert got == want
     assert got["t0"][0] == k - 1
+
+
+def test_components_of_any_width(spark):
+    """Block power iteration equals numpy's eigenvectors of the covariance of the unit rows (up to the sign
+    rule), for a width beyond the old limit of 2,000; null rows project to null."""
+    from presswatch.operators.svd import principal_components
+
+    draw = np.random.default_rng(9)
+    basis = draw.standard_normal((3, 2100))
+    x = draw.standard_normal((60, 3)) * [5.0, 3.0, 1.5] @ basis + 0.01 * draw.standard_normal((60, 2100))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(99, None)],
+                               "id long, embedding array<double>")
+    got = principal_components(df, "embedding", 2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    w, v = np.linalg.eigh(np.cov(unit.T))
+    want = v[:, np.argsort(w)[::-1][:2]].T
+    want *= np.sign(want[np.arange(2), np.argmax(np.abs(want), axis=1)])[:, None]
+    assert np.abs(got - want).max() < 1e-8
+    rows = {r.id: r.reduced for r in embedding.reduced(df, 2).collect()}
+    assert rows[99] is None and np.allclose(rows[0], unit[0] @ want.T, atol=1e-8)
