@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,37 +146,53 @@ def _inserts(items: dict[int, tuple[int, str]]) -> dict[int, tuple[int, str]]:
     return final
 
 
-def _repair_groups(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    conv_id = None if pd.isna(key[0]) else int(key[0])
-    live = rows[~rows["gone"].astype(bool)].copy()
-    turns = live["turn"].dropna()
-    gaps = int(turns.max() - turns.min() + 1 - turns.nunique()) if len(turns) else 0
-    live["null_turn"] = live["turn"].isna()
-    live = live.sort_values(["null_turn", "turn", "role", "text", "copy"], ascending=[False, True, True, True, True],
-                            kind="stable")
-    # sort_values of str columns is by code point, as Spark's binary order of UTF-8 is.
-    if len(live) == 0:
-        dup = cut = illegal = cost = 0
-        audit, text = "", ""
-        n_blank = 0
-    else:
-        roles, texts = live["role"].tolist(), live["text"].tolist()
-        n_blank = int(live["blank"].sum())
-        dup, cut, illegal, cost, audit, text = lightest_repair(
-            roles, texts, live["blank"].astype(bool).tolist(), live["truncated"].astype(bool).tolist())
+def _summary(conv_id: int | None, rows: list[tuple]) -> tuple:
+    """The result row of one conversation from its rows in order: (turn, role, text, gone, blank, truncated)."""
+    live = [r for r in rows if not r[3]]
+    turns = {r[0] for r in live if r[0] is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    if not live:
+        return conv_id, gaps, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()
+    dup, cut, illegal, cost, audit, text = lightest_repair(
+        [r[1] for r in live], [r[2] for r in live], [bool(r[4]) for r in live], [bool(r[5]) for r in live])
     digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-    return pd.DataFrame({"conv_id": pd.array([conv_id], dtype="Int64"), "gaps": [gaps], "blank": [n_blank],
-                         "duplicate": [dup], "truncated": [cut], "illegal": [illegal], "cost": [cost], "audit": [audit],
-                         "repaired_sha256": [digest]})
+    return conv_id, gaps, sum(bool(r[4]) for r in live), dup, cut, illegal, cost, audit, digest
+
+
+_SCHEMA = pa.schema([("conv_id", pa.int64()), ("gaps", pa.int64()), ("blank", pa.int64()),
+                     ("duplicate", pa.int64()), ("truncated", pa.int64()), ("illegal", pa.int64()),
+                     ("cost", pa.int64()), ("audit", pa.string()), ("repaired_sha256", pa.string())])
+_INPUT = ("conv_id", "turn", "role", "text", "gone", "blank", "truncated")
+
+
+def _repair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by conversation and order arrive in Arrow batches; a conversation may span batches."""
+    done: list[tuple] = []
+    key, rows, started = None, [], False
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in _INPUT]
+        for conv_id, *row in zip(*columns, strict=True):
+            if started and conv_id != key:
+                done.append(_summary(key, rows))
+                rows = []
+            key, started = conv_id, True
+            rows.append(tuple(row))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), _SCHEMA)], schema=_SCHEMA)
+            done = []
+    if started:
+        done.append(_summary(key, rows))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), _SCHEMA)], schema=_SCHEMA)
 
 
 def repaired_conversations(conversations: DataFrame) -> DataFrame:
     """One row per conv_id of the input (null included): fault counts, gaps, illegal pairs and the repair.
 
-    Damage and the per-row flags are built-in expressions; the ordered derivation of each conversation runs in
-    one pandas group of its rows (a conversation is the unit of the result's hash, so it cannot be split).
+    Damage and the per-row flags are built-in expressions. Rows are dealt to tasks by conversation and sorted
+    there; each task walks its rows once and derives each conversation as its rows pass (a conversation is the
+    unit of the result's hash, so it is not split). Only one conversation's rows are held at a time.
     """
     rows = damaged(conversations)
-    out = rows.groupBy("conv_id").applyInPandas(_repair_groups, RESULT)
-    return out.withColumn("conv_id", F.col("conv_id").cast("long"))
-
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("copy")]
+    ready = rows.repartition("conv_id").sortWithinPartitions(*order).select(*_INPUT)
+    return ready.mapInArrow(_repair_partitions, RESULT)
