@@ -12,6 +12,7 @@ from presswatch.sources.replies import sequenced, stream_articles
 from presswatch.sources.tables import read_table
 from presswatch.streaming.alerts import hourly_arrivals, sliding_alerts, start_counts
 from presswatch.streaming.ingest import first_arrivals, start_append
+from presswatch.streaming.late import late_rows_writer
 
 
 def _event_stream(spark, sf_dir):
@@ -78,3 +79,27 @@ FROM events GROUP BY date_trunc('hour', ts), event_type
 def stream_hourly_arrivals(spark, sf_dir):
     counts = hourly_arrivals(_event_stream(spark, sf_dir), "event_type", "ts")
     return out(_counted(spark, counts), "win_start", "event_type", "n")
+
+
+LATE_DELAY, LANDINGS = "1 day", 3
+
+
+@query("stream_late_rows", f"""
+WITH b AS (SELECT event_id, ts, CAST(coalesce(event_id % {LANDINGS}, 0) AS INT) AS batch FROM events),
+m AS (SELECT batch, max(ts) AS mx FROM b GROUP BY batch),
+w AS (SELECT x.batch, (SELECT max(mx) FROM m WHERE m.batch < x.batch) - INTERVAL {LATE_DELAY} AS wm FROM m x)
+SELECT b.event_id, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS ts, b.batch FROM b JOIN w USING (batch) WHERE b.ts < w.wm
+""", with_articles=False)
+def stream_late_rows(spark, sf_dir):
+    """Events land in three turns (by id); one stream with one checkpoint runs after each landing, so its
+    micro-batches are the landings. Rows behind the watermark are archived per batch, not dropped."""
+    events = table(spark, sf_dir, "events")
+    landing, marks, late = work_path(spark, "landing"), work_path(spark, "marks"), work_path(spark, "late")
+    offsets = work_path(spark, "offsets")
+    for turn in range(LANDINGS):
+        events.filter(F.coalesce(F.col("event_id") % LANDINGS, F.lit(0)) == turn).write.mode("append").parquet(landing)
+        stream = use_utc(spark).readStream.schema(events.schema).parquet(landing)
+        stream.writeStream.foreachBatch(late_rows_writer("ts", LATE_DELAY, marks, late)).option(
+            "checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(late)
+    return out(rows, "event_id", "ts", F.col("batch").cast("int").alias("batch"))

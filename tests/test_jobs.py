@@ -82,7 +82,7 @@ def test_oracles_belong_to_queries():
 
 
 QUICK = ["alert_board", "category_panels", "nuclear_panel", "distinct_articles", "retention_split", "tree_map",
-         "reply_fields", "class_tf_idf", "query_search", "sliding_alert_counts"]
+         "reply_fields", "class_tf_idf", "query_search", "sliding_alert_counts", "stream_late_rows"]
 
 
 @pytest.fixture(scope="module")

@@ -80,3 +80,37 @@ def test_replayed_files_add_nothing(spark, tmp_path):
                      str(tmp_path / f"cp{n}")).awaitTermination()
     got = sorted(r.URL for r in read_table(spark, table, schemas.ARTICLES).collect())
     assert got == ["own0", "own1", "same"]
+
+
+def test_late_rows_are_archived_not_dropped(spark, tmp_path):
+    """Three micro-batches: rows behind max(earlier batches) - delay go to the archive, the rest to the sink;
+    a replayed batch replaces its own output; rows without a time are never late."""
+    from pyspark.sql import functions as F
+
+    from presswatch.streaming.late import late_counts, late_rows_writer
+
+    landing, marks, late, kept = (str(tmp_path / n) for n in ("landing", "marks", "late", "kept"))
+    sunk = []
+
+    def sink(rows, batch_id):
+        sunk.append((batch_id, sorted(r.URL for r in rows.collect())))
+
+    turns = [[("2024-01-05 10:00:00", "Red", "a"), ("2024-01-01 00:00:00", "Red", "b")],
+             [("2024-01-05 09:00:00", "Red", "c"), ("2024-01-05 08:59:59", "Red", "d")],
+             [("2024-01-02 00:00:00", "Green", "e"), ("2024-01-06 00:00:00", "Green", "f")]]
+    writer = late_rows_writer("Timestamp", "1 hour", marks, late, sink)
+    for turn in turns:
+        add_batch(spark, landing, turn)
+        spark.readStream.schema(SCHEMA).parquet(landing).writeStream.foreachBatch(writer).option(
+            "checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.batch, r.URL) for r in spark.read.parquet(late).collect())
+    assert got == [(1, "d"), (2, "e")]
+    assert sunk == [(0, ["a", "b"]), (1, ["c"]), (2, ["f"])]
+    # A replay of batch 1 (after a failure) replaces what it wrote.
+    replay = spark.createDataFrame([(datetime(2024, 1, 5, 8, 59, 59), "Red", "d"), (None, "Red", "g")], SCHEMA)
+    writer(replay, 1)
+    got = sorted((r.batch, r.URL) for r in spark.read.parquet(late).collect())
+    assert got == [(1, "d"), (2, "e")]
+    assert {r.batch: r.late_rows for r in late_counts(spark, late).collect()} == {1: 1, 2: 1}
+    assert sunk[-1] == (1, ["g"])
+    assert spark.read.parquet(marks).filter(F.col("batch") == 1).first().max_ts == datetime(2024, 1, 5, 8, 59, 59)
