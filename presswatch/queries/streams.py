@@ -15,15 +15,21 @@ from presswatch.streaming.ingest import first_arrivals, start_append
 from presswatch.streaming.late import late_rows_writer
 
 
-def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return use_utc(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
-def _counted(spark, counts):
-    path = work_path(spark, "counts")
-    start_counts(counts, path, work_path(spark, "offsets")).awaitTermination()
-    return spark.read.schema(counts.schema).parquet(path)
+def _landed_counts(spark, sf_dir, make_counts, landings: int = 3):
+    """Events land in ``landings`` turns by time (each turn newer than the last, so none is behind the
+    watermark); one update-mode stream with one checkpoint runs after each landing and merges the changed
+    windows into day partitions."""
+    events = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    span = (micros - F.lit(low or 0)) / F.lit(max((high or 0) - (low or 0), 1))
+    turn = F.coalesce(F.least(F.floor(span * landings), F.lit(landings - 1)), F.lit(0))
+    landing, path, offsets = work_path(spark, "landing"), work_path(spark, "counts"), work_path(spark, "offsets")
+    for number in range(landings):
+        events.filter(turn == number).write.mode("append").parquet(landing)
+        counts = make_counts(use_utc(spark).readStream.schema(events.schema).parquet(landing))
+        start_counts(counts, path, offsets, "update", key="event_type").awaitTermination()
+    return spark.read.parquet(path)
 
 
 @query("stream_landed_articles", SOURCES_SQL + """
@@ -68,8 +74,8 @@ FROM (SELECT event_type, unnest(generate_series(date_trunc('hour', ts) - INTERVA
 GROUP BY w, event_type
 """, with_articles=False)
 def stream_sliding_alerts(spark, sf_dir):
-    counts = sliding_alerts(_event_stream(spark, sf_dir), "event_type", "ts")
-    return out(_counted(spark, counts), "win_start", "event_type", "n")
+    counts = _landed_counts(spark, sf_dir, lambda rows: sliding_alerts(rows, "event_type", "ts"))
+    return out(counts, "win_start", "event_type", "n")
 
 
 @query("stream_hourly_arrivals", """
@@ -77,8 +83,8 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS win_start, event
 FROM events GROUP BY date_trunc('hour', ts), event_type
 """, with_articles=False)
 def stream_hourly_arrivals(spark, sf_dir):
-    counts = hourly_arrivals(_event_stream(spark, sf_dir), "event_type", "ts")
-    return out(_counted(spark, counts), "win_start", "event_type", "n")
+    counts = _landed_counts(spark, sf_dir, lambda rows: hourly_arrivals(rows, "event_type", "ts"))
+    return out(counts, "win_start", "event_type", "n")
 
 
 LATE_DELAY, LANDINGS = "1 day", 3

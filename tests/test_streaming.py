@@ -114,3 +114,27 @@ def test_late_rows_are_archived_not_dropped(spark, tmp_path):
     assert {r.batch: r.late_rows for r in late_counts(spark, late).collect()} == {1: 1, 2: 1}
     assert sunk[-1] == (1, ["g"])
     assert spark.read.parquet(marks).filter(F.col("batch") == 1).first().max_ts == datetime(2024, 1, 5, 8, 59, 59)
+
+
+def test_update_mode_merges_changed_windows_into_days(spark, tmp_path):
+    """Changed windows replace their rows in their day; files of other days stay; a replay changes nothing."""
+    import os
+
+    from presswatch.streaming.alerts import merge_windows
+
+    path = str(tmp_path / "counts")
+    write = merge_windows(path, "AlertFlag")
+    schema = "win_start timestamp, AlertFlag string, n long"
+
+    def batch(rows):
+        return spark.createDataFrame([(datetime.fromisoformat(t), k, n) for t, k, n in rows], schema)
+
+    write(batch([("2024-01-01 10:00:00", "Red", 2), ("2024-01-02 10:00:00", "Red", 1),
+                 ("2024-01-02 11:00:00", None, 4)]), 0)
+    day_one = sorted(os.listdir(tmp_path / "counts" / "day=2024-01-01"))
+    write(batch([("2024-01-02 10:00:00", "Red", 3), ("2024-01-02 12:00:00", "Green", 1)]), 1)
+    write(batch([("2024-01-02 10:00:00", "Red", 3), ("2024-01-02 12:00:00", "Green", 1)]), 1)  # replayed
+    got = sorted((str(r.win_start), r.AlertFlag or "", r.n) for r in spark.read.parquet(path).collect())
+    assert got == [("2024-01-01 10:00:00", "Red", 2), ("2024-01-02 10:00:00", "Red", 3),
+                   ("2024-01-02 11:00:00", "", 4), ("2024-01-02 12:00:00", "Green", 1)]
+    assert sorted(os.listdir(tmp_path / "counts" / "day=2024-01-01")) == day_one
