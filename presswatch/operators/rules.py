@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from presswatch.functions.text import sentences, term_rows, words
 from presswatch.operators.dedup import top_per_key
-from presswatch.operators.skew import lookup_join
+from presswatch.operators.skew import checked_join
+from presswatch.session import staged
 
 
 @dataclass(frozen=True)
@@ -35,13 +36,16 @@ class Rules:
 def keyword_table(df: DataFrame, key: str = "ingest_seq", text: str = "Description", count: int = 5) -> DataFrame:
     """The ``count`` highest TF-IDF words of each article: ``(key, keywords)``.
 
-    A word that is in most articles is one hot join key, so the document-frequency side is salted.
+    The document frequencies of a vocabulary that a row check finds small go to the articles, which stay
+    in their tasks. With a larger one the rows shuffle: a word that is in most articles is one hot join
+    key, so the document-frequency side is salted.
     """
     described = df.filter(F.col(text).isNotNull())
     tf = term_rows(described, text, keep=[key]).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    spread = term_rows(described, text, keep=[], once=True).groupBy("term").agg(F.count(F.lit(1)).alias("articles"))
+    spread = staged(term_rows(described, text, keep=[], once=True).groupBy("term").agg(
+        F.count(F.lit(1)).alias("articles")), "frequencies")
     total = df.select(F.count(F.lit(1)).cast("double").alias("total")).scalar()
-    scored = lookup_join(tf, spread, ["term"], spread=[key]).withColumn(
+    scored = checked_join(tf, spread, ["term"], spread=[key]).withColumn(
         "score", F.round(F.col("tf") * F.ln((total + 1.0) / (F.col("articles") + 1.0)), 10))
     best = top_per_key(scored, [key], [F.col("score").desc(), F.col("term").asc()], count, rank="_rank")
     return best.groupBy(key).agg(

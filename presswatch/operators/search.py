@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from presswatch.functions.text import term_rows
 from presswatch.operators.dedup import top_per_key
 from presswatch.operators.skew import checked_join
+from presswatch.session import staged
 
 
 def since_filter(df: DataFrame, since: Column | None, ts: str = "Timestamp") -> DataFrame:
@@ -45,20 +46,25 @@ def trending_topics(df: DataFrame, since: Column | None = None, market: str | No
 
 
 def best_article_per_topic(topics: DataFrame, articles: DataFrame, name: str = "Name",
-                           text: str = "Description") -> DataFrame:
+                           text: str = "Description", placed: bool = False) -> DataFrame:
     """One article per topic: most shared terms, then newest, then first ingested.
 
     Terms join on equality. With a topic list that a row check finds small, articles are spread by
-    their number once, so matches are counted where the article is and each task passes on only its
-    best article per topic. A longer list takes the salted join.
+    their number once (not again with ``placed``: then the caller has spread them by it, in tasks of
+    the size that the caller chose), so matches are counted where the article is and each task passes
+    on only its best article per topic. A longer list takes the salted join. Topics are counted by
+    number, their texts join the winners.
     """
-    wanted = term_rows(topics.select(name), name, keep=[name]).distinct()
-    spread = articles.select("ingest_seq", "Timestamp", text).repartition("ingest_seq")
+    numbered = staged(topics.select(name).distinct().withColumn("_topic", F.monotonically_increasing_id()), "wanted")
+    wanted = term_rows(numbered, name, keep=["_topic"], once=True)
+    spread = articles.select("ingest_seq", "Timestamp", text)
+    if not placed:
+        spread = spread.repartition("ingest_seq")
     have = term_rows(spread, text, keep=["ingest_seq", "Timestamp"], once=True)
     score = (
         checked_join(have, wanted, ["term"], spread=["ingest_seq"])
-        .groupBy(name, "ingest_seq", "Timestamp").agg(F.count(F.lit(1)).alias("score"))
+        .groupBy("_topic", "ingest_seq", "Timestamp").agg(F.count(F.lit(1)).alias("score"))
     )
     best = top_per_key(
-        score, [name], [F.col("score").desc(), F.col("Timestamp").desc(), F.col("ingest_seq").asc()], 1)
-    return best.select(name, "ingest_seq", "score")
+        score, ["_topic"], [F.col("score").desc(), F.col("Timestamp").desc(), F.col("ingest_seq").asc()], 1)
+    return best.join(numbered, "_topic").select(name, "ingest_seq", "score")

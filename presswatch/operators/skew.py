@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswatch.session import staged
+from presswatch.session import hadoop_path, staged
 
 BROADCAST_ROWS = 50_000
 SALTS = 8
+TASK_BYTES = 4 << 20
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -18,6 +20,19 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return len(df.select(F.lit(1).alias("x")).take(max_rows + 1)) <= max_rows
 
 
+def spread_out(df: DataFrame, key: str) -> DataFrame:
+    """Place the rows of a text table by ``key``, on as many tasks as keep one at about ``TASK_BYTES`` of the
+    files it is read from, so that what a task holds of words or sorted texts does not grow with the table.
+    Joins and groupings on ``key`` use the same placement. A scan with that many splits stays as it is."""
+    spark = df.sparkSession
+    size = 0
+    for file in df.inputFiles():
+        target, fs = hadoop_path(spark, file)
+        size += fs.getFileStatus(target).getLen()
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -39,19 +54,20 @@ def lookup_join(
 def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int = 0) -> DataFrame:
     """Consecutive numbers over a global order without sorting the table in one task.
 
-    Rows are range-partitioned and numbered inside each range; the window that adds the ranges up
-    sees one row per partition.
+    Rows are range-partitioned, sorted and numbered as they are written, so they move once; the window
+    that adds the ranges up sees one row per partition.
     """
+    inside = (1 << 33) - 1  # an id is the partition's number and, in the low 33 bits, the row's place in it
     ranged = staged(
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()),
+        "numbered").withColumn("_part", F.shiftright("_id", 33))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
         ranged.join(F.broadcast(offsets), "_part")  # one row per shuffle partition
-        .withColumn(name, (F.col("_before") + inside - 1 + F.lit(start)).cast("long"))
-        .drop("_part", "_before")
+        .withColumn(name, (F.col("_before") + F.col("_id").bitwiseAND(F.lit(inside)) + F.lit(start)).cast("long"))
+        .drop("_part", "_before", "_id")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from presswatch.operators.skew import spread_out
 from presswatch.session import use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,15 +72,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a file with few splits; a scan that already has enough splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in for an enriched and topic-labelled article table, whole texts included."""
-    d = spread_out(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events").withColumnRenamed("event_id", "doc_id").select(
         "doc_id", "ts", "event_type", "props")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -87,11 +82,17 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["nuclear", "nuclear industry", "health", "cybersecurity", "geopolitical", "supplychain", "miscellaneous"]
     category = F.element_at(F.array(*[F.lit(n) for n in names]), number + 1)
     event = F.col("event_type")
-    return d.join(e, "doc_id").join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("ingest_seq"),
+    # What a query takes of a text is worked out before rows move, so a text moves only for those that read it.
+    d = d.select(
+        "doc_id",
         F.left("text", F.lit(24)).alias("Title"),
         F.concat(F.lit("http://example.com/"), F.md5("text")).alias("URL"),
         F.when(F.col("doc_id") % 17 == 0, F.lit(None)).otherwise(F.col("text")).alias("Description"),
+        "lang", "source")
+    d = spread_out(d, "doc_id")
+    return d.join(e, "doc_id").join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("ingest_seq"),
+        "Title", "URL", "Description",
         F.col("ts").alias("Timestamp"),
         F.when(F.col("doc_id") % 5 == 0, "yes").otherwise("no").alias("IsTrending"),
         F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, "No").alias("Relevance"),

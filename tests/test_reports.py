@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from presswatch.functions import scalars
 from presswatch.operators import report, retention, rollup
+from presswatch.operators import skew
+from presswatch.operators.rules import keyword_table
 from presswatch.operators.skew import lookup_join, number_rows
 from presswatch import schemas
 from presswatch.sources import tables
@@ -133,3 +135,34 @@ def test_lookup_join_keeps_hot_key_rows(spark, how, count):
     big = spark.range(1000).selectExpr("id", "CASE WHEN id < 400 THEN 'hot' WHEN id < 900 THEN 'warm' ELSE 'none' END AS k")
     small = spark.createDataFrame([("hot", 1), ("warm", 2)], "k string, v int")
     assert lookup_join(big, small, ["k"], ["id"], how).count() == count
+
+
+def test_tasks_over_texts_follow_the_size_of_the_table(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * 50) for i in range(400)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    files = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(p.stat().st_size for p in (tmp_path / "documents.parquet").iterdir() if p.name.startswith("part-"))
+    monkeypatch.setattr(skew, "TASK_BYTES", size // 19)
+    spread = skew.spread_out(files, "doc_id")
+    assert 19 <= spread.rdd.getNumPartitions() <= 21
+    assert spread.count() == 400
+
+
+def test_keywords_of_a_known_vocabulary_keep_articles_in_their_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "alpha alpha beta"), (2, "beta gamma"), (3, "beta"), (4, None)],
+                               "ingest_seq long, Description string")
+    small = {r["ingest_seq"]: r["keywords"] for r in keyword_table(df.repartition(3, "ingest_seq")).collect()}
+    assert small == {1: ["alpha", "beta"], 2: ["gamma", "beta"], 3: ["beta"]}
+    plan = keyword_table(df.repartition(3, "ingest_seq"))._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan
+    monkeypatch.setattr(skew, "fits", lambda *_: False)
+    assert small == {r["ingest_seq"]: r["keywords"] for r in keyword_table(df).collect()}
+
+
+def test_numbering_moves_rows_once(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 7)
+    got = number_rows(df, [F.col("k").desc(), F.col("id").asc()], "n", start=5)
+    assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted(((i % 7, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+    assert [(r["k"], r["id"]) for r in got.orderBy("n").collect()] == want
+    assert [r["n"] for r in got.orderBy("n").collect()] == list(range(5, 1005))
