@@ -16,7 +16,7 @@ from presswatch.sources import replies, tables
 SEARCHES = ("thatin", "orantion on", "inoran")
 PULLED = ("health", "geopolitical")
 PAGE = 100  # articles per landed reply
-_LANDED: dict[tuple[str, str], LandedReplies] = {}
+_LANDED: dict[tuple[str, str], dict] = {}
 
 
 @query("query_search", """
@@ -76,7 +76,7 @@ SELECT md5(name) AS name_hash, doc_id, score FROM r WHERE rn = 1
 """)
 def trending_best_article(spark, sf_dir):
     topics = table(spark, sf_dir, "benchmark").select(F.col("text").alias("Name"))
-    best = search.best_article_per_topic(topics, articles(spark, sf_dir))
+    best = search.best_article_per_topic(topics, articles(spark, sf_dir), placed=True)
     return out(best, F.md5("Name").alias("name_hash"), "doc_id", "score")
 
 
@@ -113,17 +113,22 @@ def _land(rows, path):
     return path
 
 
-def landed(spark, sf_dir) -> LandedReplies:
-    """Trending, one category and one query source, landed once per session."""
+def landed(spark, sf_dir, *kinds: str) -> LandedReplies:
+    """Trending, one category and one query source, or of these the ``kinds`` alone; each landed once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
-        rows = staged(articles(spark, sf_dir), "articles")
-        _LANDED[key] = LandedReplies(
-            trending=(_land(rows.filter("IsTrending = 'yes'"), work_path(spark, "trending")),),
-            categories=(_land(rows.filter("NewsCategory = 'health'"), work_path(spark, "category")),),
-            queries=(_land(rows.filter(F.contains(F.lower("Description"), F.lit("thatin"))), work_path(spark, "query")),),
-        )
-    return _LANDED[key]
+    done = _LANDED.setdefault(key, {})
+    wanted = kinds or ("trending", "categories", "queries")
+    if any(kind not in done for kind in wanted):
+        if "rows" not in done:
+            done["rows"] = staged(articles(spark, sf_dir).select(
+                "ingest_seq", "Title", "URL", "Description", "Timestamp", "IsTrending", "NewsCategory"), "articles")
+        rows = done["rows"]
+        of = {"trending": F.col("IsTrending") == "yes", "categories": F.col("NewsCategory") == "health",
+              "queries": F.contains(F.lower("Description"), F.lit("thatin"))}
+        for kind in wanted:
+            if kind not in done:
+                done[kind] = _land(rows.filter(of[kind]), work_path(spark, kind))
+    return LandedReplies(**{kind: (done[kind],) for kind in wanted})
 
 
 SOURCES_SQL = f"""
@@ -145,17 +150,17 @@ def _row(rows):
 
 @query("category_source", SOURCES_SQL + _ROW_SQL.format(1))
 def category_source(spark, sf_dir):
-    return _row(replies.read_category(spark, landed(spark, sf_dir).categories[0]))
+    return _row(replies.read_category(spark, landed(spark, sf_dir, "categories").categories[0]))
 
 
 @query("query_source", SOURCES_SQL + _ROW_SQL.format(2))
 def query_source(spark, sf_dir):
-    return _row(replies.read_query(spark, landed(spark, sf_dir).queries[0]))
+    return _row(replies.read_query(spark, landed(spark, sf_dir, "queries").queries[0]))
 
 
 @query("trending_source", SOURCES_SQL + _ROW_SQL.format(0))
 def trending_source(spark, sf_dir):
-    return _row(replies.read_trending(spark, landed(spark, sf_dir).trending[0]))
+    return _row(replies.read_trending(spark, landed(spark, sf_dir, "trending").trending[0]))
 
 
 @query("trending_topic_source", """
@@ -184,7 +189,7 @@ def _stored(rows):
 @query("ingest_trending", SOURCES_SQL + "," + _FIRST.format("WHERE rank = 0")
        + f"SELECT {_STORED} FROM first_copy WHERE rn = 1 AND description IS NOT NULL")
 def ingest_trending_query(spark, sf_dir):
-    return _stored(ingest_trending(spark, landed(spark, sf_dir), 1, work_path(spark, "articles")))
+    return _stored(ingest_trending(spark, landed(spark, sf_dir, "trending"), 1, work_path(spark, "articles")))
 
 
 @query("ingest_regular", SOURCES_SQL + "," + _FIRST.format("WHERE rank > 0") + f""",
@@ -195,7 +200,7 @@ SELECT {_STORED} FROM first_copy WHERE rn = 1 AND description IS NOT NULL AND ur
 """)
 def ingest_regular_query(spark, sf_dir):
     path = work_path(spark, "articles")
-    ingest_trending(spark, landed(spark, sf_dir), 1, path)
+    ingest_trending(spark, landed(spark, sf_dir, "trending"), 1, path)
     return _stored(ingest_regular(spark, landed(spark, sf_dir), 2, path))
 
 

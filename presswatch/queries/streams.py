@@ -36,7 +36,7 @@ def _landed_counts(spark, sf_dir, make_counts, landings: int = 3):
 SELECT title, url, md5(description) AS text_hash, is_trending FROM sources WHERE rank = 0
 """)
 def stream_landed_articles(spark, sf_dir):
-    rows = stream_articles(spark, landed(spark, sf_dir).trending[0], trending=True)
+    rows = stream_articles(spark, landed(spark, sf_dir, "trending").trending[0], trending=True)
     path = work_path(spark, "landed")
     rows.writeStream.format("parquet").option("checkpointLocation", work_path(spark, "offsets")).trigger(
         availableNow=True).start(path).awaitTermination()
@@ -46,7 +46,7 @@ def stream_landed_articles(spark, sf_dir):
 
 @query("stream_first_arrivals", SOURCES_SQL + "SELECT DISTINCT url FROM sources WHERE rank = 1")
 def stream_first_arrivals(spark, sf_dir):
-    rows = first_arrivals(stream_articles(spark, landed(spark, sf_dir).categories[0])).select("URL")
+    rows = first_arrivals(stream_articles(spark, landed(spark, sf_dir, "categories").categories[0])).select("URL")
     path = work_path(spark, "arrivals")
     rows.writeStream.format("parquet").option("checkpointLocation", work_path(spark, "offsets")).trigger(
         availableNow=True).start(path).awaitTermination()
@@ -59,7 +59,7 @@ SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM f WHERE rn = 1 AND desc
 """)
 def stream_replayed_append(spark, sf_dir):
     """The same landed files processed by two queries with separate offsets: the second adds nothing."""
-    rows = sequenced(stream_articles(spark, landed(spark, sf_dir).categories[0]), 1, 0).select(
+    rows = sequenced(stream_articles(spark, landed(spark, sf_dir, "categories").categories[0]), 1, 0).select(
         *schemas.ARTICLES.fieldNames())
     path = work_path(spark, "appended")
     for _ in range(2):

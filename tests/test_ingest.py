@@ -4,6 +4,8 @@ import json
 
 import pytest
 
+from presswatch.operators import delta
+from presswatch.queries import ingest
 from presswatch import schemas
 from presswatch.operators import dedup
 from presswatch.operators.delta import not_processed
@@ -116,3 +118,24 @@ def test_absent_table_and_csv_text(spark, rows, tmp_path):
     back = read_csv(spark, str(tmp_path / "csv"), df.schema)
     assert sorted(map(tuple, back.collect()), key=lambda r: r[3]) == [
         (' lead "q"', "a,b", "two\nlines", 1), ("x", None, "NA", 2)]
+
+
+def test_keys_are_compared_before_rows_move(spark):
+    fresh = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, "x"), (4, "c", "x"), (5, "c", "y")],
+                                  "ingest_seq long, URL string, Description string")
+    nothing = fresh.filter("false")
+    assert delta.not_processed(fresh, nothing, broadcast_rows=0) is fresh
+    for done, left in (([("a",)], [2, 3, 4, 5]), ([(None,), ("c",)], [1, 2]), ([("a",), ("b",), (None,), ("c",)], [])):
+        stored = spark.createDataFrame(done, "URL string")
+        for rows in (0, 2, 100):
+            got = delta.not_processed(fresh, stored, broadcast_rows=rows)
+            assert sorted(r["ingest_seq"] for r in got.collect()) == left
+
+
+def test_a_query_lands_the_replies_it_reads(spark):
+    path = "/root/testdata/sf0.001"
+    ingest._LANDED.clear()
+    assert ingest.landed(spark, path, "queries").trending == ()
+    assert set(ingest._LANDED[(spark.sparkContext.applicationId, path)]) == {"rows", "queries"}
+    whole = ingest.landed(spark, path)
+    assert whole.trending and whole.categories and whole.queries == ingest.landed(spark, path, "queries").queries
