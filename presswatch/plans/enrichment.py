@@ -12,6 +12,7 @@ from presswatch.config import DEFAULTS, Settings
 from presswatch.operators.delta import not_processed
 from presswatch.operators.enrich import DEFAULT_TEMPLATE, Extractor, with_enrichment, with_prompt, with_replies
 from presswatch.operators.rules import Rules, with_rule_replies
+from presswatch.operators.skew import spread_out
 from presswatch.session import staged
 from presswatch.sources.tables import append_table, read_table
 
@@ -21,7 +22,7 @@ def enriched(articles: DataFrame, as_of: str, make_extractor: Callable[[], Extra
              template: str = DEFAULT_TEMPLATE) -> DataFrame:
     """Article rows plus the enrichment columns, from a user's extractor or else the built-in rules."""
     if make_extractor is None:
-        raw = with_rule_replies(articles, rules)
+        raw = with_rule_replies(spread_out(articles, "ingest_seq"), rules)
     else:
         raw = with_replies(
             with_prompt(articles, template), make_extractor, settings.max_attempts,
@@ -33,10 +34,14 @@ def enriched(articles: DataFrame, as_of: str, make_extractor: Callable[[], Extra
 def enrich_delta(spark: SparkSession, articles: str, table: str, as_of: str,
                  make_extractor: Callable[[], Extractor] | None = None, rules: Rules | None = None,
                  settings: Settings = DEFAULTS, retry_failed: bool = False) -> DataFrame:
-    """Enrich only URLs without a stored result and append them; replies are written once, before use."""
+    """Enrich only URLs without a stored result and append them; an extractor's replies are written once,
+    before use (the rules give the same reply each time)."""
     stored = read_table(spark, table, schemas.ENRICHED)
     fresh = read_table(spark, articles, schemas.ARTICLES).drop("date")
-    todo = staged(not_processed(fresh, stored, retry_failed=retry_failed), "todo")
+    todo = not_processed(fresh, stored, retry_failed=retry_failed)
+    if todo is not fresh:  # else it is the article table as it lies there
+        todo = staged(todo, "todo")
     if not todo.isEmpty():
-        append_table(staged(enriched(todo, as_of, make_extractor, rules, settings), "enriched"), table)
+        done = enriched(todo, as_of, make_extractor, rules, settings)
+        append_table(done if make_extractor is None else staged(done, "enriched"), table)
     return read_table(spark, table, schemas.ENRICHED)
