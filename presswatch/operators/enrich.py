@@ -24,6 +24,7 @@ DEFAULT_TEMPLATE = (
     "AlertFlag is Red, Yellow or Green, and Green when Relevance is No.\n\nArticle:\n{news_content}\n"
 )
 
+BATCH_BYTES = 16 << 20  # of an Arrow batch: articles of any length, not a number of them
 _USAGE = pa.struct([(f.name, pa.int32()) for f in RAW_REPLY["LLM_Token_Usage"].dataType.fields])
 
 
@@ -52,8 +53,9 @@ def with_replies(df: DataFrame, make_extractor: Callable[[], Extractor], max_att
     """Call the extractor for each row's ``prompt``.
 
     The extractor and its client are made inside the task. ``partitions`` evens the rows out and
-    caps the number of calls in flight.
+    caps the number of calls in flight. Batches are bounded by bytes.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if partitions:
         df = df.repartition(partitions)
 

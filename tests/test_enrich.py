@@ -147,3 +147,10 @@ def test_keywords_by_brute_force(rows):
         def score(w):
             return round(c[w] * math.log(4 / (sum(w in x for x in words.values()) + 1)), 10)
         assert got[k] == sorted(c, key=lambda w: (-score(w), w))[:3]
+
+
+def test_batches_to_an_extractor_are_bounded_by_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(3).select(F.lit("x").alias("prompt"))
+    enrich.with_replies(df, lambda: lambda p: ("{}", None))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == enrich.BATCH_BYTES
