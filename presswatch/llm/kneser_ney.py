@@ -6,11 +6,12 @@ p3 = a(uvw) + g(uv) (a(vw) + g(v) (a(w) + g / (V + 1))), where a is a discounted
 discounts leave; the lower orders count different contexts, not occurrences, and each order has the three
 discounts of modified Kneser-Ney from its counts of counts.
 
-Bounds: the trusted sample has at most ``TRUSTED`` documents a language, in order of a hash of their id,
-and ``TRUSTED_CHARS`` characters over all languages, taken evenly (a text that does not fit is passed over);
-two fifths are held out to find, per language, the ``QUANTILE`` of perplexity; a document beyond it is
-rejected. So the model, counted by sharded groupings and joined to the documents in the tasks, has a size
-that no corpus can raise. All documents are scored whole.
+All trusted documents take part: three fifths of a language's train its model, two fifths are held out to
+find the ``QUANTILE`` of perplexity; a document beyond it is rejected (``per_language`` and ``chars`` bound
+them on request only, in order of a hash of the id; a text that does not fit is passed over). The model is
+a table of one row per different gram and context, counted and smoothed by joins. Scoring looks each token
+up: the ``TOP`` commonest rows and a bitmap of all keys go to the tasks, of the same size for any corpus, and tokens
+that these do not settle are joined with the others, longest gram first. All documents are scored whole.
 
 Small languages, with fewer than ``LEAST_HELD_OUT`` held out: their model is of all their trusted texts, and
 the perplexities are cross-validated, each text by a model of the other ``FOLDS`` - 1 parts. Where these are
@@ -28,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from presswatch.llm.bytesops import SPACED_BYTES, WORD_BYTES, HashTable, mix, slices, span_hashes, sum_by
-from presswatch.llm.common import fresh
+from presswatch.llm.common import bitmap_of, fresh
+from presswatch.llm.ppm import commonest
+from presswatch.operators.skew import fits, number_rows
 from presswatch.session import staged
 
-TRUSTED = 500
-TRUSTED_CHARS = 16_000_000
+TOP = 1 << 20
+BITS = 26
+FOLD_CHARS = 16_000_000  # of small languages in all folds at once
 QUANTILE = 0.995
 LEAST_HELD_OUT = 20
 FOLDS = 5
@@ -92,36 +96,43 @@ def _lang_hash(batch_column: pa.Array) -> np.ndarray:
 
 
 def trusted_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, trust: Column,
-                   per_language: int, chars: int) -> DataFrame:
-    """(doc_id, lang, text, fold): the bounded sample of trusted documents; folds are even within a language."""
+                   per_language: int | None = None, chars: int | None = None) -> DataFrame:
+    """(doc_id, lang, text, fold): the trusted documents, within bounds if given; folds are even within a language."""
     good = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(F.coalesce(trust, F.lit(False))).alias("good")).filter("good")
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.length(text).alias("size"),
                          F.xxhash64(F.col(text)).alias("draw"))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("draw")]
-    ranked = (narrow.filter("size > 0").join(good, "doc_id")
-              .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-              .filter(F.col("rank") <= per_language))
-    first = (ranked.orderBy("rank", F.col("lang").asc_nulls_first()).limit(64 * per_language)
-             .select("doc_id", "draw", (F.col("rank") % FOLDS).cast("int").alias("fold"), F.col("size").cast("long").alias("size")))
-
-    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        room = chars
-        for batch in batches:
-            take = []
-            for i, size in enumerate(batch.column(3).to_pylist()):
-                if size <= room:
-                    room -= size
-                    take.append(i)
-            yield batch.take(pa.array(take, pa.int64()))
-
-    # The first rows come in order, in one partition.
-    taken = first.coalesce(1).mapInArrow(fitting, first.schema).drop("size")
+    numbered = number_rows(narrow.filter("size > 0").join(good, "doc_id"),
+                           [F.col("lang").asc_nulls_first(), *order], "place")
+    starts = numbered.groupBy(F.col("lang").alias("of")).agg(F.min("place").alias("start"))
+    ranked = numbered.join(F.broadcast(starts) if fits(starts) else starts, F.col("lang").eqNullSafe(F.col("of"))).withColumn(
+        "rank", F.col("place") - F.col("start") + 1)
+    if per_language is not None:
+        ranked = ranked.filter(F.col("rank") <= per_language)
+    parts = ["doc_id", "draw", (F.col("rank") % FOLDS).cast("int").alias("fold"), F.col("size").cast("long").alias("size")]
+    taken = ranked.select(*parts)
+    if chars is not None:
+        first = ranked.repartition(1).sortWithinPartitions("rank", F.col("lang").asc_nulls_first()).select(*parts)
+
+        def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            room = chars
+            for batch in batches:
+                take = []
+                for i, size in enumerate(batch.column(3).to_pylist()):
+                    if size <= room:
+                        room -= size
+                        take.append(i)
+                yield batch.take(pa.array(take, pa.int64()))
+
+        # The rows come in order, in one partition; they hold no texts.
+        taken = first.mapInArrow(fitting, first.schema)
+    taken = staged(taken.drop("size"), "taken")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     return staged(texts.withColumn("draw", F.xxhash64("text")).join(taken, ["doc_id", "draw"])
                   .dropDuplicates(["doc_id", "draw"]).select("doc_id", "lang", "text", "fold"), "trusted")
 
 
-def cross_validated(sample: DataFrame, chars: int) -> DataFrame:
+def cross_validated(sample: DataFrame, chars: int = FOLD_CHARS, top: int = TOP) -> DataFrame:
     """(lang, value): the perplexity of each text under a model of its language's texts in the other folds."""
     named = sample.select("lang", "text", "fold", F.to_json(F.struct("lang")).alias("name"))
     # A fold's model is that of a language of its own; in rounds of one fold where all together pass the bound.
@@ -132,7 +143,7 @@ def cross_validated(sample: DataFrame, chars: int) -> DataFrame:
         each = named.withColumn("test", F.explode(F.array(*[F.lit(k) for k in folds]))).withColumn(
             "part", F.concat_ws(" ", "test", "name"))
         table = model(each.filter("test != fold").select(F.col("part").alias("lang"), "text"))
-        values = staged(perplexities(each.filter("test = fold"), table, "text", "part", "value", ["lang"]), "kn-folds")
+        values = staged(perplexities(each.filter("test = fold"), table, "text", "part", "value", ["lang"], top), "kn-folds")
         out = values if out is None else out.union(values)
     return out
 
@@ -151,8 +162,8 @@ def limits_of(sample: DataFrame, tried: DataFrame, quantile: float) -> DataFrame
     return langs.join(each, F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", limit.alias("limit"))
 
 
-def model(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shares and left masses of all orders by key, from (lang, text)."""
+def model(training: DataFrame) -> DataFrame:
+    """(key, value, seen): the probability of each gram and the left mass of each context, from (lang, text)."""
     names = ["uvw", "uv", "vw", "v", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +179,11 @@ def model(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     three = rows.groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
     two = three.groupBy("lang", "vw", "v", "w").agg(F.count(F.lit(1)).alias("n"))
     one = two.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    out = None
-    for table, key, context in ((three, "uvw", "uv"), (two, "vw", "v"), (one, "w", "lang")):
-        table = staged(table.select("lang", F.col(key).alias("key"), F.col(context).alias("context"), "n"), f"kn-{key}")
+    out = below = None
+    orders = ((one, "w", "lang", None), (two, "vw", "v", "w"), (three, "uvw", "uv", "vw"))
+    for table, key, context, shorter in orders:
+        more = [F.col(shorter).alias("shorter")] if shorter else []
+        table = staged(table.select("lang", F.col(key).alias("key"), F.col(context).alias("context"), "n", *more), f"kn-{key}")
         times = [F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.expr("coalesce(n1 / nullif(n1 + 2 * n2, 0), 0)")
         discounts = table.groupBy("lang").agg(*times).select("lang", *[
@@ -181,48 +194,112 @@ def model(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("left"),
                                             F.count(F.lit(1)).alias("kinds"))
-        shares = table.join(sums, "context").select("key", ((F.col("n") - discount) / F.col("total")).alias("value"))
         mass = F.col("left") / F.col("total")
-        if context == "lang":
+        if shorter is None:
             mass = mass / (F.col("kinds") + 1)
-        masses = sums.select(F.col("context").alias("key"), mass.alias("value"))
-        out = shares.union(masses) if out is None else out.union(shares).union(masses)
-    rows = out.toArrow()  # bounded by the sample
-    return rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()
+        sums = staged(sums.withColumn("mass", mass), f"kn-{context}-sums")
+        shares = table.join(sums, "context").withColumn("share", (F.col("n") - discount) / F.col("total"))
+        if shorter is None:
+            value = F.col("share") + F.col("mass")
+        else:
+            shares = shares.join(below.select(F.col("key").alias("shorter"), F.col("value").alias("p")), "shorter")
+            value = F.col("share") + F.col("mass") * F.col("p")
+        below = staged(shares.select("key", value.alias("value"), F.col("n").alias("seen")), f"kn-{key}-model")
+        # A language's own row comes first of all: tasks always know which languages have a model.
+        rank = F.col("total") if shorter else F.lit(1 << 62)
+        masses = sums.select(F.col("context").alias("key"), F.col("mass").alias("value"), rank.alias("seen"))
+        out = below.unionByName(masses) if out is None else out.unionByName(below).unionByName(masses)
+    return out
+
 
+def perplexities(docs: DataFrame, table: DataFrame, text: str, lang: str, out: str, keep: list[str],
+                 top: int = TOP) -> DataFrame:
+    """``keep`` columns and ``out``: the perplexity, null without tokens or for a language without a model.
 
-def perplexities(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], text: str, lang: str, out: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``out``: the perplexity, null without tokens or for a language without a model."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    A task settles the tokens whose longest gram in the model is among its ``top`` commonest rows, all of them
+    when these are the whole model; a bitmap of its keys tells most grams that it lacks. The other tokens are
+    joined with the model.
+    """
+    whole = table.count() <= top
+    bits = np.zeros(1, np.uint64) if whole else bitmap_of(table, "key", BITS)
+    sent = docs.sparkSession.sparkContext.broadcast((commonest(table, "value", top), bits))
     size = len(keep)
-    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(f"`{out}` double").fields])
+    grams = ["uvw", "uv", "vw", "v", "w"]
+    row, count, total, has_model, others, more = (
+        fresh(x, docs) for x in ("row", "n_tokens", "log_sum", "modelled", "others", "more_logs"))
+    added = f"`{row}` long, `{count}` long, `{total}` double, `{has_model}` boolean, `{others}` array<struct<" + ", ".join(
+        f"{g}: bigint" for g in grams) + ", rest: double>>"
+    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = HashTable(*sent.value)
+        known, bits = HashTable(*sent.value[0]), sent.value[1]
+
+        def may_have(keys: np.ndarray) -> np.ndarray:
+            low_bits = keys & np.uint64((1 << BITS) - 1)
+            return (bits[(low_bits >> np.uint64(6)).astype(np.int64)] >> (low_bits & np.uint64(63)) & np.uint64(1)) > 0
+
         for batch in batches:
             langs = _lang_hash(batch.column(size))
             for low, high, data, offsets in slices(batch.column(size + 1)):
                 own = langs[low:high]
                 (uvw, uv, vw, v, w), first = gram_keys(data, offsets, own)
                 rest, modelled = known.look_up(own)
-                p = known.look_up(w)[0] + np.repeat(rest, np.diff(first))
-                for key, context in ((vw, v), (uvw, uv)):
-                    mass, seen = known.look_up(context)
-                    p = known.look_up(key)[0] + np.where(seen, mass, 1.0) * p
-                n = np.diff(first)
-                total = sum_by(first, np.log(np.maximum(p, 1e-300)))
-                value = np.exp(-total / n)
+                p = rest = np.repeat(rest, np.diff(first))
+                left = np.zeros(len(p), bool)
+                for key, context in ((w, None), (vw, v), (uvw, uv)):
+                    if context is not None:
+                        mass, seen = known.look_up(context)
+                        p = np.where(seen, mass, 1.0) * p
+                        left |= False if whole else ~seen & may_have(context)
+                    value, seen = known.look_up(key)
+                    p = np.where(seen, value, p)
+                    left = ~seen & (left if whole else left | may_have(key))
+                left &= np.repeat(modelled, np.diff(first))
+                logs = np.where(left, 0.0, np.log(np.maximum(p, 1e-300)))
+                at = np.concatenate([[0], np.cumsum(left)])[first].astype(np.int32)
+                tokens_left = pa.StructArray.from_arrays(
+                    [*(pa.array(x[left].view(np.int64)) for x in (uvw, uv, vw, v, w)), pa.array(rest[left])],
+                    names=[*grams, "rest"])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(low, high - low) for i in range(size)),
-                     pa.array(value, mask=~(modelled & (n > 1)))], names=schema.names)
-
-    return docs.select(*keep, F.col(lang).alias("lang_"), F.col(text).alias("text_")).mapInArrow(run, schema)
+                    [*(batch.column(i).slice(low, high - low) for i in (*range(size), size + 2)),
+                     pa.array(np.diff(first)), pa.array(sum_by(first, logs)), pa.array(modelled),
+                     pa.ListArray.from_arrays(pa.array(at), tokens_left)], names=schema.names)
+
+    part = docs.select(*keep, F.col(lang).alias("lang_"), F.col(text).alias("text_"),
+                       F.monotonically_increasing_id().alias("row_")).mapInArrow(run, schema)
+    logs = F.col(total)
+    if not whole:
+        part = staged(part, "kn-part")
+        part = part.join(joined_logs(part, row, others, table).withColumnRenamed("more", more), row, "left")
+        logs = logs + F.coalesce(more, F.lit(0.0))
+    value = F.when(F.col(has_model) & (F.col(count) > 1), F.exp(-logs / F.col(count)))
+    return part.select(*keep, value.alias(out))
+
+
+def joined_logs(part: DataFrame, row: str, others: str, table: DataFrame) -> DataFrame:
+    """(row, more): the logarithms of the tokens listed in ``others``, by the longest gram that the model has."""
+    def of(key: str, name: str) -> DataFrame:
+        return table.select(F.col("key").alias(key), F.col("value").alias(name))
+
+    def log(p: Column) -> Column:
+        return F.log(F.greatest(p, F.lit(1e-300))).alias("more")
+
+    tokens_left = part.select(row, F.explode(others).alias("t")).select(row, "t.*")
+    three = staged(tokens_left.join(of("uvw", "p"), "uvw", "left").drop("uvw"), "kn-three")
+    two = staged(three.filter("p IS NULL").drop("p").join(of("uv", "mass"), "uv", "left").join(
+        of("vw", "p"), "vw", "left").drop("uv", "vw"), "kn-two")
+    one = two.filter("p IS NULL").drop("p").join(of("v", "mass_v"), "v", "left").join(of("w", "p"), "w", "left")
+    mass = F.coalesce("mass", F.lit(1.0))
+    found = three.filter("p IS NOT NULL").select(row, log(F.col("p"))).unionByName(
+        two.filter("p IS NOT NULL").select(row, log(mass * F.col("p")))).unionByName(
+        one.select(row, log(mass * F.coalesce("mass_v", F.lit(1.0)) * F.coalesce("p", "rest"))))
+    return found.groupBy(row).agg(F.sum("more").alias("more"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, trust: Column, doc_id: str = "doc_id", text: str = "text",
             lang: str = "lang", perplexity: str = "perplexity", threshold: str = "threshold", kept: str = "kept",
-            keep: list[str] | None = None, per_language: int = TRUSTED, chars: int = TRUSTED_CHARS,
-            quantile: float = QUANTILE, only_kept: bool = False) -> DataFrame:
+            keep: list[str] | None = None, per_language: int | None = None, chars: int | None = None,
+            quantile: float = QUANTILE, only_kept: bool = False, top: int = TOP) -> DataFrame:
     """``keep`` (by default all) columns of ``docs`` with perplexity, its language's threshold, and ``kept``.
 
     With ``only_kept`` the result is the kept documents with their own columns. ``trust`` is a condition on a row of ``labels`` (with the same ``doc_id`` column): its text is trusted.
@@ -233,16 +310,16 @@ def quality(docs: DataFrame, labels: DataFrame, trust: Column, doc_id: str = "do
     same = F.col("lang").eqNullSafe(F.col("of"))
     large, small = sample.join(few, same, "left_anti"), sample.join(few, same, "left_semi")
     table = model(large.filter("fold < 3").union(small))
-    tried = perplexities(large.filter("fold >= 3"), table, "text", "lang", "value", ["lang"])
+    tried = perplexities(large.filter("fold >= 3"), table, "text", "lang", "value", ["lang"], top)
     if not few.isEmpty():
-        tried = tried.union(cross_validated(small, chars))
+        tried = tried.union(cross_validated(small, chars or FOLD_CHARS, top))
     limits = staged(limits_of(sample, staged(tried, "kn-tried"), quantile), "kn-limits")
     if only_kept:
         perplexity, threshold, kept = (fresh(c, docs) for c in (perplexity, threshold, kept))
     names = [c for c in (keep or docs.columns) if c not in (perplexity, threshold, kept)]
     limit, other = fresh("limit", docs), fresh("limit_lang", docs)
     key = fresh("lang_key", docs)
-    scored = perplexities(docs.withColumn(key, F.col(lang)), table, text, lang, perplexity, [*names, key])
+    scored = perplexities(docs.withColumn(key, F.col(lang)), table, text, lang, perplexity, [*names, key], top)
     limits = limits.select(F.col("lang").alias(other), F.col("limit").alias(limit))
     joined = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits,
                          F.col(key).eqNullSafe(F.col(other)), "left")

@@ -195,6 +195,20 @@ def test_quality_of_small_languages(spark):
     assert {r.doc_id for r in sample.collect()} == {r[0] for r in good} - {4}
 
 
+def test_quality_learns_from_all_trusted_texts(spark):
+    good = [(i, prose(i, 40), "en") for i in range(1100)]
+    table = spark.createDataFrame(good + [(5000, prose(9, 30) + " zzzz", "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i in range(1100)], "doc_id long, quality int")
+    sample = trusted_sample(table, marks, "doc_id", "text", "lang", F.expr("quality = 1"))
+    folds = collections.Counter(r.fold for r in sample.collect())
+    assert sum(folds.values()) == 1100 and max(folds.values()) - min(folds.values()) <= 1
+    broadcast, joined = ({r.doc_id: r for r in quality(table, marks, F.expr("quality = 1"), top=top).collect()}
+                         for top in (1 << 20, 300))
+    assert set(broadcast) == set(joined) == {r[0] for r in good} | {5000}
+    for i, r in broadcast.items():  # tokens settled in the task, or joined with the model
+        assert joined[i].perplexity == pytest.approx(r.perplexity, rel=1e-9) and joined[i].kept == r.kept
+
+
 # 3: line deduplication.
 
 
