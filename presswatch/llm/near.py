@@ -13,10 +13,11 @@ with equal weights it is the Jaccard of the two sets.
    bands of 5 a pair of similarity 0.8 shares one with probability 0.99995.
 3. Links: a bucket compares its members with one pivot, the first in one of ``PIVOTS`` random orders,
    exactly. Members linked so far are one class, so a group of n copies costs a few n comparisons, never all
-   pairs. In buckets that still hold several classes, members of different classes are then compared with
-   each other, so no candidate link between different classes is lost; a parity map in the join's condition
-   keeps out pairs that cannot be similar. Comparisons are joins on a member's
-   own id.
+   pairs. Buckets that still hold several classes meet other pivots, ``TURNS`` in all. Then members of different
+   classes are compared with each other, each pair in one bucket, so no candidate link between different
+   classes is lost; a parity map and a prefix of the rarest shingles in the join's condition keep out pairs that
+   cannot be similar, such as those which share only a common passage. What is left are the links that join
+   classes and pairs just below the limit. Comparisons are joins on a member's own id.
 4. Classes are the connected components of the links.
 
 Equal texts are one node. Defined cases: a text without words (null, empty) is a class of its own, per
@@ -33,7 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from presswatch.llm.bytesops import LOWER, WORD_BYTES, gram_hashes, mix, slices, span_hashes, split_words, sum_spans
+from presswatch.llm.bytesops import (
+    LOWER,
+    WORD_BYTES,
+    Tally,
+    gram_hashes,
+    mix,
+    slices,
+    span_hashes,
+    split_words,
+    sum_spans,
+)
 from presswatch.llm.common import fresh
 from presswatch.llm.components import components
 from presswatch.session import staged
@@ -42,6 +53,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 PIVOTS = 4
+TURNS = 3
+FREQUENT = 1 << 16
 PARITY = 1024
 
 
@@ -185,6 +198,85 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         run, "a long, b long")
 
 
+def star_links(members: DataFrame, sets: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
+    """The links of the members of each bucket with its pivot, from (bucket, node, comp); those of its class are left out."""
+    rank = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(PIVOTS)), F.lit(turn)).alias("draw"), "node", "comp")
+    pivots = members.groupBy("bucket").agg(F.min(rank).alias("pivot"))
+    stars = (members.join(pivots, "bucket").filter("comp <> pivot.comp")
+             .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
+    return staged(linked(stars, sets, similarity), "star-links")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, comp): the members of the buckets that hold several classes."""
+    named = members.select("bucket", "node").join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    several = (named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+               .filter("low < high").select("bucket"))
+    return staged(named.join(several, "bucket"), "open-buckets")
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, prefix): the rarest shingles of a set, as 32-bit numbers, of just more than 1 - s of its weight.
+
+    J_P is at most the share of either weight that both sets have, so what stands before the first shared
+    shingle has at most 1 - s of it: similar sets share a shingle of both prefixes, in whatever order. The
+    ``FREQUENT`` commonest shingles come last, by their number of sets, the others before them by hash.
+    """
+    picked = sets.select("node", "grams", "weights")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                tally.add(np.frombuffer(b"".join(batch.column(1).slice(low, 256).to_pylist()), np.uint64))
+            if (some := tally.take()) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(some[0].view(np.int64)), pa.array(some[1])], names=["gram", "n"])
+        if (some := tally.take(end=True)) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(some[0].view(np.int64)), pa.array(some[1])], names=["gram", "n"])
+
+    counts = picked.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    common = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toArrow()
+    frequent = common.column("gram").to_numpy().view(np.uint64)[::-1]
+    order = np.argsort(frequent, kind="stable")
+    sent = sets.sparkSession.sparkContext.broadcast((frequent[order], order + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = sent.value
+        for batch in batches:
+            out = []
+            for grams, weights in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                value, weight = np.frombuffer(grams, np.uint64), np.frombuffer(weights, np.uint32).astype(np.int64)
+                rank = np.zeros(len(value), dtype=np.int64)
+                if len(known):
+                    near = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                    rank = np.where(known[near] == value, ranks[near], 0)
+                rarest_first = np.lexsort((value, rank))
+                before = np.cumsum(weight[rarest_first]) - weight[rarest_first]
+                taken = rarest_first[before <= (1 - similarity) * weight.sum() + 1e-6]
+                out.append((value[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["node", "prefix"])
+
+    return picked.mapInArrow(run, "node long, prefix array<int>")
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of members of different classes of a bucket that may be similar, each in one of its buckets."""
+    own = members.groupBy("node").agg(F.collect_set("bucket").alias("open"))
+    wanted = sets.join(own, "node")
+    described = staged(wanted.select("node", "n", "total", "parity", "open").join(
+        prefixes(wanted, similarity), "node"), "open-sets")
+    named = members.join(described, "node")
+    one, other = ([F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "total", "parity", "open", "prefix")]
+                  for side in "ab")
+    return (named.select("bucket", *one).join(named.select("bucket", *other), "bucket")
+            .filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & may_be_near(similarity)
+                    & F.arrays_overlap("prefix_a", "prefix_b")
+                    & (F.array_min(F.array_intersect("open_a", "open_b")) == F.col("bucket")))
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
 def node_classes(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], k: int, similarity: float) -> DataFrame:
     """(node, comp) for the nodes with a link, from (node, bands); ``texts_of`` gives (node, text) for given nodes."""
     members = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -192,22 +284,17 @@ def node_classes(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], k
     members = staged(members.join(shared, "bucket"), "bucket-members")
     wanted = members.select("node").distinct()
     sets = staged(shingle_sets(texts_of(wanted), k), "shingle-sets")
-    rank = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(PIVOTS))).alias("draw"), F.col("node"))
-    pivots = members.groupBy("bucket").agg(F.min(rank).alias("pivot"))
-    stars = (members.join(pivots, "bucket").filter("node <> pivot.node")
-             .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
-    links = staged(linked(stars, sets, similarity), "star-links")
+    links = star_links(members.withColumn("comp", F.col("node")), sets, similarity)
     labels = components(links)
-    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = (named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-             .filter("low < high").select("bucket"))
-    maps = sets.select("node", "n", "total", "parity")
-    named = staged(named.join(open_, "bucket").join(maps, "node"), "open-buckets")
-    one, other = ([F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "total", "parity")] for side in "ab")
-    cross = (named.select("bucket", *one).join(named.select("bucket", *other), "bucket")
-             .filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & may_be_near(similarity))
-             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    more = staged(linked(cross, sets, similarity), "cross-links")
+    members = open_members(members, labels)
+    for turn in range(1, TURNS):
+        more = star_links(members, sets, similarity, turn)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links)
+        members = open_members(members, labels)
+    more = staged(linked(cross_pairs(members, sets, similarity), sets, similarity), "cross-links")
     return labels if more.isEmpty() else components(links.union(more))
 
 

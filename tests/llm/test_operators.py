@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from presswatch.llm import ppm
+from presswatch.llm import near, ppm
 from presswatch.llm.bpe import Vocabulary, decoded, encoded
 from presswatch.llm.components import components
 from presswatch.llm.decontaminate import contamination, without_contaminated
@@ -421,6 +421,25 @@ def test_near_copies(docs, empty):
     assert near_classes(empty).count() == 0 and without_near_copies(empty).count() == 0
 
 
+def test_texts_with_a_common_passage_are_not_all_compared(spark, monkeypatch):
+    """120 texts share buckets by a passage that is 73 % of each; pairs below the limit by that alone meet no check."""
+    passage, draw = [f"p{i}" for i in range(40)] * 20, random.Random(4)
+    texts = [" ".join([*passage, *(f"w{draw.getrandbits(40)}" for _ in range(300))]) for _ in range(120)]
+    texts += [" ".join([*t.split(" ")[:-20], f"end{i}"]) for i, t in enumerate(texts[:5])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    compared, linked = [], near.linked
+
+    def counted(pairs, sets, similarity):
+        pairs = pairs.cache()
+        compared.append((pairs.count(), pairs.distinct().count()))
+        return linked(pairs, sets, similarity)
+
+    monkeypatch.setattr(near, "linked", counted)
+    got = {r.doc_id: r.class_id for r in near_classes(docs).collect()}
+    assert got == {i: i if i < 120 else i - 120 for i in range(125)}
+    assert sum(n for n, _ in compared) < 2400 and all(n == m for n, m in compared)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
