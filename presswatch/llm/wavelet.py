@@ -18,12 +18,15 @@ from __future__ import annotations
 
 import builtins
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +36,9 @@ from presswatch.llm.bpe import byte_names
 BLOCK_TOKENS = 1 << 19
 CACHE = 1_000_000
 STEP = 512
+SLICE = 2048
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(SYMBOLS)}]*)")
 _BYTE_NAMES = dict(enumerate(byte_names()))
 BLOCK_SCHEMA = (
     "part int, block int, n_tokens long, doc_ids array<long>, lengths array<int>, zeros array<long>, "
@@ -50,15 +56,15 @@ class WaveletMatrix:
         zeros, planes, ranks = [], [], []
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         for level in range(levels):
-            bit = (now >> (levels - 1 - level) & 1).astype(bool)
+            bit = now & now.dtype.type(1 << (levels - 1 - level)) != 0
             plane = np.zeros(-(-len(ids) // STEP) * STEP // 8, dtype=np.uint8)
             packed = np.packbits(bit, bitorder="little")
             plane[:len(packed)] = packed
             planes.append(plane)
             ranks.append(cls._ranks(plane))
-            low, high = now[~bit], now[bit]
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)  # places are faster than masks
             zeros.append(len(low))
-            now = np.concatenate([low, high])
+            now = now[np.concatenate([low, high])]
         return cls(len(ids), zeros, planes, ranks)
 
     @staticmethod
@@ -123,9 +129,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, dtype=np.uint16 if levels <= 16 else np.uint32)
         for level in range(levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            now[self.zeros[level]:] |= now.dtype.type(1 << (levels - 1 - level))
             above = np.empty_like(now)
-            above[~bit] = now[:self.zeros[level]]
-            above[bit] = now[self.zeros[level]:] | now.dtype.type(1 << (levels - 1 - level))
+            above[np.flatnonzero(~bit)] = now[:self.zeros[level]]
+            above[np.flatnonzero(bit)] = now[self.zeros[level]:]
             now = above
         return now
 
@@ -144,43 +151,58 @@ def _tokenizer(path: str):
     return kept[path]
 
 
-def _pieces(cut: str) -> list[str]:
-    """What a cut falls into for certain: letters, and a full stop or comma after them; ASCII in lower case."""
-    tail = cut[-1:] if cut[-1:] in (".", ",") else ""
-    word = cut[:-1] if tail else cut
-    if word.isascii() and word.isalpha():
-        word = word.lower()
-    elif not unicodedata.normalize("NFC", word).lower().isalpha():  # some letters fall into a letter and a mark
-        return [cut]
-    return [word, tail] if tail else [word]
+def _pieces(cut: str) -> tuple[str, ...]:
+    """What a cut falls into for certain: letters, and the ASCII symbols after them; Latin-1 in lower case.
+
+    Apostrophes are no such symbols: the splitting pattern has pieces like 's.
+    """
+    if found := LATIN.fullmatch(cut):
+        word, tail = found.groups()
+        return (word.lower(), tail) if tail else (word.lower(),)
+    word = cut.rstrip(SYMBOLS)
+    if not unicodedata.normalize("NFC", word).lower().isalpha():  # some letters fall into a letter and a mark
+        return (cut,)
+    return (word, cut[len(word):]) if len(word) < len(cut) else (word,)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """The ids of whole texts, 32 bits each.
 
     The splitting pattern of the vocabulary drops white space and no piece crosses it, so a text is cut at
-    spaces and line ends, and the library encodes each distinct piece of a cut once.
+    spaces and line ends, the cuts are numbered by Arrow, and the library encodes each distinct piece of a
+    cut once; the ids of all cuts are then gathered by number.
     """
     tokenizer, known = _tokenizer(path)
     if len(known) > CACHE:
         known.clear()
-    cuts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = {c: _pieces(c) for c in set().union(*cuts).difference(known)}
-    pieces = set().union(*new.values()).difference(known)
+    if not texts:
+        return []
+    cut_lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+    numbered = cut_lists.values.dictionary_encode()
+    cuts = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+    raw = list(map(known.get, cuts))
+    new = {c: _pieces(c) for c, own in zip(cuts, raw, strict=True) if own is None}
     # Letters alone are one piece for the model after the normal form; anything else takes the whole library path.
-    model, normal = tokenizer.model.tokenize, tokenizer.normalizer.normalize_str
-    words = {p: p if p.isascii() else normal(p) for p in pieces if p.isalpha()}
-    words = {p: w for p, w in words.items() if w.isalpha()}
-    for piece, word in words.items():
+    model, normal, others = tokenizer.model.tokenize, tokenizer.normalizer.normalize_str, []
+    for piece in set(chain.from_iterable(new.values())):
+        if piece in known:
+            continue
+        word = piece if LATIN.fullmatch(piece) else normal(piece)
+        if not (piece.isalpha() and word.isalpha()):
+            others.append(piece)
+            continue
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTE_NAMES)
         known[piece] = array("I", [t.id for t in model(word)]).tobytes()
-    others = [p for p in pieces if p not in words]
     for piece, found in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
         known[piece] = array("I", found.ids).tobytes()
     for cut, own in new.items():
-        known[cut] = b"".join(map(known.__getitem__, own))
-    return [b"".join(map(known.__getitem__, c)) for c in cuts]
+        known[cut] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
+    raw = [known[c] if own is None else own for c, own in zip(cuts, raw, strict=True)]
+    flat = pa.array(raw, pa.large_binary()).take(numbered.indices)
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset:flat.offset + len(flat) + 1]
+    ids = memoryview(flat.buffers()[2] or b"")
+    return [bytes(ids[a:b]) for a, b in pairwise(ends[cut_lists.offsets.to_numpy()].tolist())]
 
 
 def blocks(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], levels: int, end_id: int,
@@ -204,8 +226,8 @@ def blocks(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], levels:
                 "ranks": [r.astype("<u4").tobytes() for r in matrix.ranks]}], schema=schema)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                piece = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(low, SLICE)
                 found = encode([t or "" for t in piece.column(1).to_pylist()])
                 for name, own in zip(piece.column(0).to_pylist(), found, strict=True):
                     ids.append(name)

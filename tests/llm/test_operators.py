@@ -25,6 +25,7 @@ from presswatch.llm.repeats import without_repeats
 from presswatch.llm.secrets import secret_spans
 from presswatch.llm.wavelet import (
     WaveletMatrix,
+    _pieces,
     block_starts,
     documents,
     encode_texts,
@@ -137,6 +138,18 @@ def test_word_encoding_is_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_before_symbols_are_encoded_once():
+    """Letters and the symbols after them are pieces of their own, so a word is encoded once whatever follows it."""
+    assert [_pieces(c) for c in ("Chchque&&&", "Élan.", "other", "<|", "it's", "a1", "_")] == [
+        ("chchque", "&&&"), ("élan", "."), ("other",), ("<|",), ("it's",), ("a1",), ("_",)]
+    library, draw = Tokenizer.from_file(WORD_BPE), np.random.default_rng(5)
+    signs = [*"aAzZéÉßµº×÷ÿ'sStT.,;&_<|>09\n\t-#^`~İςΣ中\u0301\u00a0\u2028", "<|endoftext|>", "'ll", " "]
+    texts = ["".join(draw.choice(signs, n)) for n in draw.integers(0, 30, 3000)]
+    for text, ids in zip(texts, encode_texts(WORD_BPE, texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode_texts(WORD_BPE, []) == []
+
+
 def test_shards(spark, docs, empty):
     folder = work_path(spark, "test-shards")
     write_shards(docs, folder, WORD_BPE)
