@@ -176,14 +176,15 @@ def model(training: DataFrame) -> DataFrame:
                                                  names=["lang", *names])
 
     rows = training.select("lang", "text").mapInArrow(run, "lang long, " + ", ".join(f"{n} long" for n in names))
-    three = rows.groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
-    two = three.groupBy("lang", "vw", "v", "w").agg(F.count(F.lit(1)).alias("n"))
-    one = two.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    # Each order is counted once, from the files of the one above.
+    three = staged(rows.groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n")), "kn-uvw")
+    two = staged(three.groupBy("lang", "vw", "v", "w").agg(F.count(F.lit(1)).alias("n")), "kn-vw")
+    one = staged(two.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "kn-w")
     out = below = None
     orders = ((one, "w", "lang", None), (two, "vw", "v", "w"), (three, "uvw", "uv", "vw"))
     for table, key, context, shorter in orders:
         more = [F.col(shorter).alias("shorter")] if shorter else []
-        table = staged(table.select("lang", F.col(key).alias("key"), F.col(context).alias("context"), "n", *more), f"kn-{key}")
+        table = table.select("lang", F.col(key).alias("key"), F.col(context).alias("context"), "n", *more)
         times = [F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.expr("coalesce(n1 / nullif(n1 + 2 * n2, 0), 0)")
         discounts = table.groupBy("lang").agg(*times).select("lang", *[
