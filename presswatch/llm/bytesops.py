@@ -125,7 +125,7 @@ class Tally:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         keys = np.concatenate([k for k, _ in self.held])
         counts = np.concatenate([c for _, c in self.held])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         return keys[at], np.add.reduceat(counts, at) if len(at) else counts

@@ -26,10 +26,11 @@ text are one document; other columns are untouched. A document whose lines all g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,31 +46,44 @@ from presswatch.llm.bytesops import (
     sum_spans,
 )
 from presswatch.llm.common import bitmap_of, fresh
-from presswatch.session import staged
+from presswatch.session import released, staged
 
 SIMILARITY = 0.8
 MIN_WORDS = 3
-FREQUENT = 1 << 16
+FREQUENT = (1 << 16) - 1
 BITMAP_BITS = 26
 KEY_BITS = 27
+ROUNDS = 4  # of a join on pairs: the shuffle files of one round go before the next
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each line, first line of each text, and the different words of the lines: (line, word), sorted."""
+def _stable(small: np.ndarray, bound: int) -> np.ndarray:
+    """The stable order of numbers below ``bound``: numpy sorts 16-bit ones by radix, several times as fast."""
+    return np.argsort(small.astype(np.uint16) if bound <= 1 << 16 else small, kind="stable")
+
+
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each line, and the first line of each text."""
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[offsets] = True
     begins[1:][data == 10] = True
     begins[len(data)] = False
     starts = np.flatnonzero(begins)
+    return starts, np.searchsorted(starts, offsets)
+
+
+def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each line, first line of each text, and the different words of the lines: (line, word), sorted."""
+    starts, first = line_starts(data, offsets)
     lower = LOWER[data]
     w_start, w_end, _ = split_words(lower, offsets, WORD_BYTES)
     words = span_hashes(lower, w_start, w_end)
     line = np.searchsorted(starts, w_start, "right") - 1
-    order = np.lexsort((words, line))
+    order = np.argsort(words)  # equal words of a line are one, in any order
+    order = order[_stable(line[order], len(starts))]
     line, words = line[order], words[order]
     new = np.ones(len(line), dtype=bool)
     new[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
-    return starts, np.searchsorted(starts, offsets), line[new], words[new]
+    return starts, first, line[new], words[new]
 
 
 def needed(n: np.ndarray | int, similarity: float):
@@ -113,8 +127,9 @@ def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, repeate
     """
     full = StructType([docs.schema["doc_id"], docs.schema["draw"], *StructType.fromDDL(
         "line int, h1 long, h2 long, n int, parity long, prefix array<struct<pair: long, at: int>>").fields])
-    order = np.argsort(frequent, kind="stable")
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64) + 1, shared, repeated))
+    by_word = np.argsort(frequent, kind="stable")
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (frequent[by_word], by_word.astype(np.int64) + 1, shared, repeated))
 
     def held(cells: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
         bit = keys & np.uint64((1 << bits) - 1)
@@ -131,7 +146,8 @@ def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, repeate
         if len(known) and len(words):
             near = np.minimum(np.searchsorted(known, words), len(known) - 1)
             rank = np.where(known[near] == words, ranks[near], 0)
-        rarest_first = words[np.lexsort((words, rank, line))]
+        order = _stable(rank, len(known) + 1)  # within a line the words are sorted already
+        rarest_first = words[order[_stable(line[order], len(starts))]]
         at = np.arange(len(words)) - begin[line] + 1
         size, twice = n[line], held(cells, rarest_first, bits)
         # A similar set has all but (1 - t) n of the words, so no more than these may stand in one line alone.
@@ -186,35 +202,59 @@ def described(docs: DataFrame, frequent: np.ndarray, shared: np.ndarray, repeate
     return picked.mapInArrow(count, "key long, n long") if repeated is None else picked.mapInArrow(run, full)
 
 
+def _place_keys(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(doc.view(np.uint64) + (line.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def place_bitmap(sets: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of where the sets first stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _place_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    rows = sets.select(F.xxhash64("place.doc_id", "place.draw").alias("doc"), "place.line")
+    return bitmap_of(rows.mapInArrow(run, "key long"), "key", bits)
+
+
 def word_sets(texts: DataFrame, wanted: np.ndarray, min_words: int, bits: int = BITMAP_BITS) -> DataFrame:
-    """(h1, h2, words): the different words, sorted and packed, of lines whose digest is in the bitmap."""
+    """(h1, h2, words): the different words, sorted and packed, of lines whose place is in the bitmap.
+
+    Only these lines are split into words.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                starts, _, line, words = line_sets(data, offsets)
-                begin = np.searchsorted(line, np.arange(len(starts) + 1))
+            docs = batch.column(1).to_numpy()
+            for low, high, data, offsets in slices(batch.column(0)):
+                starts, first = line_starts(data, offsets)
+                doc = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+                cell = _place_keys(docs[low:high][doc], np.arange(len(starts)) - first[doc]) & np.uint64((1 << bits) - 1)
+                found = (sent.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)) == 1
+                size = np.diff(np.append(starts, len(data)))
+                data, size = data[np.repeat(found, size)], size[found]
+                # Each of these lines is a text here, with its newline if it has one.
+                _, _, line, words = line_sets(data, np.append(0, np.cumsum(size)).astype(np.int64))
+                begin = np.searchsorted(line, np.arange(len(size) + 1))
                 take = np.flatnonzero(np.diff(begin) >= min_words)
                 h1 = sum_spans(words, begin[take], begin[take + 1])
-                cell = h1 & np.uint64((1 << bits) - 1)
-                found = (sent.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1))
-                take, h1 = take[found == 1], h1[found == 1]
                 h2 = sum_spans(mix(words), begin[take], begin[take + 1])
                 packed = [words[a:b].tobytes() for a, b in zip(begin[take], begin[take + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                                                   pa.array(packed, pa.binary())], names=["h1", "h2", "words"])
 
-    return (texts.select("text").mapInArrow(run, "h1 long, h2 long, words binary")
+    return (texts.select("text", F.xxhash64("doc_id", "draw").alias("doc"))
+            .mapInArrow(run, "h1 long, h2 long, words binary")
             .groupBy("h1", "h2").agg(F.first("words").alias("words")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """The ids of the sets (x) with a pair (x, y) whose exact Jaccard similarity is enough."""
-    pairs = staged(pairs, "line-pairs")
+    """The ids of the sets (x) with a staged pair (x, y) whose exact Jaccard similarity is enough."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    named = staged(sets.select("id", "h1", "h2").join(ids, "id"), "paired-sets")
-    full = staged(word_sets(texts, bitmap_of(named, "h1", BITMAP_BITS), min_words).join(named, ["h1", "h2"])
+    named = staged(sets.select("id", "h1", "h2", "place").join(ids, "id"), "paired-sets")
+    full = staged(word_sets(texts, place_bitmap(named), min_words).join(named, ["h1", "h2"])
                   .select("id", "words"), "line-words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,17 +268,22 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: fl
 
     left, right = full.select(F.col("id").alias("x"), F.col("words").alias("a")), full.select(
         F.col("id").alias("y"), F.col("words").alias("b"))
-    return staged(pairs.join(left, "x").join(right, "y").select("x", "a", "b").mapInArrow(run, "x long").distinct(),
-                  "similar-lines")
+    out = staged(pairs.join(left, "x").join(right, "y").select("x", "a", "b").mapInArrow(run, "x long").distinct(),
+                 "similar-lines")
+    released(pairs, named, full)
+    return out
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float, min_words: int) -> DataFrame:
     """(x): the sets with a similar set of lower id; ids follow the order of the places."""
-    postings = sets.select("id", "n", "parity", F.explode("prefix").alias("p")).select(
-        "id", "n", "parity", "p.pair", "p.at")
+    def postings_of(some: DataFrame) -> DataFrame:
+        return some.select("id", "n", "parity", F.explode("prefix").alias("p")).select("id", "n", "parity", "p.pair", "p.at")
+
+    def named(some: DataFrame, side: str) -> DataFrame:
+        return some.select("pair", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "at", "parity")])
+
+    postings = postings_of(sets)
     size_class = F.floor(F.log("n") / (1.001 * float(-np.log(similarity)))).cast("int")
-    x = postings.select("pair", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "parity")])
-    y = postings.select("pair", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "parity")])
     overlap = F.ceil((F.col("x_n") + F.col("y_n")) * (similarity / (1 + similarity)) - 1e-9)
     close = ((F.col("y_id") < F.col("x_id"))
              & (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * similarity - 1e-9)
@@ -249,11 +294,21 @@ def similar_sets(sets: DataFrame, texts: DataFrame, similarity: float, min_words
                 .agg(F.min(F.struct("id", "n", "at", "parity")).alias("y"))
                 .select("pair", "y_class", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("id", "n", "at", "parity")]))
     x_class = F.floor(F.log("x_n") / (1.001 * float(-np.log(similarity)))).cast("int")
-    stars = (x.join(earliest, "pair").filter((F.abs(F.col("y_class") - x_class) <= 1) & close)
-             .select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct())
+
+    def candidates(xs: DataFrame, ys: DataFrame, condition: Column) -> DataFrame:
+        rounds = []
+        for k in range(ROUNDS):
+            turn = F.pmod("pair", F.lit(ROUNDS)) == k
+            found = xs.filter(turn).join(ys.filter(turn), "pair").filter(condition)
+            rounds.append(staged(found.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), "line-round"))
+        pairs = staged(reduce(DataFrame.union, rounds).distinct(), "line-pairs")
+        released(*rounds)
+        return pairs
+
+    stars = candidates(named(postings, "x"), earliest, (F.abs(F.col("y_class") - x_class) <= 1) & close)
     gone = verified(stars, sets, texts, similarity, min_words)
-    left = x.join(gone.select(F.col("x").alias("x_id")), "x_id", "left_anti")
-    rest = left.join(y, "pair").filter(close).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
+    left = sets.join(gone.select(F.col("x").alias("id")), "id", "left_anti")
+    rest = candidates(named(postings_of(left), "x"), named(postings, "y"), close)
     return gone.union(verified(rest, sets, texts, similarity, min_words))
 
 
@@ -266,10 +321,12 @@ def later_lines(docs: DataFrame, doc_id: str, text: str, similarity: float, min_
     common = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()
     frequent = common.column("word").to_numpy().view(np.uint64)[::-1]
     shared = bitmap_of(counts, "word", BITMAP_BITS)
+    released(counts)
     keys = described(base, frequent, shared, None, similarity, min_words).groupBy("key").agg(F.sum("n").alias("n"))
     keys = staged(keys.filter("n > 1").select("key"), "line-keys")
     both = keys.select(F.explode(F.array("key", F.shiftrightunsigned("key", 64 - KEY_BITS))).alias("key"))
     repeated = bitmap_of(both, "key", KEY_BITS)
+    released(keys)
     lines = staged(described(base, frequent, shared, repeated, similarity, min_words), "lines")
     place = F.struct("doc_id", "draw", "line")
     grouped = lines.groupBy("h1", "h2").agg(
@@ -283,7 +340,9 @@ def later_lines(docs: DataFrame, doc_id: str, text: str, similarity: float, min_
         "similar OR copies > 1")
     out = (lines.select("h1", "h2", "doc_id", "draw", "line").join(touched, ["h1", "h2"])
            .filter(F.col("similar").isNotNull() | ~place.eqNullSafe(F.col("kept"))))
-    return out.groupBy("doc_id", "draw").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    found = staged(out.groupBy("doc_id", "draw").agg(F.array_sort(F.collect_set("line")).alias("lines")), "cut-lines")
+    released(lines, sets, similar)
+    return found
 
 
 def without_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
 _STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app_name: str = "presswatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,15 +60,33 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     Cuts lineage between rounds, survives the loss of executors, and gives the optimizer real
     sizes: a later join broadcasts the table only when its files are below the session threshold.
+    The shuffle files of the write go at its end, not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if (of_job := _STAGED.get()) is not None:
         of_job.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        base = f"{hadoop_path(spark, work_base(spark))[0].toUri().getPath()}/presswatch/"
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            target, fs = hadoop_path(spark, folder)
+            if not target.toUri().getPath().startswith(base):
+                raise ValueError(f"{folder} is not in the work folder")
+            fs.delete(target, True)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """A path with its file system, whatever storage it is on."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -34,7 +35,7 @@ from presswatch.llm.wavelet import (
     token_counts,
     write_shards,
 )
-from presswatch.session import work_path
+from presswatch.session import hadoop_path, staged, work_base, work_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -252,6 +253,37 @@ def test_lines(docs, empty):
     assert without_similar_lines(empty).count() == 0
 
 
+def staged_tables(spark):
+    target, fs = hadoop_path(spark, f"{work_base(spark)}/presswatch")
+    names = [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+    return collections.Counter(n.rsplit("-", 1)[0] for n in names)
+
+
+def test_files_that_nothing_reads_are_removed(spark, docs, labels):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, until = shuffled(), time.time() + 10
+    assert staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test").count() == 7
+    while (left := {n for n in shuffled() - before if n.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 1  # that of the count above, which is not staged
+    before = staged_tables(spark)
+    lines = without_similar_lines(docs)
+    assert set(staged_tables(spark) - before) == {"cut-lines"} and lines.count() == docs.count()
+
+
+def test_wordless_and_last_lines_have_places(spark):
+    line = " ".join(VOCABULARY[:12])
+    table = spark.createDataFrame([(None, "\n\n" + line), (1, ""), (2, "!\n" + line + " more\n"), (3, "\n" + line.upper() + " MORE")],
+                                  "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.removed) for r in without_similar_lines(table, removed="removed").collect()}
+    assert out == {None: ("\n\n" + line, []), 1: ("", []), 2: ("!\n", [1]), 3: ("", [1])}
+
+
 # 4: decontamination.
 
 
