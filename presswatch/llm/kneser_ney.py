@@ -26,6 +26,7 @@ document that any of its labels distrusts is not trusted; other columns are unto
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from presswatch.llm.bytesops import SPACED_BYTES, WORD_BYTES, HashTable, mix, sl
 from presswatch.llm.common import bitmap_of, fresh
 from presswatch.llm.ppm import commonest
 from presswatch.operators.skew import fits, number_rows
-from presswatch.session import staged
+from presswatch.session import released, staged
 
 TOP = 1 << 20
 BITS = 26
@@ -45,6 +46,7 @@ FOLD_CHARS = 16_000_000  # of small languages in all folds at once
 QUANTILE = 0.995
 LEAST_HELD_OUT = 20
 FOLDS = 5
+ROUNDS = 8  # of the joins with the model: the tokens of one round's documents go before the next
 _KIND = np.zeros(256, dtype=np.int8)
 _KIND[SPACED_BYTES] = 1
 _KIND[WORD_BYTES] = 2
@@ -143,7 +145,8 @@ def cross_validated(sample: DataFrame, chars: int = FOLD_CHARS, top: int = TOP)
         each = named.withColumn("test", F.explode(F.array(*[F.lit(k) for k in folds]))).withColumn(
             "part", F.concat_ws(" ", "test", "name"))
         table = model(each.filter("test != fold").select(F.col("part").alias("lang"), "text"))
-        values = staged(perplexities(each.filter("test = fold"), table, "text", "part", "value", ["lang"], top), "kn-folds")
+        values = staged(perplexities(each.filter("test = fold"), table, "text", "part", "value", ["lang"], top, rounds=1), "kn-folds")
+        released(table)
         out = values if out is None else out.union(values)
     return out
 
@@ -163,7 +166,7 @@ def limits_of(sample: DataFrame, tried: DataFrame, quantile: float) -> DataFrame
 
 
 def model(training: DataFrame) -> DataFrame:
-    """(key, value, seen): the probability of each gram and the left mass of each context, from (lang, text)."""
+    """(key, value, seen, kind): the probability of each gram and the left mass of each context, from (lang, text)."""
     names = ["uvw", "uv", "vw", "v", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +185,9 @@ def model(training: DataFrame) -> DataFrame:
     one = staged(two.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "kn-w")
     out = below = None
     orders = ((one, "w", "lang", None), (two, "vw", "v", "w"), (three, "uvw", "uv", "vw"))
-    for table, key, context, shorter in orders:
+    for counted, key, context, shorter in orders:
         more = [F.col(shorter).alias("shorter")] if shorter else []
-        table = table.select("lang", F.col(key).alias("key"), F.col(context).alias("context"), "n", *more)
+        table = counted.select("lang", F.col(key).alias("key"), F.col(context).alias("context"), "n", *more)
         times = [F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.expr("coalesce(n1 / nullif(n1 + 2 * n2, 0), 0)")
         discounts = table.groupBy("lang").agg(*times).select("lang", *[
@@ -206,20 +209,23 @@ def model(training: DataFrame) -> DataFrame:
             shares = shares.join(below.select(F.col("key").alias("shorter"), F.col("value").alias("p")), "shorter")
             value = F.col("share") + F.col("mass") * F.col("p")
         below = staged(shares.select("key", value.alias("value"), F.col("n").alias("seen")), f"kn-{key}-model")
+        released(counted)
         # A language's own row comes first of all: tasks always know which languages have a model.
         rank = F.col("total") if shorter else F.lit(1 << 62)
-        masses = sums.select(F.col("context").alias("key"), F.col("mass").alias("value"), rank.alias("seen"))
-        out = below.unionByName(masses) if out is None else out.unionByName(below).unionByName(masses)
+        masses = sums.select(F.col("context").alias("key"), F.col("mass").alias("value"), rank.alias("seen"),
+                             F.lit(context).alias("kind"))
+        both = below.withColumn("kind", F.lit(key)).unionByName(masses)
+        out = both if out is None else out.unionByName(both)
     return out
 
 
 def perplexities(docs: DataFrame, table: DataFrame, text: str, lang: str, out: str, keep: list[str],
-                 top: int = TOP) -> DataFrame:
+                 top: int = TOP, rounds: int = ROUNDS) -> DataFrame:
     """``keep`` columns and ``out``: the perplexity, null without tokens or for a language without a model.
 
     A task settles the tokens whose longest gram in the model is among its ``top`` commonest rows, all of them
     when these are the whole model; a bitmap of its keys tells most grams that it lacks. The other tokens are
-    joined with the model.
+    joined with the model, in ``rounds`` of the documents: less room, but the model moves each time.
     """
     whole = table.count() <= top
     bits = np.zeros(1, np.uint64) if whole else bitmap_of(table, "key", BITS)
@@ -266,27 +272,39 @@ def perplexities(docs: DataFrame, table: DataFrame, text: str, lang: str, out: s
                      pa.array(np.diff(first)), pa.array(sum_by(first, logs)), pa.array(modelled),
                      pa.ListArray.from_arrays(pa.array(at), tokens_left)], names=schema.names)
 
-    part = docs.select(*keep, F.col(lang).alias("lang_"), F.col(text).alias("text_"),
-                       F.monotonically_increasing_id().alias("row_")).mapInArrow(run, schema)
-    logs = F.col(total)
-    if not whole:
-        part = staged(part, "kn-part")
-        part = part.join(joined_logs(part, row, others, table).withColumnRenamed("more", more), row, "left")
-        logs = logs + F.coalesce(more, F.lit(0.0))
-    value = F.when(F.col(has_model) & (F.col(count) > 1), F.exp(-logs / F.col(count)))
-    return part.select(*keep, value.alias(out))
+    def first_pass(some: DataFrame) -> DataFrame:
+        return some.select(*keep, F.col(lang).alias("lang_"), F.col(text).alias("text_"),
+                           F.monotonically_increasing_id().alias("row_")).mapInArrow(run, schema)
+
+    def scores(part: DataFrame, logs: Column) -> DataFrame:
+        value = F.when(F.col(has_model) & (F.col(count) > 1), F.exp(-logs / F.col(count)))
+        return part.select(*keep, value.alias(out))
+
+    if whole:
+        return scores(first_pass(docs), F.col(total))
+    done = []
+    for k in range(rounds):
+        part = staged(first_pass(docs.filter(F.pmod(F.xxhash64(F.col(text)), F.lit(rounds)) == k)), "kn-part")
+        logs = joined_logs(part, row, others, table).withColumnRenamed("more", more)
+        done.append(staged(scores(part.drop(others).join(logs, row, "left"), F.col(total) + F.coalesce(more, F.lit(0.0))),
+                           "kn-scores"))
+        released(part, logs)
+    return reduce(DataFrame.unionAll, done)
 
 
 def joined_logs(part: DataFrame, row: str, others: str, table: DataFrame) -> DataFrame:
     """(row, more): the logarithms of the tokens listed in ``others``, by the longest gram that the model has."""
     def of(key: str, name: str) -> DataFrame:
-        return table.select(F.col("key").alias(key), F.col("value").alias(name))
+        # ``kind`` is constant in each part of the union: only that part's files are read.
+        return table.filter(F.col("kind") == key).select(F.col("key").alias(key), F.col("value").alias(name))
 
     def log(p: Column) -> Column:
         return F.log(F.greatest(p, F.lit(1e-300))).alias("more")
 
     tokens_left = part.select(row, F.explode(others).alias("t")).select(row, "t.*")
-    three = staged(tokens_left.join(of("uvw", "p"), "uvw", "left").drop("uvw"), "kn-three")
+    # What is found needs no shorter gram: nulls take no room in the files.
+    shorter = [F.when(F.col("p").isNull(), F.col(x)).alias(x) for x in ("uv", "vw", "v", "w", "rest")]
+    three = staged(tokens_left.join(of("uvw", "p"), "uvw", "left").select(row, "p", *shorter), "kn-three")
     two = staged(three.filter("p IS NULL").drop("p").join(of("uv", "mass"), "uv", "left").join(
         of("vw", "p"), "vw", "left").drop("uv", "vw"), "kn-two")
     one = two.filter("p IS NULL").drop("p").join(of("v", "mass_v"), "v", "left").join(of("w", "p"), "w", "left")
@@ -294,7 +312,9 @@ def joined_logs(part: DataFrame, row: str, others: str, table: DataFrame) -> Dat
     found = three.filter("p IS NOT NULL").select(row, log(F.col("p"))).unionByName(
         two.filter("p IS NOT NULL").select(row, log(mass * F.col("p")))).unionByName(
         one.select(row, log(mass * F.coalesce("mass_v", F.lit(1.0)) * F.coalesce("p", "rest"))))
-    return found.groupBy(row).agg(F.sum("more").alias("more"))
+    out = staged(found.groupBy(row).agg(F.sum("more").alias("more")), "kn-logs")
+    released(three, two)
+    return out
 
 
 def quality(docs: DataFrame, labels: DataFrame, trust: Column, doc_id: str = "doc_id", text: str = "text",
@@ -311,19 +331,29 @@ def quality(docs: DataFrame, labels: DataFrame, trust: Column, doc_id: str = "do
     same = F.col("lang").eqNullSafe(F.col("of"))
     large, small = sample.join(few, same, "left_anti"), sample.join(few, same, "left_semi")
     table = model(large.filter("fold < 3").union(small))
-    tried = perplexities(large.filter("fold >= 3"), table, "text", "lang", "value", ["lang"], top)
+    tried = perplexities(large.filter("fold >= 3"), table, "text", "lang", "value", ["lang"], top, rounds=1)
     if not few.isEmpty():
         tried = tried.union(cross_validated(small, chars or FOLD_CHARS, top))
-    limits = staged(limits_of(sample, staged(tried, "kn-tried"), quantile), "kn-limits")
-    if only_kept:
-        perplexity, threshold, kept = (fresh(c, docs) for c in (perplexity, threshold, kept))
+    values = staged(tried, "kn-tried")
+    limits = staged(limits_of(sample, values, quantile), "kn-limits")
+    released(sample, tried, values)
+    source, source_text, source_lang = docs, text, lang
+    if only_kept:  # texts and other columns do not move with the scores; equal texts of a language have one verdict
+        docs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("draw"))
+        lang, text, keep = "lang", "text", ["lang", "draw"]
+        perplexity, threshold, kept = "perplexity", "threshold", "kept"
     names = [c for c in (keep or docs.columns) if c not in (perplexity, threshold, kept)]
     limit, other = fresh("limit", docs), fresh("limit_lang", docs)
     key = fresh("lang_key", docs)
     scored = perplexities(docs.withColumn(key, F.col(lang)), table, text, lang, perplexity, [*names, key], top)
+    released(table)
     limits = limits.select(F.col("lang").alias(other), F.col("limit").alias(limit))
     joined = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits,
                          F.col(key).eqNullSafe(F.col(other)), "left")
     good = F.when(F.col(limit).isNull(), True).otherwise(F.coalesce(F.col(perplexity) <= F.col(limit), F.lit(False)))
     out = joined.select(*names, perplexity, F.col(limit).alias(threshold), good.alias(kept))
-    return out.filter(F.col(kept)).select(*names) if only_kept else out
+    if not only_kept:
+        return out
+    of, draw = fresh("of_lang", source), fresh("of_draw", source)
+    gone = staged(out.filter(~F.col(kept)).select(F.col("lang").alias(of), F.col("draw").alias(draw)).distinct(), "kn-rejected")
+    return source.join(gone, (F.xxhash64(F.col(source_text)) == F.col(draw)) & F.col(source_lang).eqNullSafe(F.col(of)), "left_anti")

@@ -274,6 +274,12 @@ def test_files_that_nothing_reads_are_removed(spark, docs, labels):
     before = staged_tables(spark)
     lines = without_similar_lines(docs)
     assert set(staged_tables(spark) - before) == {"cut-lines"} and lines.count() == docs.count()
+    before = staged_tables(spark)
+    good = quality(docs, labels, F.expr("quality = 1 AND toxic = 0"), only_kept=True, top=200)  # joined with the model
+    left = set(staged_tables(spark) - before)
+    assert "kn-rejected" in left and not left & {"trusted", "kn-uvw", "kn-uvw-model", "kn-part", "kn-three", "kn-two", "kn-logs"}
+    kept = quality(docs, labels, F.expr("quality = 1 AND toxic = 0")).filter("kept").select("doc_id", "text")
+    assert sorted(map(str, good.select("doc_id", "text").collect())) == sorted(map(str, kept.collect()))
 
 
 def test_wordless_and_last_lines_have_places(spark):
