@@ -8,10 +8,10 @@ discounts of modified Kneser-Ney from its counts of counts.
 
 All trusted documents take part: three fifths of a language's train its model, two fifths are held out to
 find the ``QUANTILE`` of perplexity; a document beyond it is rejected (``per_language`` and ``chars`` bound
-them on request only, in order of a hash of the id; a text that does not fit is passed over). The model is
-a table of one row per different gram and context, counted and smoothed by joins. Scoring looks each token
-up: the ``TOP`` commonest rows and a bitmap of all keys go to the tasks, of the same size for any corpus, and tokens
-that these do not settle are joined with the others, longest gram first. All documents are scored whole.
+them on request only, in order of a hash of the id; a text that does not fit is passed over). A model of
+few characters, ``TOP`` at most, is a table of smoothed rows that all tasks get. Any other is the counts of its
+grams, in parts by key (``grams``): units of texts ask the parts for the counts of their grams and smooth them
+when the answers come, so no smoothed table is made or joined. All documents are scored whole.
 
 Small languages, with fewer than ``LEAST_HELD_OUT`` held out: their model is of all their trusted texts, and
 the perplexities are cross-validated, each text by a model of the other ``FOLDS`` - 1 parts. Where these are
@@ -34,32 +34,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from presswatch.llm.bytesops import SPACED_BYTES, WORD_BYTES, HashTable, mix, slices, span_hashes, sum_by
-from presswatch.llm.common import bitmap_of, fresh
-from presswatch.llm.ppm import commonest
+from presswatch.llm.bytesops import SPACED_BYTES, WORD_BYTES, HashTable, slices, span_hashes
+from presswatch.llm.common import fresh
+from presswatch.llm.grams import PART_CHARS, chain, gram_counts, gram_key, looked_up, ranks, starts_of, units
 from presswatch.operators.skew import fits, number_rows
 from presswatch.session import released, staged
 
 TOP = 1 << 20
-BITS = 26
 FOLD_CHARS = 16_000_000  # of small languages in all folds at once
 QUANTILE = 0.995
 LEAST_HELD_OUT = 20
 FOLDS = 5
-ROUNDS = 8  # of the joins with the model: the tokens of one round's documents go before the next
+ROUNDS = 8  # of the look-ups: the blocks of one round's documents go before the next
 _KIND = np.zeros(256, dtype=np.int8)
 _KIND[SPACED_BYTES] = 1
 _KIND[WORD_BYTES] = 2
 _KIND[65:91] = 2
 
 
-def _key(*parts: np.ndarray) -> np.ndarray:
-    total = np.full(len(parts[0]), len(parts), dtype=np.uint64)
-    for part in parts:
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + part)
-    return total
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token and of an end after each text (0), and the first token of each text."""
     kind = _KIND[data]
@@ -85,7 +77,8 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> tuple[
     v = np.where(place >= 1, np.roll(w, 1), start)
     u = np.where(place >= 2, np.roll(w, 2), start)
     own = np.repeat(lang, np.diff(first))
-    return [_key(own, u, v, w), _key(own, u, v, own), _key(own, v, w), _key(own, own, v, own, own), _key(own, w)], first
+    return [gram_key(own, u, v, w), gram_key(own, u, v, own), gram_key(own, v, w), gram_key(own, own, v, own, own),
+            gram_key(own, w)], first
 
 
 def _lang_hash(batch_column: pa.Array) -> np.ndarray:
@@ -144,9 +137,9 @@ def cross_validated(sample: DataFrame, chars: int = FOLD_CHARS, top: int = TOP)
     for folds in rounds:
         each = named.withColumn("test", F.explode(F.array(*[F.lit(k) for k in folds]))).withColumn(
             "part", F.concat_ws(" ", "test", "name"))
-        table = model(each.filter("test != fold").select(F.col("part").alias("lang"), "text"))
-        values = staged(perplexities(each.filter("test = fold"), table, "text", "part", "value", ["lang"], top, rounds=1), "kn-folds")
-        released(table)
+        table = learned(each.filter("test != fold").select(F.col("part").alias("lang"), "text"), top)
+        values = staged(perplexities(each.filter("test = fold"), table, "text", "part", "value", ["lang"], rounds=1), "kn-folds")
+        released(table[0])
         out = values if out is None else out.union(values)
     return out
 
@@ -219,102 +212,117 @@ def model(training: DataFrame) -> DataFrame:
     return out
 
 
-def perplexities(docs: DataFrame, table: DataFrame, text: str, lang: str, out: str, keep: list[str],
-                 top: int = TOP, rounds: int = ROUNDS) -> DataFrame:
+def learned(training: DataFrame, top: int = TOP) -> tuple[DataFrame, int]:
+    """The model of (lang, text), and the number of its parts: none if it goes to the tasks whole."""
+    chars = training.select(F.sum(F.length("text") + 1)).first()[0] or 0
+    if chars <= top:
+        return model(training), 0
+    parts = max(2 * training.sparkSession.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+    return gram_counts(training.select("lang", "text"), _units, parts), parts
+
+
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    langs = _lang_hash(batch.column(0))
+    for low, high, w, first in units(tokens, batch.column(1)):
+        yield low, high, w, first, langs[low:high]
+
+
+def _discounts(counts: np.ndarray) -> np.ndarray:
+    """The discounts of counts 1, 2 and more (rows) of each language, from the numbers of grams of counts 1 to 4."""
+    n = counts.astype(float)
+    y = n[0] / np.maximum(n[0] + 2 * n[1], 1)
+    found = [np.where(n[i - 1] > 0, i - (i + 1) * y * n[i] / np.maximum(n[i - 1], 1), 0.5 * i) for i in (1, 2, 3)]
+    return np.stack([np.minimum(np.maximum(d, 0.1 * i), 0.95 * i) for i, d in enumerate(found, 1)])
+
+
+def _perplexity(first: np.ndarray, p: np.ndarray, modelled: np.ndarray) -> np.ndarray:
+    """Of each text, NaN without tokens or model; equal texts give equal numbers, wherever they stand."""
+    count = np.diff(first)
+    if not len(count):
+        return np.zeros(0)
+    value = np.exp(-np.add.reduceat(np.log(np.maximum(p, 1e-300)), first[:-1]) / count)
+    return np.where(modelled & (count > 1), value, np.nan)
+
+
+def smoothed(places: np.ndarray, words: np.ndarray, first: np.ndarray, own: np.ndarray,
+             numbers: list[np.ndarray]) -> np.ndarray:
+    """The perplexity of each text of a unit, from the counts of its different triples, pairs, words and languages."""
+    triples, pairs, ones, langs = numbers
+    at, size, start = first[:-1], len(places), starts_of(own)
+
+    def rank(keys: np.ndarray, answered: np.ndarray) -> np.ndarray:
+        different, places = ranks(keys)
+        if len(different) != answered.shape[1]:
+            raise ValueError("the answers are not those of this unit")
+        return places
+
+    _, _, _, vw, triple = chain(words[places], first, own)
+    both = rank(np.concatenate([vw, gram_key(start, start)]), pairs)
+    pair, before = both[:size], np.roll(both[:size], 1)
+    before[at] = both[size:]
+    last = np.roll(places, 1)
+    last[at] = np.searchsorted(words, start)
+    lang = rank(own, langs)
+    of = np.repeat(lang, np.diff(first))
+
+    def discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return n - d[np.clip(n, 1, 3).astype(np.int64) - 1, of]
+
+    def left(context: np.ndarray, d: np.ndarray) -> np.ndarray:
+        mass = sum(d[i][of] * context[i + 1] for i in range(3))
+        return np.where(context[0] > 0, mass / np.maximum(context[0], 1), 1.0)
+
+    one, two, three = (_discounts(langs[i:i + 4]) for i in (0, 4, 8))
+    total, kinds = langs[12].astype(float), langs[13:].astype(float)
+    rest = ((one * kinds).sum(axis=0) / np.maximum(total, 1) / (kinds.sum(axis=0) + 1))[of]
+    p = np.where(ones[0][places] > 0, discounted(ones[0][places], one) / np.maximum(total, 1)[of] + rest, rest)
+    for n, context, d in ((pairs[0][pair], ones[1:, last], two), (triples[0][rank(triple, triples)], pairs[1:, before], three)):
+        context = context.astype(float)
+        p = left(context, d) * p
+        p += np.where(n > 0, discounted(n, d) / np.maximum(context[0], 1), 0.0)
+    return _perplexity(first, p, (total > 0)[lang])
+
+
+def perplexities(docs: DataFrame, learnt: tuple[DataFrame, int], text: str, lang: str, out: str, keep: list[str],
+                 rounds: int = ROUNDS) -> DataFrame:
     """``keep`` columns and ``out``: the perplexity, null without tokens or for a language without a model.
 
-    A task settles the tokens whose longest gram in the model is among its ``top`` commonest rows, all of them
-    when these are the whole model; a bitmap of its keys tells most grams that it lacks. The other tokens are
-    joined with the model, in ``rounds`` of the documents: less room, but the model moves each time.
+    A model without parts goes to the tasks. Otherwise the documents ask its parts in ``rounds``: less room, but the
+    model moves each time.
     """
-    whole = table.count() <= top
-    bits = np.zeros(1, np.uint64) if whole else bitmap_of(table, "key", BITS)
-    sent = docs.sparkSession.sparkContext.broadcast((commonest(table, "value", top), bits))
-    size = len(keep)
-    grams = ["uvw", "uv", "vw", "v", "w"]
-    row, count, total, has_model, others, more = (
-        fresh(x, docs) for x in ("row", "n_tokens", "log_sum", "modelled", "others", "more_logs"))
-    added = f"`{row}` long, `{count}` long, `{total}` double, `{has_model}` boolean, `{others}` array<struct<" + ", ".join(
-        f"{g}: bigint" for g in grams) + ", rest: double>>"
-    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
+    table, parts = learnt
+    asked = docs.select(F.col(lang).alias(fresh("lang", docs)), F.col(text).alias(fresh("text", docs)), *keep)
+    if parts:
+        narrow = asked.columns[:2]
+        done = [staged(looked_up(asked.filter(F.pmod(F.xxhash64(narrow[1]), F.lit(rounds)) == k), keep, table, parts, _units,
+                                 smoothed, out), "kn-scores") for k in range(rounds)]
+        return reduce(DataFrame.unionAll, done)
+    rows = table.select("key", "value").toArrow()  # as many as the model has characters, a few times, at most
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()))
+    value = fresh("value", docs)
+    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(f"`{value}` double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = HashTable(*sent.value[0]), sent.value[1]
-
-        def may_have(keys: np.ndarray) -> np.ndarray:
-            low_bits = keys & np.uint64((1 << BITS) - 1)
-            return (bits[(low_bits >> np.uint64(6)).astype(np.int64)] >> (low_bits & np.uint64(63)) & np.uint64(1)) > 0
-
+        known = HashTable(*sent.value)
         for batch in batches:
-            langs = _lang_hash(batch.column(size))
-            for low, high, data, offsets in slices(batch.column(size + 1)):
+            langs = _lang_hash(batch.column(0))
+            for low, high, data, offsets in slices(batch.column(1)):
                 own = langs[low:high]
                 (uvw, uv, vw, v, w), first = gram_keys(data, offsets, own)
                 rest, modelled = known.look_up(own)
-                p = rest = np.repeat(rest, np.diff(first))
-                left = np.zeros(len(p), bool)
-                for key, context in ((w, None), (vw, v), (uvw, uv)):
+                p = np.repeat(rest, np.diff(first))
+                for gram, context in ((w, None), (vw, v), (uvw, uv)):
                     if context is not None:
                         mass, seen = known.look_up(context)
                         p = np.where(seen, mass, 1.0) * p
-                        left |= False if whole else ~seen & may_have(context)
-                    value, seen = known.look_up(key)
-                    p = np.where(seen, value, p)
-                    left = ~seen & (left if whole else left | may_have(key))
-                left &= np.repeat(modelled, np.diff(first))
-                logs = np.where(left, 0.0, np.log(np.maximum(p, 1e-300)))
-                at = np.concatenate([[0], np.cumsum(left)])[first].astype(np.int32)
-                tokens_left = pa.StructArray.from_arrays(
-                    [*(pa.array(x[left].view(np.int64)) for x in (uvw, uv, vw, v, w)), pa.array(rest[left])],
-                    names=[*grams, "rest"])
+                    share, seen = known.look_up(gram)
+                    p = np.where(seen, share, p)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(low, high - low) for i in (*range(size), size + 2)),
-                     pa.array(np.diff(first)), pa.array(sum_by(first, logs)), pa.array(modelled),
-                     pa.ListArray.from_arrays(pa.array(at), tokens_left)], names=schema.names)
-
-    def first_pass(some: DataFrame) -> DataFrame:
-        return some.select(*keep, F.col(lang).alias("lang_"), F.col(text).alias("text_"),
-                           F.monotonically_increasing_id().alias("row_")).mapInArrow(run, schema)
-
-    def scores(part: DataFrame, logs: Column) -> DataFrame:
-        value = F.when(F.col(has_model) & (F.col(count) > 1), F.exp(-logs / F.col(count)))
-        return part.select(*keep, value.alias(out))
-
-    if whole:
-        return scores(first_pass(docs), F.col(total))
-    done = []
-    for k in range(rounds):
-        part = staged(first_pass(docs.filter(F.pmod(F.xxhash64(F.col(text)), F.lit(rounds)) == k)), "kn-part")
-        logs = joined_logs(part, row, others, table).withColumnRenamed("more", more)
-        done.append(staged(scores(part.drop(others).join(logs, row, "left"), F.col(total) + F.coalesce(more, F.lit(0.0))),
-                           "kn-scores"))
-        released(part, logs)
-    return reduce(DataFrame.unionAll, done)
-
-
-def joined_logs(part: DataFrame, row: str, others: str, table: DataFrame) -> DataFrame:
-    """(row, more): the logarithms of the tokens listed in ``others``, by the longest gram that the model has."""
-    def of(key: str, name: str) -> DataFrame:
-        # ``kind`` is constant in each part of the union: only that part's files are read.
-        return table.filter(F.col("kind") == key).select(F.col("key").alias(key), F.col("value").alias(name))
-
-    def log(p: Column) -> Column:
-        return F.log(F.greatest(p, F.lit(1e-300))).alias("more")
-
-    tokens_left = part.select(row, F.explode(others).alias("t")).select(row, "t.*")
-    # What is found needs no shorter gram: nulls take no room in the files.
-    shorter = [F.when(F.col("p").isNull(), F.col(x)).alias(x) for x in ("uv", "vw", "v", "w", "rest")]
-    three = staged(tokens_left.join(of("uvw", "p"), "uvw", "left").select(row, "p", *shorter), "kn-three")
-    two = staged(three.filter("p IS NULL").drop("p").join(of("uv", "mass"), "uv", "left").join(
-        of("vw", "p"), "vw", "left").drop("uv", "vw"), "kn-two")
-    one = two.filter("p IS NULL").drop("p").join(of("v", "mass_v"), "v", "left").join(of("w", "p"), "w", "left")
-    mass = F.coalesce("mass", F.lit(1.0))
-    found = three.filter("p IS NOT NULL").select(row, log(F.col("p"))).unionByName(
-        two.filter("p IS NOT NULL").select(row, log(mass * F.col("p")))).unionByName(
-        one.select(row, log(mass * F.coalesce("mass_v", F.lit(1.0)) * F.coalesce("p", "rest"))))
-    out = staged(found.groupBy(row).agg(F.sum("more").alias("more")), "kn-logs")
-    released(three, two)
-    return out
+                    [*(c.slice(low, high - low) for c in batch.columns[2:]),
+                     pa.array(_perplexity(first, p, modelled), from_pandas=True)], names=schema.names)
+
+    return asked.mapInArrow(run, schema).withColumnRenamed(value, out)
 
 
 def quality(docs: DataFrame, labels: DataFrame, trust: Column, doc_id: str = "doc_id", text: str = "text",
@@ -330,8 +338,8 @@ def quality(docs: DataFrame, labels: DataFrame, trust: Column, doc_id: str = "do
     few = staged(sample.groupBy(F.col("lang").alias("of")).agg(held.alias("n")).filter(F.col("n") < LEAST_HELD_OUT), "kn-few")
     same = F.col("lang").eqNullSafe(F.col("of"))
     large, small = sample.join(few, same, "left_anti"), sample.join(few, same, "left_semi")
-    table = model(large.filter("fold < 3").union(small))
-    tried = perplexities(large.filter("fold >= 3"), table, "text", "lang", "value", ["lang"], top, rounds=1)
+    learnt = learned(large.filter("fold < 3").union(small).select("lang", "text"), top)
+    tried = perplexities(large.filter("fold >= 3"), learnt, "text", "lang", "value", ["lang"], rounds=1)
     if not few.isEmpty():
         tried = tried.union(cross_validated(small, chars or FOLD_CHARS, top))
     values = staged(tried, "kn-tried")
@@ -345,8 +353,8 @@ def quality(docs: DataFrame, labels: DataFrame, trust: Column, doc_id: str = "do
     names = [c for c in (keep or docs.columns) if c not in (perplexity, threshold, kept)]
     limit, other = fresh("limit", docs), fresh("limit_lang", docs)
     key = fresh("lang_key", docs)
-    scored = perplexities(docs.withColumn(key, F.col(lang)), table, text, lang, perplexity, [*names, key], top)
-    released(table)
+    scored = perplexities(docs.withColumn(key, F.col(lang)), learnt, text, lang, perplexity, [*names, key])
+    released(learnt[0])
     limits = limits.select(F.col("lang").alias(other), F.col("limit").alias(limit))
     joined = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits,
                          F.col(key).eqNullSafe(F.col(other)), "left")

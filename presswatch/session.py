@@ -62,17 +62,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     sizes: a later join broadcasts the table only when its files are below the session threshold.
     The shuffle files of the write go at its end, not when the driver next collects its garbage.
     """
+    path = _written(df, label)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_apart(df: DataFrame, label: str, by: str) -> dict[str, DataFrame]:
+    """As ``staged``, with a table of its own for each value of ``by``: each is read and removed without the others."""
+    path, spark = _written(df, label, by), df.sparkSession
+    target, fs = hadoop_path(spark, path)
+    folders = [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()]
+    return {name.split("=", 1)[1]: spark.read.schema(df.drop(by).schema).parquet(f"{path}/{name}") for name in folders}
+
+
+def _written(df: DataFrame, label: str, *by: str) -> str:
     spark = df.sparkSession
     path = work_path(spark, label)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     if (of_job := _STAGED.get()) is not None:
         of_job.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def released(*tables: DataFrame) -> None:

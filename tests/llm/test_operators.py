@@ -223,6 +223,45 @@ def test_quality_learns_from_all_trusted_texts(spark):
         assert joined[i].perplexity == pytest.approx(r.perplexity, rel=1e-9) and joined[i].kept == r.kept
 
 
+def test_model_in_parts(spark):
+    """Counts and look-ups in blocks give the Kneser-Ney model of a plain count, with one row a block, not a gram."""
+    from presswatch.llm import kneser_ney
+
+    draw = random.Random(4)
+    texts = [(lang, " ".join(draw.choice(VOCABULARY[:9]) for _ in range(draw.randint(0, 40)))) for lang in ("en", None) for _ in range(60)]
+    training = spark.createDataFrame(texts, "lang string, text string").repartition(2)
+    tried = texts[:5] + texts[-5:] + [("en", VOCABULARY[0] + " new " + VOCABULARY[1]), ("xx", "a b"), ("en", None), (None, "")]
+    table, parts = learnt = kneser_ney.learned(training, 0)
+    assert parts >= 2 and {"keys", "numbers"} < set(table.columns) and table.count() <= 4 * parts
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(tried)], "i int, l string, t string")
+    got = {r.i: r.p for r in kneser_ney.perplexities(docs, learnt, "t", "l", "p", ["i"], rounds=2).collect()}
+
+    def grams(text):
+        return [tuple(x) for x in zip(*((["<", "<", *text.split(), ">"])[k:] for k in range(3)), strict=False)]
+
+    for i, (lang, text) in enumerate(tried):
+        three = collections.Counter(g for l, t in texts if l == lang for g in grams(t))
+        two = collections.Counter(g[1:] for g in three)
+        one = collections.Counter(g[1:] for g in two)
+        if not one or not text:
+            assert got[i] is None
+            continue
+
+        def level(counts, gram, lower, divide=lambda kinds: 1):
+            n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+            cuts = [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 * k, 0.1 * k), 0.95 * k) for k in (1, 2, 3)]
+            after = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+            if not after:
+                return lower
+            mass = sum(cuts[min(c, 3) - 1] for c in after) / sum(after) / divide(len(after))
+            share = (counts[gram] - cuts[min(counts[gram], 3) - 1]) / sum(after) if gram in counts else 0
+            return share + mass * lower
+
+        logs = [math.log(level(three, g, level(two, g[1:], level(one, g[2:], 1, lambda kinds: kinds + 1)))) for g in grams(text)]
+        assert got[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-9)
+
+
 # 3: line deduplication.
 
 
