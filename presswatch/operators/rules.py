@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from presswatch.functions.text import sentences, term_rows, words
 from presswatch.operators.dedup import top_per_key
-from presswatch.operators.skew import checked_join
+from presswatch.operators.skew import frequent_join
 from presswatch.session import staged
 
 
@@ -33,19 +33,26 @@ class Rules:
     otherwise: str = "miscellaneous"
 
 
-def keyword_table(df: DataFrame, key: str = "ingest_seq", text: str = "Description", count: int = 5) -> DataFrame:
+def document_frequencies(df: DataFrame, text: str = "Description") -> tuple[DataFrame, float]:
+    """``(term, articles)``, written once, and the number of rows."""
+    described = df.filter(F.col(text).isNotNull())
+    spread = staged(term_rows(described, text, keep=[], once=True).groupBy("term").agg(
+        F.count(F.lit(1)).alias("articles")), "frequencies")
+    return spread, df.select(F.count(F.lit(1)).cast("double").alias("total")).scalar()
+
+
+def keyword_table(df: DataFrame, key: str = "ingest_seq", text: str = "Description", count: int = 5,
+                  known: tuple[DataFrame, float] | None = None) -> DataFrame:
     """The ``count`` highest TF-IDF words of each article: ``(key, keywords)``.
 
-    The document frequencies of a vocabulary that a row check finds small go to the articles, which stay
-    in their tasks. With a larger one the rows shuffle: a word that is in most articles is one hot join
-    key, so the document-frequency side is salted.
+    The document frequencies (``known``, or those of ``df``) of a vocabulary that a row check finds small go to the
+    articles, which stay in their tasks. Of a larger one the commonest words do: only the rows of the others shuffle,
+    and none of these words is a hot join key.
     """
+    spread, total = known or document_frequencies(df, text)
     described = df.filter(F.col(text).isNotNull())
     tf = term_rows(described, text, keep=[key]).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    spread = staged(term_rows(described, text, keep=[], once=True).groupBy("term").agg(
-        F.count(F.lit(1)).alias("articles")), "frequencies")
-    total = df.select(F.count(F.lit(1)).cast("double").alias("total")).scalar()
-    scored = checked_join(tf, spread, ["term"], spread=[key]).withColumn(
+    scored = frequent_join(tf, spread, "term", "articles").withColumn(
         "score", F.round(F.col("tf") * F.ln((total + 1.0) / (F.col("articles") + 1.0)), 10))
     best = top_per_key(scored, [key], [F.col("score").desc(), F.col("term").asc()], count, rank="_rank")
     return best.groupBy(key).agg(
@@ -81,9 +88,9 @@ def rule_columns(df: DataFrame, rules: Rules, text: str = "Description") -> Data
 
 
 def with_rule_replies(df: DataFrame, rules: Rules | None = None, key: str = "ingest_seq",
-                      text: str = "Description") -> DataFrame:
+                      text: str = "Description", keywords: DataFrame | None = None) -> DataFrame:
     """The same raw reply columns an extractor call leaves, so the enrichment job takes either."""
-    keyed = df.join(keyword_table(df, key, text), key, "left")
+    keyed = df.join(keyword_table(df, key, text) if keywords is None else keywords, key, "left")
     answered = rule_columns(keyed, rules or Rules(), text)
     reply = F.to_json(F.struct(
         F.coalesce("keywords", F.array().cast("array<string>")).alias("RelevantKeywords"),

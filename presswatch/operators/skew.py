@@ -13,6 +13,7 @@ from presswatch.session import hadoop_path, staged
 BROADCAST_ROWS = 50_000
 SALTS = 8
 TASK_BYTES = 4 << 20
+SLICE_BYTES = 256 << 20
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -20,17 +21,29 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return len(df.select(F.lit(1).alias("x")).take(max_rows + 1)) <= max_rows
 
 
-def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Place the rows of a text table by ``key``, on as many tasks as keep one at about ``TASK_BYTES`` of the
-    files it is read from, so that what a task holds of words or sorted texts does not grow with the table.
-    Joins and groupings on ``key`` use the same placement. A scan with that many splits stays as it is."""
+def _file_bytes(df: DataFrame) -> int:
     spark = df.sparkSession
     size = 0
     for file in df.inputFiles():
         target, fs = hadoop_path(spark, file)
         size += fs.getFileStatus(target).getLen()
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
-    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
+    return size
+
+
+def in_slices(df: DataFrame, key: str) -> list[DataFrame]:
+    """The rows of a table by hash of ``key``, as many slices as keep one at about ``SLICE_BYTES`` of the files it is
+    read from. Work done slice by slice has the shuffle files of one on disk; each reads the table again."""
+    n = max(1, math.ceil(_file_bytes(df) / SLICE_BYTES))
+    return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
+def spread_out(df: DataFrame, key: str, slices: int = 1) -> DataFrame:
+    """Place the rows of a text table by ``key``, on as many tasks as keep one at about ``TASK_BYTES`` of the
+    files it is read from, so that what a task holds of words or sorted texts does not grow with the table.
+    Joins and groupings on ``key`` use the same placement. A scan with that many splits stays as it is, if
+    ``df`` is not one of several ``slices`` of its files' rows."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(_file_bytes(df) / TASK_BYTES / slices))
+    return df.repartition(tasks, key) if slices > 1 or df.rdd.getNumPartitions() < tasks else df
 
 
 def lookup_join(
@@ -77,3 +90,23 @@ def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Se
     if fits(small, max_rows):
         return big.join(F.broadcast(small), list(on), how)
     return lookup_join(big, small, on, spread, how)
+
+
+def frequent_join(big: DataFrame, small: DataFrame, on: str, weight: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of rows with a table of their keys, which says in ``weight`` how many of the rows a key has.
+
+    ``small`` is broadcast when a row check allows it. Otherwise its heaviest keys are, by powers of two, and only the
+    rows of the others are shuffled, with one copy of these: none of them has more than a few ``max_rows``-ths of all.
+    """
+    if fits(small, max_rows):
+        return big.join(F.broadcast(small), on)
+    power = F.floor(F.log2(weight)).cast("int")
+    least, taken = 64, 0
+    for at, n in sorted(((r[0], r[1]) for r in small.groupBy(power).count().collect()), reverse=True):  # 63 rows at most
+        taken += n
+        if taken > max_rows:
+            break
+        least = at
+    heavy, light = small.filter(power >= least), small.filter(power < least)
+    return big.join(F.broadcast(heavy), on).unionByName(
+        big.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on))

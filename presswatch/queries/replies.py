@@ -11,6 +11,7 @@ from presswatch.functions.replies import (contract_violations, error_counts, wit
 from presswatch.functions.text import ENGLISH_STOP_WORDS
 from presswatch.operators.enrich import with_enrichment, with_prompt, with_replies
 from presswatch.operators.rules import Rules, keyword_table, with_rule_replies
+from presswatch.operators.skew import in_slices
 from presswatch.plans.enrichment import enrich_delta
 from presswatch.queries.registry import articles, as_of, out, query
 from presswatch.schemas import ARTICLES
@@ -220,8 +221,9 @@ def enriched_table(spark, sf_dir):
     rows = articles(spark, sf_dir)
     moment = rows.select(F.max("Timestamp").cast("string")).first()[0]
     source, target = work_path(spark, "articles"), work_path(spark, "enriched")
-    append_table(rows.select(*[
-        F.col(c).cast(ARTICLES[c].dataType).alias(c) for c in ARTICLES.fieldNames()]), source)
+    for part in in_slices(rows, "ingest_seq"):
+        append_table(part.select(*[
+            F.col(c).cast(ARTICLES[c].dataType).alias(c) for c in ARTICLES.fieldNames()]), source)
     for _ in range(2):
         done = enrich_delta(spark, source, target, moment, rules=PROSE_RULES)
     return out(done, "doc_id", "relevance", F.col("PromptTokens").alias("prompt_tokens"))

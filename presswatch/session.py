@@ -60,7 +60,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     Cuts lineage between rounds, survives the loss of executors, and gives the optimizer real
     sizes: a later join broadcasts the table only when its files are below the session threshold.
-    The shuffle files of the write go at its end, not when the driver next collects its garbage.
     """
     path = _written(df, label)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -77,15 +76,22 @@ def staged_apart(df: DataFrame, label: str, by: str) -> dict[str, DataFrame]:
 def _written(df: DataFrame, label: str, *by: str) -> str:
     spark = df.sparkSession
     path = work_path(spark, label)
+    with no_shuffles_left(spark):
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    if (of_job := _STAGED.get()) is not None:
+        of_job.append(path)
+    return path
+
+
+@contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a write in this block go at its end, not when the driver next collects its garbage."""
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
-    if (of_job := _STAGED.get()) is not None:
-        of_job.append(path)
-    return path
 
 
 def released(*tables: DataFrame) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from presswatch.functions import scalars
 from presswatch.functions.replies import contract_violations, with_price, with_reply_fields, with_token_columns
-from presswatch.operators import enrich
+from presswatch.operators import enrich, skew
 from presswatch.operators.rules import Rules, keyword_table, with_rule_replies
 from presswatch.plans.enrichment import enrich_delta
 from presswatch.sources.tables import append_table
@@ -113,6 +113,41 @@ def test_enrich_delta_runs_each_url_once(spark, rows, tmp_path):
     assert enrich_delta(spark, articles, table, AS_OF, Fixed, retry_failed=True).filter("URL = 'u2'").count() == 2
 
 
+def test_slices_of_a_table_give_the_same_rows(spark, rows, tmp_path, monkeypatch):
+    """Slices weight words by the whole table, keep rows of one number together, and leave no shuffle files."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+    data = [(f"t{i}", f"u{i}", " ".join(f"word{k}" for k in range(i % 7, i % 7 + 3 + i % 5)) + " word1", i % 30 or None)
+            for i in range(60)] + [("t", "none", None, 5)]
+    df = rows(data, "Title string, URL string, Description string, ingest_seq long").withColumns({
+        "Timestamp": F.lit(AS_OF).cast("timestamp") - F.expr("make_interval(0, 0, 0, ingest_seq % 3)"), "IsTrending": F.lit("no")})
+    articles, got = str(tmp_path / "articles"), []
+    before = shuffled()
+    append_table(df, articles)
+    assert len(shuffled() - before) == 0
+    size = sum(p.stat().st_size for p in (tmp_path / "articles").rglob("*.parquet"))
+    for limit in (size, size // 3):
+        monkeypatch.setattr(skew, "SLICE_BYTES", limit)
+        assert len(skew.in_slices(spark.read.parquet(articles), "ingest_seq")) in ((1,) if limit == size else (3, 4))
+        out = enrich_delta(spark, articles, str(tmp_path / f"enriched-{limit}"), AS_OF)
+        got.append(sorted(map(str, out.select("URL", "ingest_seq", "RelevantKeywords", "PromptTokens").collect())))
+    assert got[0] == got[1] and len(got[0]) == 61
+    assert len(shuffled() - before) <= 4  # of the few counts that are not written
+
+
+def test_common_keys_meet_their_rows_without_a_shuffle(spark):
+    rows_of = spark.range(300).selectExpr("id", "CASE WHEN id < 200 THEN 'hot' ELSE concat('k', id % 40) END AS k")
+    keys = rows_of.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k <> 'k7'")
+    want = sorted(map(str, rows_of.join(keys, "k").select("id", "k", "n").collect()))
+    for limit in (1000, 20, 1, 0):
+        joined = skew.frequent_join(rows_of, keys, "k", "n", limit)
+        assert sorted(map(str, joined.select("id", "k", "n").collect())) == want and len(want) == 297
+
+
 def test_extractor_concurrency_keeps_rows(rows):
     df = rows([("t", f"u{i}", "fine") for i in range(50)], "Title string, URL string, Description string")
     got = enrich.with_replies(enrich.with_prompt(df), Fixed, partitions=3)
