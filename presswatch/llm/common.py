@@ -12,9 +12,9 @@ from presswatch.session import use_utc
 BATCH_BYTES = 16 << 20
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> SparkSession:
     """Bound an Arrow batch by bytes, not rows alone: texts and sets of shingles may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return use_utc(spark)
 
 
