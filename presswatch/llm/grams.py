@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from presswatch.llm.bytesops import mix, slices
 from presswatch.session import released, staged, staged_apart
 
-PART_CHARS = 8 << 20
+PART_CHARS = 2 << 20
 UNIT_TOKENS = 1 << 18
 TRIPLE, PAIR, WORD, LANG = range(4)
 DONE = 4  # and the kind: counts that are complete
